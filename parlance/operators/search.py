@@ -43,11 +43,21 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, index: DataFrame | None = None) -> DataFrame:
-    """key, score of the documents with any term. One pass over the postings; statistics are a row and a few rows of terms."""
+    """key, score of the documents with any term.
+
+    Without a written index (postings) only the query's terms are counted, inside each document's row; nothing is exploded but
+    hits. The statistics are one row and a row per query term.
+    """
     terms = sorted(set(query.lower().split()))
-    posts = index if index is not None else postings(docs, key, text)
-    stats = posts.select(key, "dl").distinct().agg(F.avg("dl").alias("avgdl")).crossJoin(docs.agg(F.count("*").alias("n_docs")))  # a row each
-    some = posts.where(F.col("term").isin(terms))
+    if index is None:
+        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+        tf = lambda w: F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.array_remove(w, t)).alias("rest")) for t in terms])
+        counted = docs.select(key, F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("bigint").alias("dl"), tf(w).alias("hits")))[0].alias("c")).select(key, "c.dl", "c.hits")
+        sizes = counted.where("dl > 0").select("dl")
+        some = counted.select(key, "dl", F.explode("hits").alias("h")).select("h.term", key, (F.col("dl") - F.col("h.rest")).alias("tf"), "dl").where("tf > 0")
+    else:
+        sizes, some = index.select(key, "dl").distinct(), index.where(F.col("term").isin(terms))
+    stats = sizes.agg(F.avg("dl").alias("avgdl")).crossJoin(docs.agg(F.count("*").alias("n_docs")))  # a row each
     df = some.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -85,10 +95,11 @@ def word_positions(turns: DataFrame, word: str, group: str = "episode_id", text:
 
 
 def phrase_reuse(docs: DataFrame, grams: Column, owner: str, group: str) -> DataFrame:
-    """Pairs of groups (a < b) of one owner that share phrases, and how many. A phrase's groups are distinct before they pair."""
-    rows = docs.select(owner, group, F.explode(grams).alias("gram")).distinct()
-    a, b = rows.select(owner, "gram", F.col(group).alias("a")), rows.select(owner, "gram", F.col(group).alias("b"))
-    return a.join(b, [owner, "gram"]).where("a < b").groupBy(owner, "a", "b").agg(F.count("*").alias("n_grams"))
+    """Pairs of groups (a < b) of one owner that share phrases, and how many. Groups are gathered per phrase in one shuffle, combined before it."""
+    rows = docs.select(owner, group, F.explode(grams).alias("gram"))
+    sets = rows.groupBy(owner, "gram").agg(F.sort_array(F.collect_set(group)).alias("g")).where(F.size("g") > 1)
+    pairs = sets.select(owner, "g", F.posexplode("g").alias("i", "a")).select(owner, "a", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("b"))
+    return pairs.groupBy(owner, "a", "b").agg(F.count("*").alias("n_grams"))
 
 
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
