@@ -14,35 +14,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialize, reserve, table
+from .store import materialize, table
 
 RADIUS, SHINGLE, SEED, SHARD = 3, 3, 42, 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit b is set if it is set in over half of the XXH64 values of the text's shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of the text, repeats included; a text of fewer words has one, a text without words none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(shingle, len(words))
     first = np.concatenate([[0], ends[: len(words) - k] + 1]).tolist()
     last = ends[k - 1 :].tolist()
-    values = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, len(first))
+    return np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, len(first))
+
+
+def majority(values: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the values."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 16):
         ones += np.unpackbits(values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(values), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit b is set if it is set in over half of the XXH64 values of the text's shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text) to (doc_id, fp), fp as a signed 64-bit number; whole texts, one pass, no shuffle."""
 
@@ -183,16 +191,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(of, F.col("fp") == F.col("k")).drop("k")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each class: that of the smallest doc_id and, of rows that share it, the least text. Rows without a doc_id stay."""
-    reserve(docs, "component_id", "fp", "k_id", "r")
-    known = near_duplicates(docs.where("doc_id is not null"), radius, shingle)
-    kept = known.where("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("k_id"), "left_semi")
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("r = 1").drop("r")
-    return first.unionByName(docs.where("doc_id is null"))
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint (hexadecimal) and class."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

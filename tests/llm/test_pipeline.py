@@ -1,5 +1,7 @@
+from test_similar import classes
+
 import corpus_pipeline
-from parlance.llm import langid, simhash
+from parlance.llm import langid
 
 
 def test_stages(spark, tmp_path):
@@ -16,8 +18,8 @@ def test_stages(spark, tmp_path):
     told = langid.identify(before, langid.train(before.where(~langid.held_out())))
     assert after.count() == told.where("accepted").count()
     before, after = seen["near_duplicates"]
-    classes = {r.component_id for r in simhash.near_duplicates(before, shingle=5).collect()}
-    assert sorted(r.doc_id for r in after.collect()) == sorted(classes)
+    want = classes([(r.doc_id, r.text) for r in before.collect()])
+    assert sorted(r.doc_id for r in after.collect()) == sorted(set(want.values()))
     before, after = seen["mixture"]
     words = lambda t: len((t or "").split())
     total = sum(words(r.text) for r in before.collect())
