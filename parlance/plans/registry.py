@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import catalog, frames, metrics, names, network, search, segments, stats, windows
+from ..functions import taxonomy
+from ..operators import catalog, frames, metrics, names, network, search, segments, stats, topics, windows
 from ..sources.readers import row_map, table
 from ..streaming import turns as stream
 from . import stand_ins as S
@@ -496,3 +497,40 @@ def q_session(s, d):
 def q_episode_kinds(s, d):
     t = table(s, d, "part")
     return t.select("p_partkey", *[c.alias(k) for k, c in X.episode_kind(F.lit(1), F.col("p_size") - 1, F.col("p_retailprice")).items()])
+
+
+_SUBS = "subs(sub, main, i) AS (VALUES " + ", ".join(f"('{s}', '{m}', {i})" for i, (s, m) in enumerate(taxonomy.MAIN_OF.items())) + ")"
+
+
+@query(f"SELECT p_partkey, sub AS category, main AS main_category FROM part JOIN subs ON p_partkey % {len(taxonomy.MAIN_OF)} = i", _SUBS)
+def q_main_category(s, d):
+    sub = F.element_at(F.lit(list(taxonomy.MAIN_OF)), (F.col("p_partkey") % len(taxonomy.MAIN_OF) + 1).cast("int"))
+    return table(s, d, "part").select("p_partkey", sub.alias("category")).withColumn("main_category", taxonomy.main_category(F.col("category")))
+
+
+_LANGUAGES = "names(code, name) AS (VALUES " + ", ".join(f"('{c}', '{n}')" for c, n in taxonomy.LANGUAGES.items()) + ")"
+
+
+@query("SELECT doc_id, lang, name AS language_name FROM documents LEFT JOIN names ON lang = code", _LANGUAGES)
+def q_language_name(s, d):
+    return table(s, d, "documents").select("doc_id", "lang", taxonomy.language_name(F.col("lang")).alias("language_name"))
+
+
+def _core(s, d):
+    return network.core(network.shared_pairs(S.appearances(s, d), "guest", "podcast_id")).checkpoint()
+
+
+@query(None)
+def q_betweenness(s, d):
+    return network.betweenness(_core(s, d))
+
+
+@query(None)
+def q_communities(s, d):
+    return network.communities(_core(s, d))
+
+
+@query(None)
+def q_topics(s, d):
+    rows = topics.window_terms(S.turns(s, d), 4, 1, 20, 10)
+    return topics.main_topic(topics.fit_topics(rows, k=5, iterations=10)[0])
