@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.session import ensure_checkpoints
+
 MODES = ("fts", "exact", "regex")
 K1, B = 1.2, 0.75
 
@@ -42,18 +46,46 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "dl", F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").cast("bigint").alias("dl"))
 
 
+def _idf(df: Column) -> Column:
+    return F.ln((F.col("n_docs") - df + 0.5) / (df + 0.5) + 1)
+
+
+def _saturated(tf: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: str, index: DataFrame | None = None) -> DataFrame:
-    """key, score of the documents with any term. One pass over the postings; statistics are a row and a few rows of terms."""
+    """key, score of the documents with any term; the mean length is over documents with terms.
+
+    With an index (written postings) only the query's terms are read. Without one, documents are scanned once for their length
+    and counts of the query's terms, which are written as narrow rows; statistics are one row.
+    """
     terms = sorted(set(query.lower().split()))
-    posts = index if index is not None else postings(docs, key, text)
-    stats = posts.select(key, "dl").distinct().agg(F.avg("dl").alias("avgdl")).crossJoin(docs.agg(F.count("*").alias("n_docs")))  # a row each
-    some = posts.where(F.col("term").isin(terms))
+    if index is None:
+        return _scan_bm25(docs, key, text, terms)
+    stats = index.select(key, "dl").distinct().agg(F.avg("dl").alias("avgdl")).crossJoin(docs.agg(F.count("*").alias("n_docs")))  # a row each
+    some = index.where(F.col("term").isin(terms))
     df = some.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = _idf(F.col("df")) * _saturated(F.col("tf"))
     return some.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))  # df: a row per query term
 
 
+def _scan_bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    terms = [t for t in terms if not re.search(r"[^\w]", t)]  # what splits words is in no term
+    ensure_checkpoints(docs.sparkSession)
+    within = r"[\p{L}\p{N}_]"
+    low = docs.select(key, F.lower(text).alias("low"))
+    counts = [F.regexp_count("low", F.lit(f"(?<!{within}){t}(?!{within})")).cast("bigint").alias(f"tf{i}") for i, t in enumerate(terms)]
+    rows = low.select(key, F.regexp_count("low", F.lit(f"{within}+")).cast("bigint").alias("dl"), *counts).checkpoint()
+    used = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), *used)
+    score, any_term = F.lit(0.0), F.lit(False)
+    for i in range(len(terms)):
+        score = score + _idf(F.col(f"df{i}")) * _saturated(F.col(f"tf{i}"))
+        any_term = any_term | (F.col(f"tf{i}") > 0)
+    return rows.where(any_term).crossJoin(F.broadcast(stats)).select(key, F.round(score, 6).alias("score"))  # stats: one row
+
+
 def concordance(turns: DataFrame, word: str, context: int = 10, text: str = "turn_text") -> DataFrame:
     """First match of a turn in its context: left, keyword, right (words by single spaces). The match may begin inside a word."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -85,10 +117,13 @@ def word_positions(turns: DataFrame, word: str, group: str = "episode_id", text:
 
 
 def phrase_reuse(docs: DataFrame, grams: Column, owner: str, group: str) -> DataFrame:
-    """Pairs of groups (a < b) of one owner that share phrases, and how many. A phrase's groups are distinct before they pair."""
-    rows = docs.select(owner, group, F.explode(grams).alias("gram")).distinct()
-    a, b = rows.select(owner, "gram", F.col(group).alias("a")), rows.select(owner, "gram", F.col(group).alias("b"))
-    return a.join(b, [owner, "gram"]).where("a < b").groupBy(owner, "a", "b").agg(F.count("*").alias("n_grams"))
+    """Pairs of groups (a < b) of one owner that share phrases, and how many. A phrase's groups are distinct before they pair.
+
+    Phrases are told apart by 128 bits of hashes, so that what is shuffled does not grow with their length.
+    """
+    rows = docs.select(owner, group, F.explode(grams).alias("gram")).select(owner, group, F.xxhash64("gram").alias("g"), F.xxhash64(F.lit(1), "gram").alias("h")).distinct()
+    a, b = rows.select(owner, "g", "h", F.col(group).alias("a")), rows.select(owner, "g", "h", F.col(group).alias("b"))
+    return a.join(b, [owner, "g", "h"]).where("a < b").groupBy(owner, "a", "b").agg(F.count("*").alias("n_grams"))
 
 
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
