@@ -1,13 +1,14 @@
-"""Near-duplicates by similarity of word shingles, with SimHash fingerprints in BK-trees.
+"""Near-duplicates by similarity of word shingles, by min-hash bands and groups that only judged pairs unite.
 
-Texts whose sets of shingles have a Jaccard similarity of 0.8 differ in about ten of 64 bits of their fingerprints, too many
-for bands of fingerprint bits to find. So min-hash bands deal the different fingerprints to shards (BANDS of ROWS min-hashes:
-a pair of similarity 0.8 misses all of them with a chance of 0.0007), and each shard grows a BK-tree of its fingerprints and
-follows edges within RADIUS. A tree sends on, nearest first, only pairs that join two of its groups; each is then judged
-by the similarity of the two texts themselves. Pairs that 144 min-hashes put beyond doubt need no texts.
+Min-hash bands (BANDS of ROWS min-hashes) deal the different fingerprints to groups: a pair of similarity 0.8 misses all of
+them with a chance of 0.0007. 144 min-hashes put most pairs of a group beyond doubt; the others are judged by the similarity
+of the two texts themselves.
 
-A shard above SHARD fingerprints (many copies, each changed a little) is split at random, differently for every band; the
-first of each group found in a part meets the first of the others in the next round.
+First, groups are read in shards (of SHARD fingerprints at most; larger groups are split at random, differently for every
+band), and each shard sends on a forest of its likely pairs, nearest first. Pairs that pass unite classes. Then each group
+that still holds more than one class is searched whole: every member outside its largest class meets every other member, in
+blocks, and whatever the min-hashes cannot rule out is compared by the texts. So a pair that is rejected, or that the
+split of a group keeps apart, costs no link.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import SEED, BKTree, majority, shingle_hashes
+from .simhash import SEED, majority, shingle_hashes
 from .store import materialize, reserve
 
-SHINGLE, SIMILARITY, RADIUS, SHARD = 5, 0.8, 18, 256
+SHINGLE, SIMILARITY, SHARD = 5, 0.8, 256
 BANDS, ROWS = 24, 6
 #: Estimates from BANDS * ROWS min-hashes have a standard deviation of at most 0.042; outside this much of SIMILARITY they decide.
 DOUBT = 0.13
@@ -59,84 +60,156 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.where("sketch is not null").select(F.explode(keys).alias("key"), "fp")
 
 
-def tree_pairs(values: list[int], radius: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of positions that join the values' groups, nearest first for each value, and the first position of each group."""
-    tree, root = BKTree(), list(range(len(values)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    pairs = []
-    for i, x in enumerate(values):
-        for _, j in sorted(((values[j] ^ x).bit_count(), j) for j in tree.near(x, radius)):
-            a, b = top(i), top(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                pairs.append((i, j))
-        tree.add(x)
-    return pairs, [i for i in range(len(values)) if root[i] == i]
-
-
-def shard_pairs(shards: DataFrame, radius: int) -> DataFrame:
-    """(shard, fp, key, hot), dealt and sorted by shard, to pairs (key, u, v), and (key, u, null) for the first of each group of a hot shard."""
-
-    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-        shard, fp, key, hot = rows
-        edges = np.flatnonzero(np.diff(shard)) + 1
-        out: list[tuple[int, int, int | None]] = []
-        for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(shard)).tolist(), strict=True):
-            own, k = fp[a:b].tolist(), int(key[a])
-            pairs, firsts = tree_pairs(fp[a:b].view(np.uint64).tolist(), radius)
-            out += [(k, own[i], own[j]) for i, j in pairs]
-            out += [(k, own[i], None) for i in firsts if hot[a]]
-        cols = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "u", "v"])
+class Forest:
+    """Groups of values that pairs unite."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up = self.root.setdefault(x, x)
+        while up != x:
+            self.root[x] = self.root[up]
+            x, up = self.root[x], self.root[self.root[x]]
+        return x
+
+    def unite(self, x: int, y: int) -> bool:
+        """Whether x and y were apart until now."""
+        a, b = self.top(x), self.top(y)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def by_group(frame: DataFrame, found, schema: str) -> DataFrame:
+    """found(columns) per run of equal first values of a frame that is dealt and sorted by its first column; it returns rows."""
+    width = len(schema.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        def some(rows: list[np.ndarray]) -> pa.RecordBatch:
+            edges = np.flatnonzero(np.diff(rows[0])) + 1
+            out: list[tuple] = []
+            for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(rows[0])).tolist(), strict=True):
+                out += found([x[a:b] for x in rows])
+            cols = zip(*out, strict=True) if out else ((),) * width
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if "double" in s else pa.int64()) for c, s in zip(cols, schema.split(", "), strict=True)], names=[s.split()[0] for s in schema.split(", ")])
+
+        rest: list[list[np.ndarray]] = []
         for b in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            rows = new if rest is None else [np.append(x, y) for x, y in zip(rest, new, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last shard may go on in the next batch
+            if not len(new[0]):
+                continue
+            if rest and rest[-1][0][-1] == new[0][0] == new[0][-1]:
+                rest.append(new)
+                continue
+            rows = [np.concatenate(c) for c in zip(*rest, new, strict=True)] if rest else new
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on in the next batch
             if cut:
-                yield found([x[:cut] for x in rows])
-            rest = [x[cut:] for x in rows]
-        if rest is not None and len(rest[0]):
-            yield found(rest)
-
-    return shards.select("shard", "fp", "key", "hot").mapInArrow(run, "key long, u long, v long")
-
-
-def candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (u, v), u < v, of different fingerprints that share a band and lie within radius."""
-    rows, parts = band_keys(nodes), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out, before = None, None
-    while True:
-        counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-counts")
-        hot = counts.agg(F.coalesce(F.sum(F.when(F.col("n") > SHARD, F.col("n"))), F.lit(0))).first()[0]
-        split = before is None or 2 * hot <= before  # groups that no longer shrink are unlike each other: their tree is grown whole
-        salt = F.when(F.lit(split) & (F.col("n") > SHARD), F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / SHARD))).otherwise(F.lit(0))
-        shards = rows.join(counts, "key").select(F.xxhash64("key", salt).alias("shard"), "fp", "key", (F.lit(split) & (F.col("n") > SHARD)).alias("hot"))
-        found = materialize(shard_pairs(shards.repartition(parts, "shard").sortWithinPartitions("shard", "key", "fp"), radius), "band-pairs")
-        pairs = found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        out = pairs if out is None else out.unionByName(pairs)
-        if not hot or not split:
-            return out.distinct()
-        rows, before = found.where("v is null").select("key", F.col("u").alias("fp")), hot
-
-
-def estimate(pairs: DataFrame) -> DataFrame:
-    """(u, v, a, b), a and b being min-hashes, to (u, v, share) with the share that agree."""
+                yield some([x[:cut] for x in rows])
+            rest = [[x[cut:] for x in rows]]
+        if rest:
+            yield some([np.concatenate(c) for c in zip(*rest, strict=True)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, len(_ODD)) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).mean(axis=1))], names=["u", "v", "share"])
+    return frame.mapInArrow(run, schema)
+
+
+def matrix(sketches: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.tolist()), "<u4").reshape(len(sketches), -1)
+
+
+def dealt(frame: DataFrame, group: str) -> DataFrame:
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), group).sortWithinPartitions(group)
+
+
+def band_rows(nodes: DataFrame) -> DataFrame:
+    """(key, fp, n) of the bands that n > 1 fingerprints share; of bands with the same fingerprints, one."""
+    rows = band_keys(nodes)
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("sign")).where("n > 1")
+    keys = materialize(counts.groupBy("n", "sign").agg(F.min("key").alias("key")).select("key", "n"), "band-counts")
+    return materialize(rows.join(keys, "key").select("key", "fp", "n"), "band-rows")
+
+
+def candidates(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, share), u < v: of each shard, a forest of the pairs that min-hashes do not rule out; share of those agree."""
+
+    def found(cols: list[np.ndarray]) -> list[tuple]:
+        _, fp, sketch = cols
+        all_, forest, ids = matrix(sketch), Forest(), fp.tolist()
+        pairs = []
+        for i in range(len(ids) - 1):
+            share = (all_[i + 1 :] == all_[i]).mean(axis=1)
+            near = np.flatnonzero(share - similarity > -DOUBT)
+            pairs += zip((-share[near]).tolist(), [ids[i]] * len(near), fp[near + i + 1].tolist(), strict=True)
+        return [(min(x, y), max(x, y), -s) for s, x, y in sorted(pairs) if forest.unite(x, y)]
 
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, share double")
+    salt = F.when(F.col("n") > SHARD, F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / SHARD))).otherwise(F.lit(0))
+    shards = rows.select(F.xxhash64("key", salt).alias("shard"), "fp").join(nodes.select("fp", "sketch"), "fp").select("shard", "fp", "sketch")
+    return by_group(dealt(shards, "shard"), found, "u long, v long, share double").groupBy("u", "v").agg(F.max("share").alias("share"))
+
+
+def needed(rows: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Every two members of a band that differ in label and are not ruled out by min-hashes.
+
+    Rows are (block, u, null), a member of block whose text is needed, or (null, u, v), a pair beyond doubt. labels: (fp, label).
+    """
+
+    def found(cols: list[np.ndarray]) -> list[tuple]:
+        _, left, fp, label, sketch = cols
+        a, b = np.flatnonzero(left == 1), np.flatnonzero(left == 0)
+        if not len(a) or not len(b):
+            return []
+        all_, forest, out, near = matrix(sketch), Forest(), [], []
+        other, names = all_[b], label[b]
+        for i in a.tolist():
+            share = (other == all_[i]).mean(axis=1)
+            for j in np.flatnonzero((share - similarity >= DOUBT) & (names != label[i])).tolist():
+                if forest.unite(int(label[i]), int(names[j])):
+                    out.append((None, int(fp[i]), int(fp[b[j]])))
+            near.append(np.flatnonzero((share - similarity > -DOUBT) & (names != label[i])))
+        tops = np.fromiter((forest.top(x) for x in label.tolist()), np.int64, len(label))
+        members: set[int] = set()
+        for i, js in zip(a.tolist(), near, strict=True):
+            js = b[js]
+            js = js[tops[js] != tops[i]]
+            if len(js):
+                members.add(int(fp[i]))
+                members.update(fp[js].tolist())
+        own = sorted(members)
+        block = xxh64_of(np.array(own, np.int64))
+        return out + [(block, x, None) for x in own]
+
+    at = materialize(rows.join(labels, "fp").select("key", "fp", "label"), "band-labels")
+    sizes = at.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most"))
+    mixed = materialize(sizes.select("key", "n", (F.col("n") - F.col("most.c")).alias("s"), F.col("most.label").alias("most")).where("s > 0"), "mixed-bands")
+    lefts, rights = F.ceil(F.col("s") / (2 * SHARD)), F.ceil(F.col("n") / (2 * SHARD))
+    c, e = F.pmod(F.xxhash64("fp", "key", F.lit(1)), lefts), F.pmod(F.xxhash64("fp", "key"), rights)
+    members = at.join(mixed, "key")
+    as_left = members.where("label <> most").select("key", "fp", "label", F.lit(1).alias("left"), c.alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), rights - 1)).alias("e"))
+    as_right = members.select("key", "fp", "label", F.lit(0).alias("left"), F.explode(F.sequence(F.lit(0).cast("bigint"), lefts - 1)).alias("c"), e.alias("e"))
+    blocks = as_left.unionByName(as_right).select(F.xxhash64("key", "c", "e").alias("block"), "left", "fp", "label").join(nodes.select("fp", "sketch"), "fp")
+    return by_group(dealt(blocks.select("block", "left", "fp", "label", "sketch"), "block"), found, "block long, u long, v long").distinct()
+
+
+def xxh64_of(values: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(values.tobytes(), SEED)).view(np.int64))
+
+
+def similar_pairs(ids: list[int], labels: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A forest of the pairs of sets of at least this similarity that unite different labels."""
+    sizes, forest, out = np.array([len(s) for s in sets]), Forest(), []
+    gram, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(flat, kind="stable")]
+    count = np.bincount(flat, minlength=len(gram))
+    start, ends = np.cumsum(count) - count, np.cumsum(sizes)
+    for i in range(len(sets) - 1):
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        n = count[own]
+        shared = np.bincount(holder[np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        for j in np.flatnonzero(shared / (sizes[i] + sizes - shared) >= similarity).tolist():
+            if j > i and forest.unite(labels[i], labels[j]):
+                out.append((ids[i], ids[j]))
+    return out
 
 
 def both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
@@ -163,15 +236,48 @@ def jaccard(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) of fingerprints whose texts are similar enough. nodes: (fp, low, sketch), low being the smallest doc_id of fp."""
-    told = materialize(estimate(both(materialize(candidates(nodes), "candidates"), nodes, "sketch")), "estimates")
-    doubt = told.where(F.abs(F.col("share") - similarity) < DOUBT).select("u", "v")
-    needed = doubt.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes.select("fp", "low"), "fp").select(F.col("low").alias("n_id")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("n_id"), "left_semi")
-    sets = materialize(shingle_sets(texts, shingle), "shingle-sets")
+def sets_of(docs: DataFrame, nodes: DataFrame, fps: DataFrame, shingle: int) -> DataFrame:
+    """(fp, grams) of the texts of fps (a column fp)."""
+    low = fps.distinct().join(nodes.select("fp", "low"), "fp").select(F.col("low").alias("n_id")).distinct()
+    texts = docs.select("doc_id", "text").join(low, F.col("doc_id") == F.col("n_id"), "left_semi")
+    return materialize(shingle_sets(texts, shingle), "shingle-sets")
+
+
+def likely_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of candidates whose texts are similar enough."""
+    told = materialize(candidates(rows, nodes, similarity), "candidates")
+    doubt = told.where(F.col("share") - similarity < DOUBT).select("u", "v")
+    sets = sets_of(docs, nodes, doubt.select(F.explode(F.array("u", "v")).alias("fp")), shingle)
     judged = both(doubt, sets, "grams").where(jaccard(F.col("a"), F.col("b")) >= similarity).select("u", "v")
-    return told.where(F.col("share") - similarity >= DOUBT).select("u", "v").unionByName(judged)
+    return materialize(told.where(F.col("share") - similarity >= DOUBT).select("u", "v").unionByName(judged), "likely-links")
+
+
+def other_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, labels: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) that unite all classes (labels: fp, label) of which a band holds two members whose texts are similar enough."""
+    found = materialize(needed(rows, nodes, labels, similarity), "needed")
+    members = found.where("v is null").select("block", F.col("u").alias("fp"))
+    sets = sets_of(docs, nodes, members.select("fp"), shingle)
+
+    def judge(t: pa.Table) -> pa.Table:
+        t = t.sort_by("fp")
+        sets = [np.asarray(x.values) for x in t.column("grams")]
+        pairs = similar_pairs(t.column("fp").to_pylist(), t.column("label").to_pylist(), sets, similarity)
+        return pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
+
+    judged = members.join(labels, "fp").join(sets, "fp").groupBy("block").applyInArrow(judge, "u long, v long")
+    return materialize(found.where("v is not null").select("u", "v").unionByName(judged), "other-links")
+
+
+def classes(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(fp, label): the class of every node, named by a fingerprint. nodes: (fp, low, sketch), low being the smallest doc_id of fp."""
+
+    def named(links: DataFrame) -> DataFrame:
+        return materialize(nodes.select("fp").join(components(links).withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("label")), "labels")
+
+    rows = band_rows(nodes)
+    likely = likely_links(docs, nodes, rows, shingle, similarity)
+    others = other_links(docs, nodes, rows, labels := named(likely), shingle, similarity)
+    return labels if others.isEmpty() else named(likely.unionByName(others))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -185,8 +291,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     own = prints.select(F.col("fp").alias("p"), "doc_id", "sketch")
     nodes = materialize(low.join(own, (F.col("fp") == F.col("p")) & F.col("low").eqNullSafe(F.col("doc_id"))).select("fp", "low", "sketch").dropDuplicates(["fp"]), "nodes")
-    joined = components(links(docs, nodes, shingle, similarity))
-    named = nodes.join(joined.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "low", F.coalesce("v", "fp").alias("root"))
+    named = nodes.select("fp", "low").join(classes(docs, nodes, shingle, similarity).withColumnRenamed("label", "root"), "fp")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = materialize(named.join(least, "root").select(F.col("fp").alias("k"), "component_id"), "classes")
     return prints.select("doc_id", "fp").join(of, F.col("fp") == F.col("k")).drop("k")

@@ -75,3 +75,13 @@ def test_rows_at_the_edges(spark):
     kept = similar.keep_one(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")).collect()
     assert sorted((str(r.doc_id), r.n) for r in kept) == [("3", 1), ("5", 1), ("7", 1), ("8", 1), ("None", 1)]
     assert similar.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_star_of_thousands(spark):
+    r = random.Random(5)
+    base = [f"s{r.getrandbits(30)}" for _ in range(400)]
+    rows = [(i, varied(r, base, 6)) for i in range(2000)] + [(2000, " ".join(base))]  # at least 0.85 to the last, about 0.74 to each other
+    center = shingles(rows[-1][1])
+    assert all(len(center & s) / len(center | s) >= 0.8 for s in (shingles(t) for _, t in rows))
+    got = {x.doc_id: x.component_id for x in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(2001), 0)
