@@ -1,10 +1,11 @@
 """Near-duplicates by similarity of word shingles, by min-hash bands and groups that only judged pairs unite.
 
-Min-hash bands (BANDS of ROWS min-hashes) deal the different fingerprints to groups: a pair of similarity 0.8 misses all of
-them with a chance of 0.0007. 144 min-hashes put most pairs of a group beyond doubt; the others are judged by the similarity
+Texts with the same set of shingles are one node, known by a 64-bit digest of the set (fp below). A SimHash fingerprint would not
+do: it counts repeats, so a line that repeats often gives unlike texts the same one. Min-hash bands (BANDS of ROWS min-hashes)
+deal the nodes to groups: a pair of similarity 0.8 misses all of them with a chance of 0.0007. 144 min-hashes put most pairs of a group beyond doubt; the others are judged by the similarity
 of the two texts themselves.
 
-First, groups are read in shards (of SHARD fingerprints at most; larger groups are split at random, differently for every
+First, groups are read in shards (of SHARD nodes at most; larger groups are split at random, differently for every
 band), and each shard sends on a forest of its likely pairs, nearest first. Pairs that pass unite classes. Then each group
 that still holds more than one class is searched whole: every member outside its largest class meets every other member, in
 blocks, and whatever the min-hashes cannot rule out is compared by the texts. So a pair that is rejected, or that the
@@ -40,17 +41,25 @@ def min_hashes(values: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def xxh64_of(values: np.ndarray) -> int:
+    """A 64-bit digest of sorted values."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(values.tobytes(), SEED)).view(np.int64))
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, fp, sketch): fingerprint and min-hashes (null without words) of each whole text."""
+    """(doc_id, text) to (doc_id, simhash, fp, sketch): fingerprint, digest of the shingle set and min-hashes (null without words) of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
-            fp = np.fromiter(map(majority, hashes), np.uint64, b.num_rows).view(np.int64)
-            sketch = [min_hashes(np.unique(h)).tobytes() if len(h) else None for h in hashes]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(sketch, pa.binary())], names=["doc_id", "fp", "sketch"])
+            simhash = np.fromiter(map(majority, hashes), np.uint64, b.num_rows).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
+            sketch = [min_hashes(x).tobytes() if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash), pa.array(map(xxh64_of, sets), pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "simhash", "fp", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, simhash long, fp long, sketch binary")
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
@@ -121,7 +130,7 @@ def dealt(frame: DataFrame, group: str) -> DataFrame:
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
-    """(key, fp, n) of the bands that n > 1 fingerprints share; of bands with the same fingerprints, one."""
+    """(key, fp, n) of the bands that n > 1 nodes share; of bands with the same nodes, one."""
     rows = band_keys(nodes)
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("sign")).where("n > 1")
     keys = materialize(counts.groupBy("n", "sign").agg(F.min("key").alias("key")).select("key", "n"), "band-counts")
@@ -189,12 +198,6 @@ def needed(rows: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: flo
     return by_group(dealt(blocks.select("block", "left", "fp", "label", "sketch"), "block"), found, "block long, u long, v long").distinct()
 
 
-def xxh64_of(values: np.ndarray) -> int:
-    from xxhash import xxh64_intdigest
-
-    return int(np.uint64(xxh64_intdigest(values.tobytes(), SEED)).view(np.int64))
-
-
 def similar_pairs(ids: list[int], labels: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A forest of the pairs of sets of at least this similarity that unite different labels."""
     sizes, forest, out = np.array([len(s) for s in sets]), Forest(), []
@@ -219,14 +222,14 @@ def both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text) to (fp, grams): the different shingles' hashes, a row per fingerprint."""
+    """(doc_id, text) to (fp, grams): the different shingles' hashes, a row per set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):  # a batch per text bounds memory
                 h = shingle_hashes(t.as_py(), shingle)
-                grams = pa.array([np.unique(h).view(np.int64)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([majority(h)], pa.uint64()).view(pa.int64()), grams], names=["fp", "grams"])
+                own = np.unique(h)
+                yield pa.RecordBatch.from_arrays([pa.array([xxh64_of(own)], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], names=["fp", "grams"])
 
     return docs.select("text").mapInArrow(run, "fp long, grams array<long>").dropDuplicates(["fp"])
 
@@ -269,7 +272,7 @@ def other_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, labels: Data
 
 
 def classes(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(fp, label): the class of every node, named by a fingerprint. nodes: (fp, low, sketch), low being the smallest doc_id of fp."""
+    """(fp, label): the class of every node, named by one of them. nodes: (fp, low, sketch), low being the smallest doc_id of fp."""
 
     def named(links: DataFrame) -> DataFrame:
         return materialize(nodes.select("fp").join(components(links).withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("label")), "labels")
@@ -283,18 +286,16 @@ def classes(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float)
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, fp, component_id of every row of (doc_id, text).
 
-    component_id is the smallest doc_id in the class of the row: classes are chains of texts of at least this similarity, and
-    texts of equal fingerprint. Null, empty and blank texts are a class. Repeated rows keep a row each; an empty table gives
-    an empty result; extra columns are ignored.
+    fp is the SimHash fingerprint. component_id is the smallest doc_id in the class of the row: classes are chains of texts of
+    at least this similarity. Null, empty and blank texts are a class. Repeated rows keep a row each; an empty table gives an
+    empty result; extra columns are ignored.
     """
     prints = materialize(sketches(docs, shingle), "sketches")
-    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    own = prints.select(F.col("fp").alias("p"), "doc_id", "sketch")
-    nodes = materialize(low.join(own, (F.col("fp") == F.col("p")) & F.col("low").eqNullSafe(F.col("doc_id"))).select("fp", "low", "sketch").dropDuplicates(["fp"]), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch")), "nodes")
     named = nodes.select("fp", "low").join(classes(docs, nodes, shingle, similarity).withColumnRenamed("label", "root"), "fp")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = materialize(named.join(least, "root").select(F.col("fp").alias("k"), "component_id"), "classes")
-    return prints.select("doc_id", "fp").join(of, F.col("fp") == F.col("k")).drop("k")
+    return prints.join(of, F.col("fp") == F.col("k")).select("doc_id", F.col("simhash").alias("fp"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

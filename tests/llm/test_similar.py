@@ -85,3 +85,14 @@ def test_star_of_thousands(spark):
     assert all(len(center & s) / len(center | s) >= 0.8 for s in (shingles(t) for _, t in rows))
     got = {x.doc_id: x.component_id for x in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict.fromkeys(range(2001), 0)
+
+
+def test_a_line_that_repeats_joins_nothing(spark):
+    r = random.Random(6)
+    line = [f"l{i}" for i in range(7)]
+    rows = [(i, " ".join(line * 60 + [f"w{r.getrandbits(30)}" for _ in range(200)])) for i in range(20)]
+    assert len({similar.majority(similar.shingle_hashes(t, 5)) for _, t in rows}) == 1
+    rows += [(100 + i, t + " tail") for i, t in rows] + [(200, " ".join([*line * 30, *rows[3][1].split()])), (201, rows[4][1].replace(" ".join(line * 59) + " ", "", 1))]
+    got = {x.doc_id: x.component_id for x in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows)
+    assert len(set(got.values())) == 20
