@@ -30,7 +30,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy that the mixture takes; the one document at the edge of a source's target is cut to its leading words."""
-    rows = docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    # ids can differ from scan to scan, so both sides of the join read them from one table
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
     sizes = materialize(rows.select("row", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "sizes")
     taken = mixing.mix(sizes.withColumnRenamed("row", "doc_id")).where("words > 0").select(F.col("doc_id").alias("m_row"), "words", "size", "place")
     both = rows.join(taken, F.col("row") == F.col("m_row"))

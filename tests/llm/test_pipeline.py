@@ -1,7 +1,7 @@
 from test_similar import classes
 
 import corpus_pipeline
-from parlance.llm import langid
+from parlance.llm import langid, mixing
 
 
 def test_stages(spark, tmp_path):
@@ -33,3 +33,22 @@ def test_tables_without_rows(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, d).isEmpty()
+
+
+def test_mixture_when_the_second_scan_is_split_otherwise(spark, monkeypatch):
+    d, key = "/root/testdata/sf0.001", "spark.sql.files.maxPartitionBytes"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    want = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.mixture(spark, docs, d).collect())
+    before, mix = spark.conf.get(key), mixing.mix
+
+    def split(*args):
+        out = mix(*args)
+        spark.conf.set(key, "10k")
+        return out
+
+    monkeypatch.setattr(mixing, "mix", split)
+    try:
+        got = corpus_pipeline.mixture(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+        assert sorted((r.doc_id, r.text or "") for r in got.collect()) == want
+    finally:
+        spark.conf.set(key, before)
