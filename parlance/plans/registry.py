@@ -325,6 +325,18 @@ def q_components(s, d):
     return network.components(e)
 
 
+@query(None)
+def q_shared_guest_pairs_all(s, d):
+    """q_shared_guest_pairs over all appearances."""
+    return network.shared_pairs(S.all_appearances(s, d), "guest", "podcast_id")
+
+
+@query(None)
+def q_degree_all(s, d):
+    """q_degree over all appearances."""
+    return network.degrees(q_shared_guest_pairs_all(s, d))
+
+
 @query("SELECT count(DISTINCT podcast_id) AS n_shows, count(*) AS n_episodes, round(sum(duration_seconds) / 3600, 4) AS hours, round(avg(duration_seconds) / 60, 4) AS mean_minutes FROM episodes", S.EPISODES)
 def q_corpus_stats(s, d):
     return catalog.corpus_statistics(S.episodes(s, d))

@@ -54,6 +54,12 @@ def appearances(spark: SparkSession, d: str) -> DataFrame:
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).where("l_quantity > 49").select(F.col("o_custkey").alias("guest"), F.col("l_suppkey").alias("podcast_id"))
 
 
+def all_appearances(spark: SparkSession, d: str) -> DataFrame:
+    """The different (guest, podcast_id) of the whole lineitem-orders join."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("guest"), F.col("l_suppkey").alias("podcast_id")).distinct()
+
+
 APPEARANCES = "appearances AS (SELECT o_custkey AS guest, l_suppkey AS podcast_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49)"
 
 
