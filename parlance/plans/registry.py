@@ -325,6 +325,13 @@ def q_components(s, d):
     return network.components(e)
 
 
+@query(None)
+def q_components_all(s, d):
+    """q_components over all appearances."""
+    e = S.all_appearances(s, d).select(F.col("guest").alias("a"), (F.lit(100000000) + F.col("podcast_id")).alias("b"))
+    return network.components(e)
+
+
 @query(None)
 def q_shared_guest_pairs_all(s, d):
     """q_shared_guest_pairs over all appearances."""
