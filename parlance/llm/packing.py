@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .store import materialize, table
 
 CAPACITY, END = 1024, 2
+#: The vocabulary's added token and its id: a text is cut there before words are.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: Pieces are ranked within (length, salt): no length, however common, is ranked in one task.
 SALTS = 1024
 #: Slots (as a power of two) and ids of the table of words that a Python worker keeps; when it is full it starts afresh.
@@ -142,6 +144,14 @@ class Encoder:
         return np.concatenate([self.ids([p])[0] if len(p) <= 2 * CHUNK else np.array(self.encode(p), np.uint32) for p in parts])
 
 
+def with_added(encoder: Encoder, texts: list[str]) -> list[np.ndarray]:
+    """Ids of the texts, each ADDED in them as ADDED_ID."""
+    cut = [t.split(ADDED) for t in texts]
+    ids = iter(encoder.ids(list(chain.from_iterable(cut))))
+    mark = np.array([ADDED_ID], np.uint32)
+    return [np.concatenate([x for k in range(len(parts)) for x in ([mark] * (k > 0) + [next(ids)])]) for parts in cut]
+
+
 @lru_cache(1)
 def encoder_of(path: str, pattern: str) -> Encoder:
     """One per Python worker, so that later tasks there know the words of earlier ones."""
@@ -163,7 +173,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY,
 
         def flush(keys: list, texts: list[str]) -> pa.RecordBatch:
             rows: list[tuple] = []
-            for key, ids in zip(keys, encoder.ids(texts), strict=True):
+            for key, ids in zip(keys, with_added(encoder, texts), strict=True):
                 whole = np.append(ids, np.uint32(end)).astype("<u4")
                 for piece, (start, length) in enumerate(cuts(len(whole), capacity)):
                     raw = whole[start : start + length].tobytes()

@@ -72,3 +72,15 @@ def test_query_shape(spark, model):
             at += length
         assert at <= 1024
     assert P.pack(P.tokenize(spark.createDataFrame([], "doc_id long, text string"), *P.vocabulary())).isEmpty()
+
+
+def test_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    m = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = ["a<|endoftext|>b", mark, f"{mark}{mark} x", f"it's  {mark}  {mark}\n end {mark}", "none <|endoftext| >", *ODD]
+    pieces = P.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *P.vocabulary(), capacity=100_000, keep_ids=True)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pieces.collect()}
+    assert got == {i: [*m.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
