@@ -7,12 +7,16 @@ bytes of what is left, a small part of the corpus, go to tasks by anchor. A task
 intervals of the transform backwards, breadth first: level n yields the places where neighbouring suffixes share exactly n
 bytes, and after level LENGTH - 1 the places without a value are the repeats.
 
+An anchor with more than HOT different runs is split before that. Every window of it reaches at least half of the bytes that it
+holds besides the anchor to the left, or else to the right; so a run falls into two, whose keys are the anchor with that
+many bytes more on one side, and equal windows still meet. What is hot by its new key is split again, until after ten
+rounds at most a key is a whole window.
+
 Texts with the same bytes are one text with a number of copies from the start, and all their windows repeat.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 from .store import materialize, table
 
 LENGTH, GRAM = 400, 100
-#: Windows hashed at once (the place of an anchor has 20 bits), and bytes of one transform.
-PIECE, BATCH = 1 << 19, 1 << 21
+#: Windows hashed at once (the place of an anchor has 20 bits), bytes of one transform, and different runs of an anchor that are not split.
+PIECE, BATCH, HOT = 1 << 19, 1 << 21, 256
 
 _U = np.uint64
 _RNG = np.random.default_rng(20)
@@ -88,7 +92,7 @@ def window_runs(data: np.ndarray, first: np.ndarray, size: np.ndarray, length: i
 
 
 def runs_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, k1, k2, text) to doc_id, k1, k2, n_bytes, sha256 and runs (array of start, windows, anchor, content)."""
+    """(doc_id, k1, k2, text) to doc_id, k1, k2 and runs (array of start, windows, anchor, content)."""
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("windows", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +124,12 @@ def runs_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             flat = np.array([x for p in parts for x in p], np.int64).reshape(-1, 4)
             values = pa.StructArray.from_arrays([pa.array(flat[:, j]) for j in range(4)], names=names)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([len(r) for r in raws], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raws]), pa.ListArray.from_arrays(offsets, values).cast(run_type)],
-                names=["doc_id", "k1", "k2", "n_bytes", "sha256", "runs"],
+                [b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(offsets, values).cast(run_type)],
+                names=["doc_id", "k1", "k2", "runs"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n_bytes long, sha256 string, runs array<struct<start:long,windows:long,anchor:long,content:long>>")
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, runs array<struct<start:long,windows:long,anchor:long,content:long>>")
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -208,7 +212,7 @@ def repeated_windows(contents: list[bytes], length: int = LENGTH) -> list[list[t
 
 
 def _contents(asked: DataFrame, length: int) -> DataFrame:
-    """(text, wanted: start, windows, anchor, content) to anchor, content, bytes."""
+    """(text, wanted: start, windows, anchor, content) to key, piece, bytes, x, y: the runs' bytes (x and y null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,70 +223,133 @@ def _contents(asked: DataFrame, length: int) -> DataFrame:
                     anchor.append(w["anchor"])
                     content.append(w["content"])
                     raws.append(raw[w["start"] : w["start"] + w["windows"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(raws, pa.binary())], names=["anchor", "content", "bytes"])
+            none = pa.nulls(len(raws), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(raws, pa.binary()), none, none], names=["key", "piece", "bytes", "x", "y"])
+
+    return asked.select("text", "wanted").mapInArrow(run, PIECES)
+
+
+PIECES = "key long, piece long, bytes binary, x long, y long"
+
 
-    return asked.select("text", "wanted").mapInArrow(run, "anchor long, content long, bytes binary")
+def anchor_of(window: bytes, gram: int = GRAM) -> int:
+    """Where the anchor of a window starts in it."""
+    return int(np.argmin(gram_hashes(np.frombuffer(window, np.uint8), gram) >> _U(20)))
 
 
-def _expanded(contents: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, bytes), dealt and sorted by anchor, to content, low, high (ranges of its windows that repeat)."""
+def halves(raw: bytes, x: int, y: int, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
+    """A run whose windows all hold its bytes x to y, in two: first window, past the last, side, and x and y with half of what windows hold besides."""
+    windows, half = len(raw) - length + 1, (length - (y - x) + 1) // 2
+    cut = min(max(0, x - half + 1), windows)  # the windows before this one reach that far to the left of x
+    return [(a, b, side, *at) for a, b, side, at in ((0, cut, 0, (x - half, y)), (cut, windows, 1, (x, y + half))) if b > a]
+
+
+def _split(pieces: DataFrame, level: int, length: int, gram: int) -> DataFrame:
+    """Hot pieces to their halves: p_key, p_piece, off (where the half's first window stands), windows, and the half's own columns."""
+    from xxhash import xxh64_intdigest
+
+    def digest(raw: bytes, seed: int) -> int:
+        return xxh64_intdigest(raw, seed) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, names, raws, total = [], [], [], 0
+        for b in batches:
+            rows: list[tuple] = []
+            for key, piece, raw, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if x is None:
+                    x = anchor_of(raw[:length], gram)
+                    y = x + gram
+                for first, past, side, new_x, new_y in halves(raw, x, y, length):
+                    part = raw[first : past + length - 1]
+                    rows.append((key, piece, first, past - first, digest(raw[new_x:new_y], 2 * level + side), digest(part, 99), part, new_x - first, new_y - first))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(cols)], names=["p_key", "p_piece", "off", "windows", "key", "piece", "bytes", "x", "y"])
+
+    return pieces.select("key", "piece", "bytes", "x", "y").mapInArrow(run, f"p_key long, p_piece long, off long, windows long, {PIECES}")
 
-        def flush(upto: int) -> pa.RecordBatch:
-            rows = [(name, a, b) for name, ranges in zip(names[:upto], repeated_windows(raws[:upto], length), strict=True) for a, b in ranges]
-            del anchors[:upto], names[:upto], raws[:upto]
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], names=["content", "low", "high"])
+
+def _expanded(pieces: DataFrame, length: int) -> DataFrame:
+    """(key, piece, bytes), dealt and sorted by key, to key, piece, low, high (ranges of its windows that repeat)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, names, raws, total = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(key, name, a, b) for key, name, ranges in zip(keys, names, repeated_windows(raws, length), strict=True) for a, b in ranges]
+            for held in (keys, names, raws):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], names=["key", "piece", "low", "high"])
 
         for b in batches:
-            for anchor, content, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if total > BATCH and anchor != anchors[-1]:
-                    yield flush(len(anchors))
+            for key, piece, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if total > BATCH and key != keys[-1]:
+                    yield flush()
                     total = 0
-                anchors.append(anchor)
-                names.append(content)
+                keys.append(key)
+                names.append(piece)
                 raws.append(raw)
                 total += len(raw)
-        if anchors:
-            yield flush(len(anchors))
+        if keys:
+            yield flush()
 
-    return contents.mapInArrow(run, "content long, low long, high long")
+    return pieces.select("key", "piece", "bytes").mapInArrow(run, "key long, piece long, low long, high long")
 
 
-def _cut(partial: DataFrame, length: int) -> DataFrame:
-    """(doc_id, n_bytes, text, ranges) to the result row of a document of which some bytes go."""
+def repeated_ranges(pieces: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, level: int = 0) -> DataFrame:
+    """(key, piece, low, high): ranges of the windows of pieces that other pieces of their key hold too. pieces: a written table of PIECES.
+
+    A task holds at most `hot` pieces of a key at once, whatever their number.
+    """
+    sizes = pieces.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select(F.col("key").alias("m_key"), (F.col("d") > hot).alias("hot"))
+    sizes = materialize(sizes, "piece-keys")
+    met = pieces.join(sizes, F.col("key") == F.col("m_key")).drop("m_key")
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = _expanded(met.where("not hot").repartition(n, "key").sortWithinPartitions("key", "piece"), length)
+    if sizes.where("hot").isEmpty():
+        return materialize(found, "ranges")
+    parts = materialize(_split(met.where("hot"), level, length, gram), "halves")
+    below = parts.groupBy("key", "piece").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bytes", "x", "y")])  # copies are combined before the shuffle
+    below = materialize(below, "pieces")
+    whole = below.where("n > 1").select("key", "piece", F.lit(0).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("high"))
+    inner = repeated_ranges(below.drop("n"), length, gram, hot, level + 1).unionByName(whole).toDF("f_key", "f_piece", "low", "high")
+    up = parts.drop("bytes").join(inner, (F.col("key") == F.col("f_key")) & (F.col("piece") == F.col("f_piece")))
+    up = up.select(F.col("p_key").alias("key"), F.col("p_piece").alias("piece"), (F.col("off") + F.col("low")).alias("low"), (F.col("off") + F.coalesce("high", "windows")).alias("high"))
+    return materialize(found.unionByName(up), "ranges")
+
+
+def _cut(rows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, text, whole, ranges) to doc_id, n_bytes, spans, kept."""
+    span = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, spans, kept = [], [], []
-            for text, ranges in zip(b.column(2), b.column(3), strict=True):
+            n_bytes, spans, kept = [], [], []
+            for text, whole, ranges in zip(*b.columns[1:], strict=True):
                 raw = (text.as_py() or "").encode()
-                out, n, k, end = hashlib.sha256(), 0, 0, 0
-                past = 0
-                for low, high in sorted((r["low"], r["high"] + length - 1) for r in ranges.as_py()):
-                    if low > past or not k:
-                        out.update(raw[past:low])
-                        k += 1
-                        end = low
-                    n += max(0, high - max(end, past, low))
-                    past = max(past, high)
-                    end = past
-                out.update(raw[past:])
-                removed.append(n)
-                spans.append(k)
-                kept.append(out.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    kind = partial.schema["doc_id"].dataType.simpleString()
-    return partial.select("doc_id", "n_bytes", "text", "ranges").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of (doc_id, text).
-
-    Null text is empty. Texts below `length` bytes are never touched. A repeated row is a copy: all of its windows repeat. The
-    order of rows does not matter; an empty table gives an empty result; extra columns are ignored.
+                n_bytes.append(len(raw))
+                own: list[list[int]] = []
+                if whole.as_py():
+                    own.append([0, len(raw)])
+                elif ranges.is_valid:
+                    for low, high in sorted((r["low"], r["high"] + length - 1) for r in ranges.as_py()):
+                        if own and low <= own[-1][1]:
+                            own[-1][1] = max(own[-1][1], high)
+                        else:
+                            own.append([low, high])
+                spans.append([{"low": low, "high": high} for low, high in own])
+                edges = [0, *(x for pair in own for x in pair), len(raw)]
+                kept.append(b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", "whole", "ranges").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<low:long,high:long>>, kept binary")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, spans (low, high: maximal runs of bytes that go), kept (binary: the bytes that stay) of every row of (doc_id, text).
+
+    Null text is empty. Texts below `length` bytes are never touched; longer ones of any size are hashed in pieces. A repeated row
+    is a copy: all of its windows repeat, whatever their order. An empty table gives an empty result; of extra columns, whatever
+    their names, none is read.
     """
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))).alias("k2"), "text")
     prints = materialize(runs_of(keyed, length, gram), "runs")
@@ -296,28 +363,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     mixed = materialize(one.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1").select(F.col("anchor").alias("a")), "mixed-anchors")
     wanted = one.join(mixed, F.col("anchor") == F.col("a")).groupBy("at.k1", "at.k2", "at.doc_id").agg(F.collect_list(F.struct("at.start", "at.windows", "anchor", "content")).alias("wanted")).toDF("w1", "w2", "w_id", "wanted")
     same_text = (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
-    fetched = _contents(keyed.join(materialize(wanted, "wanted"), same_text), length).dropDuplicates(["anchor", "content"])
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = materialize(_expanded(fetched.repartition(n, "anchor").sortWithinPartitions("anchor", "content"), length), "ranges")
-    whole = one.where("n > 1").select("content", F.lit(0).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("high"))
-    found = materialize(ranges.unionByName(whole).select(F.col("content").alias("c"), "low", "high"), "found")
-    hits = near.join(found, F.col("content") == F.col("c")).select("k1", "k2", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.coalesce("high", "windows")).alias("high")).alias("r"))
-    spans = materialize(hits.groupBy("k1", "k2").agg(F.collect_list("r").alias("ranges")), "spans").toDF("s1", "s2", "ranges")
-    few = texts.join(spans, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("doc_id").alias("t_id"), "copies", "long", "ranges")
-    few = materialize(few, "decisions")
-    kind = F.when(F.col("long") & (F.col("copies") > 1), "all").when(F.col("ranges").isNotNull(), "part").otherwise("none")
-    few = few.withColumn("kind", kind)
-    of = few.select("t1", "t2", "kind")
-    rows = prints.select("doc_id", "k1", "k2", "n_bytes", "sha256").join(of, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")))
-    gone = F.col("kind") == "all"
-    zero = F.lit(0).cast("bigint")
-    plain = rows.where("kind <> 'part'").select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(zero).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("bigint").alias("n_spans"), F.when(gone, hashlib.sha256().hexdigest()).otherwise(F.col("sha256")).alias("kept_sha256"))
-    part = few.where("kind = 'part'").select("t1", "t2", "t_id", "ranges")
-    cut = keyed.join(part, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("t_id")))
-    cut = cut.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "text", "ranges")
-    return plain.unionByName(_cut(cut, length))
+    fetched = materialize(_contents(keyed.join(materialize(wanted, "wanted"), same_text), length).dropDuplicates(["key", "piece"]), "run-bytes")
+    whole = one.where("n > 1").select(F.col("anchor").alias("key"), F.col("content").alias("piece"), F.lit(0).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("high"))
+    found = materialize(repeated_ranges(fetched, length, gram, hot).unionByName(whole), "found")
+    hits = near.join(found, (F.col("content") == F.col("piece")) & (F.col("anchor") == F.col("key")))
+    hits = hits.select("k1", "k2", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.coalesce("high", "windows")).alias("high")).alias("r"))
+    spans = hits.groupBy("k1", "k2").agg(F.collect_list("r").alias("ranges")).select("k1", "k2", F.lit(False).alias("whole"), "ranges")  # of one text
+    copied = texts.where("long and copies > 1").select("k1", "k2", F.lit(True).alias("whole"), F.lit(None).cast(spans.schema["ranges"].dataType).alias("ranges"))
+    touched = spans.unionByName(copied).groupBy("k1", "k2").agg(F.max("whole").alias("whole"), F.max("ranges").alias("ranges")).toDF("t1", "t2", "whole", "ranges")
+    rows = keyed.join(materialize(touched, "decisions"), (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")), "left")
+    return _cut(rows, length)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 400-byte strings that also start elsewhere."""
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document without the bytes of 400-byte strings that also start elsewhere.
+
+    text is what stays; where a cut went through a character, its remaining bytes read as U+FFFD there, but not in kept_sha256.
+    """
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["high"] - s["low"])
+    return out.select("doc_id", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"), "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans")

@@ -31,14 +31,41 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("n,gram", [(40, 10), (400, 100)])
-def test_against_brute_force(spark, n, gram):
+def digest(row):
+    spans = [(s.low, s.high) for s in row.spans]
+    return row.n_bytes, sum(b - a for a, b in spans), len(spans), hashlib.sha256(row.kept).hexdigest()
+
+
+@pytest.mark.parametrize("n,gram,hot", [(40, 10, 2), (400, 100, 256), (41, 8, 3)])
+def test_against_brute_force(spark, n, gram, hot):
     docs = texts(n)
     df = spark.createDataFrame([(i if i != 7 else None, t, 0) for i, t in enumerate(docs)], "doc_id long, text string, n_bytes int")
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(df, n, gram).collect()}
+    got = {r.doc_id: digest(r) for r in repeats.remove_repeats(df, n, gram, hot).collect()}
     assert got == {(i if i != 7 else None): w for i, w in enumerate(brute([(t or "").encode() for t in docs], n))}
 
 
+def test_halves_keep_every_window():
+    r = random.Random(4)
+    for _ in range(200):
+        n, x = 20, r.randint(0, 12)
+        y = x + r.randint(1, 20 - x)
+        raw = bytes(r.choice(b"ab") for _ in range(r.randint(max(20, y), 20 + x)))  # every window holds x to y
+        seen = []
+        for first, past, _side, a, b in repeats.halves(raw, x, y, n):
+            seen += range(first, past)
+            assert all(w <= a and b <= w + n for w in range(first, past)) and (b - a > y - x or y - x == n)
+        assert seen == list(range(len(raw) - n + 1))
+
+
+def test_query(spark):
+    out = repeats.op4_repeats(spark, "/root/testdata/sf0.001")
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    want = dict(zip(docs, brute([t.encode() for t in docs.values()], 400), strict=True))
+    for r in out.collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+        assert r.n_removed or r.text == docs[r.doc_id]
+
+
 def test_pieces_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1000)
     import numpy as np
