@@ -38,8 +38,8 @@ def test_quality_edges(spark):
 
 
 def text_of(page):
-    found = html.blocks(page)
-    return " ".join(t for _, t, _ in [x for x in found if x[2]] or found)
+    found = [x for x in html.Page(page).blocks if not x[3]]
+    return " ".join(x[1] for x in [x for x in found if x[2]] or found)
 
 
 @pytest.mark.parametrize(
