@@ -1,22 +1,25 @@
 """Mixing sources to target weights by exact block quotas, split among output shards along a binary tree.
 
-Documents of a source form blocks by a keyed hash. Blocks stand in a keyed permutation; a source's target takes every
-block as often as its words go in whole, then the first blocks of the permutation, and the leading words of one document
-at the edge. The block draws of all sources are an urn. A binary tree halves the shards again and again, and at each node
-the draws of each source that go left are a multivariate hypergeometric sample, drawn draw by draw from the urn with keyed
-uniforms. Each shard then takes the next disjoint run of each source's permuted draws and shuffles its rows locally.
+Documents of a source form blocks by a keyed hash. Blocks stand in a keyed permutation; a source's quota is every block as
+often as its words go into the target in whole, and then the first blocks of the permutation. The draws of all sources are an urn. A
+binary tree halves the shards again and again, and at each node the draws of each source that go left are a multivariate
+hypergeometric sample, by inverting the distribution around its mode with one keyed uniform a source. Each shard then draws its
+number of blocks of each source, the next ones of the permutation, so that no two shards draw the same, and shuffles their
+documents locally. What no shard draws is not in the mix.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import WORD, materialize, table
+from .store import WORD, let, materialize, table
 
-#: Documents in a block, on average.
-BLOCK = 256
+#: Documents in a block and draws in a shard, on average at most; permutations are ranked in so many parts.
+BLOCK, SHARD, PARTS_LOG2 = 256, 32, 10
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -41,11 +44,48 @@ def _uniform(seed: int, *cols: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def ln_factorial(n: Column) -> Column:
+    """Logarithm of n!: a table below 16, Stirling's series from there."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + math.log(2 * math.pi) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n < 16, F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), (F.least(n, F.lit(15)) + 1).cast("int"))).otherwise(series)
+
+
+def hypergeometric(good: Column, total: Column, need: Column, u: Column) -> Column:
+    """How many of `good` among `total` are in a sample of `need`, for a uniform u: values are tried from the mode outwards until their
+    probabilities reach u. Ten standard deviations and 40 are tried on each side; what lies beyond is less than rounding."""
+    ln_choose = lambda n, k: ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k)
+    whole = lambda c: c.cast("bigint")
+    g, n, k = (c.cast("double") for c in (good, total, need))
+    mode = F.greatest(F.least(whole(F.floor((k + 1) * (g + 1) / (n + 2))), good, need), need - (total - good), F.lit(0).cast("bigint"))
+    deviation = F.sqrt(k * (g / n) * (1 - g / n) * (n - k) / F.greatest(n - 1, F.lit(1.0)))
+
+    def tried(m: Column) -> Column:
+        p = F.exp(ln_choose(good, m) + ln_choose(total - good, need - m) - ln_choose(total, need))
+        start = F.struct(p.alias("up"), p.alias("down"), (u - p).alias("left"), F.when(u < p, m).alias("out"))
+
+        def step(a: Column, i: Column) -> Column:
+            x, y = (m + i - 1).cast("double"), (m - i + 1).cast("double")
+            up = a["up"] * F.greatest(F.lit(0.0), (g - x) * (k - x)) / ((x + 1) * (n - g - k + x + 1))
+            down = a["down"] * F.greatest(F.lit(0.0), y) * F.greatest(F.lit(0.0), n - g - k + y) / ((g - y + 1) * (k - y + 1))
+
+            def both(v: Column) -> Column:
+                out = F.when(a["out"].isNotNull(), a["out"]).when(a["left"] < v["up"], m + i).when(a["left"] < v["up"] + v["down"], m - i)
+                return F.struct(v["up"].alias("up"), v["down"].alias("down"), (a["left"] - v["up"] - v["down"]).alias("left"), out.alias("out"))
+
+            return let(F.struct(F.coalesce(up, F.lit(0.0)).alias("up"), F.coalesce(down, F.lit(0.0)).alias("down")), both)
+
+        return F.coalesce(F.aggregate(F.sequence(F.lit(1).cast("bigint"), whole(F.ceil(10 * deviation)) + 40), start, step, lambda a: a["out"]), m)
+
+    least = F.greatest(F.lit(0).cast("bigint"), need - (total - good))
+    return F.when(least >= F.least(good, need), least).otherwise(let(mode, tried))
+
+
 def split_tree(quotas: DataFrame, shards_log2: int, seed: int) -> DataFrame:
     """(source, quota) to (shard, source, n, before): each source's draws in 2 ** shards_log2 shards of near-equal size.
 
     A node is one row with its sources' counts, so the tables have a row per node; left counts are drawn without
-    replacement from the node's urn, which is what makes them multivariate hypergeometric.
+    replacement from the node's urn, source after source, which is what makes them multivariate hypergeometric.
     """
     node = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "quota"))).alias("urn")).withColumn("shard", F.lit(0).cast("bigint"))
     zero = F.lit(0).cast("bigint")
@@ -53,70 +93,105 @@ def split_tree(quotas: DataFrame, shards_log2: int, seed: int) -> DataFrame:
         total = F.aggregate("urn", zero, lambda a, x: a + x["quota"])
 
         def deal(a: Column, x: Column) -> Column:
-            draw = F.struct(a["need"].alias("need"), a["rest"].alias("rest"), x["quota"].alias("own"), zero.alias("left"))
-
-            def step(d: Column, i: Column) -> Column:
-                hit = _uniform(seed, F.lit(depth), F.col("shard"), a["rest"], i) * d["rest"] < d["need"]
-                one = F.when(hit, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-                return F.struct((d["need"] - one).alias("need"), (d["rest"] - 1).alias("rest"), (d["own"] - 1).alias("own"), (d["left"] + one).alias("left"))
-
-            steps = F.when(x["quota"] > 0, F.sequence(F.lit(1).cast("bigint"), x["quota"])).otherwise(F.array().cast("array<bigint>"))
-            done = F.transform(F.array(F.aggregate(steps, draw, step)), lambda d: F.struct(d["need"].alias("need"), d["rest"].alias("rest"), F.concat(a["out"], F.array(d["left"])).alias("out")))
-            return done[0]
+            u = _uniform(seed, F.lit(depth), F.col("shard"), F.size(a["out"]))
+            left = hypergeometric(x["quota"], a["rest"], a["need"], u)
+            return let(left, lambda n: F.struct((a["need"] - n).alias("need"), (a["rest"] - x["quota"]).alias("rest"), F.concat(a["out"], F.array(n)).alias("out")))
 
         start = F.struct(F.ceil(F.col("total") / 2).cast("bigint").alias("need"), F.col("total").alias("rest"), F.array().cast("array<bigint>").alias("out"))
-        cut = node.withColumn("total", total).withColumn("left", F.aggregate("urn", start, deal, lambda a: a["out"]))
+        cut = materialize(node.withColumn("total", total).withColumn("left", F.aggregate("urn", start, deal, lambda a: a["out"])), "mix-node")
         side = lambda left: F.zip_with("urn", "left", lambda x, n: F.struct(x["last"].alias("last"), x["source"].alias("source"), (n if left else x["quota"] - n).alias("quota")))
         halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), side(True).alias("urn")), F.struct((F.col("shard") * 2 + 1).alias("shard"), side(False).alias("urn")))
-        node = materialize(cut.select(F.explode(halves).alias("h")).select("h.*"), "mix-node")
-    flat = node.select("shard", F.explode("urn").alias("u")).select("shard", "u.source", F.col("u.quota").alias("n"))
+        node = cut.select(F.explode(halves).alias("h")).select("h.*")
+    flat = materialize(node.select("shard", F.explode("urn").alias("u")).select("shard", "u.source", F.col("u.quota").alias("n")), "mix-plan")
     return flat.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), zero))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards_log2: int = 3, seed: int = 7) -> DataFrame:
-    """The mix of (doc_id, source, size): a row per copy with doc_id, source, size, source_size, target, block, pass, words, shard, place.
+def ranked_blocks(dealt: DataFrame, seed: int) -> DataFrame:
+    """(source, block, block_size, source_size, target, n_blocks, rank, before): places in the source's permutation, and the words before it.
 
-    `words` is how many leading words of the document this copy has (its whole size but at the edge of the target), `place` a
-    keyed order inside the shard. Documents of no words, and those past the target, have one row with pass null and words 0,
-    so that every input row is accounted for. Repeated rows are separate documents; where rows tie completely either may be
-    the edge. Empty tables give an empty mix. Blocks spread a hot source over many tasks; per-source sums come from
-    block sums, which are added up before any shuffle.
+    A part of the permutation is ranked by itself, after the sums of the parts before it, so that no task holds all blocks of a source.
     """
-    whole = lambda c: F.col(c).cast("bigint")
-    per_source = docs.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"), F.count("*").alias("n_docs"))
-    goal = materialize(targets(per_source, weights, share, most), "mix-targets").withColumnRenamed("source", "g_source")
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCK)).cast("bigint")
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    dealt = docs.join(goal, docs["source"].eqNullSafe(F.col("g_source"))).drop("g_source").withColumn("block", F.pmod(key, n_blocks))
-    dealt = materialize(dealt.select("doc_id", "source", whole("size").alias("size"), "source_size", "target", "block"), "mix-docs")
+    turn = F.xxhash64(F.lit(seed), "source", "block")
     blocks = dealt.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
-    order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
-    blocks = blocks.withColumn("upto", F.sum("block_size").over(order)).withColumn("rank", F.row_number().over(order).cast("bigint"))
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    blocks = blocks.withColumn("rounds", rounds).withColumn("rest", (F.round("target").cast("bigint") - F.col("rounds") * F.col("source_size")))
-    before = F.col("upto") - F.col("block_size")
-    blocks = blocks.withColumn("edge", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("block_size"), F.col("rest") - before)))
-    blocks = materialize(blocks.select("source", "block", "rank", "rounds", "block_size", "edge"), "mix-blocks")
-    per = blocks.groupBy("source").agg((F.sum("rounds") + F.sum(F.when(F.col("edge") > 0, 1).otherwise(0))).cast("bigint").alias("quota"))
-    plan = split_tree(per, shards_log2, seed + 2)
-    counted = blocks.join(blocks.groupBy(F.col("source").alias("s_source")).agg(F.count("*").alias("n_blocks")), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    passes = F.expr("if(rounds + int(edge > 0) > 0, sequence(0L, rounds + bigint(edge > 0) - 1), array(cast(null as bigint)))")
-    draws = counted.select("source", "block", "rank", "n_blocks", "rounds", "block_size", "edge", F.explode(passes).alias("pass"))
-    draws = draws.withColumn("draw", F.col("pass") * F.col("n_blocks") + F.col("rank") - 1)  # the edge pass takes the first blocks of the permutation: no gap
-    placed = draws.join(plan.withColumnRenamed("source", "p_source"), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("draw") >= F.col("before")) & (F.col("draw") < F.col("before") + F.col("n")), "left")
-    placed = materialize(placed.select(F.col("source").alias("d_source"), F.col("block").alias("d_block"), "pass", "shard", F.when(F.col("pass").isNull(), F.lit(0)).when(F.col("pass") < F.col("rounds"), F.col("block_size")).otherwise(F.col("edge")).cast("bigint").alias("take"), "block_size"), "mix-draws")
-    rows = dealt.join(placed, dealt["source"].eqNullSafe(F.col("d_source")) & (F.col("block") == F.col("d_block"))).drop("d_source", "d_block")
-    cut = (F.col("take") > 0) & (F.col("take") < F.col("block_size"))
-    inside = W.partitionBy("source", "block", "pass").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id", "size")  # a block has about BLOCK documents
-    edge = rows.where(cut).withColumn("up", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("words", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("take") - F.col("up") + F.col("size")))).drop("up")
-    plain = rows.where(~cut).withColumn("words", F.when(F.col("take") > 0, F.col("size")).otherwise(F.lit(0).cast("bigint")))
-    return plain.unionByName(edge).withColumn("place", F.xxhash64(F.lit(seed + 4), "shard", "doc_id", "pass")).drop("take", "block_size")
+    blocks = materialize(blocks.withColumn("turn", turn).withColumn("part", F.call_function("shiftright", F.col("turn"), F.lit(64 - PARTS_LOG2))), "mix-blocks")
+    parts = blocks.groupBy("source", "part").agg(F.sum("block_size").alias("words"), F.count("*").alias("n"))
+    upto = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), F.sum("n").over(W.partitionBy("source")).alias("n_blocks"), *[F.coalesce(F.sum(c).over(upto), F.lit(0)).cast("bigint").alias(f"{c}_before") for c in ("words", "n")])
+    both = blocks.join(materialize(parts, "mix-parts"), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
+    order = W.partitionBy("source", "part").orderBy("turn", "block")
+    rank = F.col("n_before") + F.row_number().over(order) - 1
+    before = F.col("words_before") + F.sum("block_size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("block_size")
+    return both.select("source", "block", "block_size", "source_size", "target", "n_blocks", rank.cast("bigint").alias("rank"), before.cast("bigint").alias("before"))
+
+
+def edge_rows(rows: DataFrame, cut: bool, seed: int) -> DataFrame:
+    """Of the blocks at the edges of targets (about BLOCK documents each), words of whole documents that fit into need, in a keyed order.
+
+    A document that is too large is passed over; at last the smallest of these gives the words that are missing (cut), or is taken in
+    whole if that brings the sum nearer.
+    """
+    copy = F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("turn"), "doc_id", "size", "source_size", "target")
+    blocks = rows.groupBy("source", "block", "pass", "shard", "need").agg(F.sort_array(F.collect_list(copy)).alias("all"))
+    start = F.struct(F.col("need").alias("need"), F.array().cast("array<boolean>").alias("in"))
+    fold = F.aggregate("all", start, lambda a, x: F.struct((a["need"] - F.when(x["size"] <= a["need"], x["size"]).otherwise(0)).alias("need"), F.concat(a["in"], F.array(x["size"] <= a["need"])).alias("in")))
+    done = blocks.withColumn("fit", fold)
+    over = F.array_min(F.filter(F.transform("all", lambda x, i: F.when(~F.get("fit.in", i), F.struct(x["size"].alias("size"), i.alias("i")))), lambda x: x.isNotNull()))
+    extra = F.col("fit.need") if cut else F.when(over["size"] < 2 * F.col("fit.need"), over["size"]).otherwise(0)
+    done = done.withColumn("over", over["i"]).withColumn("extra", extra.cast("bigint"))
+    words = lambda x, i: F.when(F.get("fit.in", i), x["size"]).when(i == F.col("over"), F.col("extra")).otherwise(0).cast("bigint")
+    one = lambda x, i: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["source_size"].alias("source_size"), x["target"].alias("target"), words(x, i).alias("words"))
+    return done.select("source", "block", "pass", "shard", F.explode(F.transform("all", one)).alias("x")).select("source", "block", "pass", "shard", "x.*")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, cut: bool = True, draws: int = SHARD, seed: int = 7) -> DataFrame:
+    """The mix of (doc_id, source, size): a row per copy with doc_id, source, size, source_size, target, block, pass, shard, words, place.
+
+    `words` is the document's size in a copy that a shard draws (with cut, one document at the edge of each target gives its leading
+    words only; else a source's words miss the target by up to half that document), `place` the copy's place in its shard (from 1). A
+    document that no shard draws has a row with words 0 and place null, so that every input row is accounted for. doc_id is
+    whatever identifies a row, a struct perhaps; rows that are equal in all three columns are separate documents. Null sources are
+    a source of their own, a null size counts as 0, a document may be of any size. Empty tables give an empty mix; extra columns are ignored.
+    Results depend on the rows alone, not on their order or partitions.
+    """
+    whole = lambda c: c.cast("bigint")
+    docs = docs.select("doc_id", "source", whole(F.coalesce("size", F.lit(0))).alias("size"))
+    per_source = docs.groupBy("source").agg(whole(F.sum("size")).alias("source_size"), F.count("*").alias("n_docs"))
+    goal = materialize(targets(per_source, weights, share, most), "mix-targets").withColumnRenamed("source", "g_source")
+    n_blocks = whole(F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCK)))
+    dealt = docs.join(goal, docs["source"].eqNullSafe(F.col("g_source"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n_blocks))
+    dealt = materialize(dealt.select("doc_id", "source", "size", "source_size", "target", "block"), "mix-docs")
+    rounds = F.when(F.col("source_size") > 0, whole(F.floor(F.col("target") / F.col("source_size")))).otherwise(F.lit(0).cast("bigint"))
+    blocks = ranked_blocks(dealt, seed + 1).withColumn("rounds", rounds).withColumn("need", whole(F.round("target")) - F.col("rounds") * F.col("source_size") - F.col("before"))
+    blocks = blocks.withColumn("times", F.col("rounds") + F.when(F.col("need") > 0, 1).otherwise(0))
+    blocks = materialize(blocks.select("source", "block", "rank", "n_blocks", "rounds", "times", "need", "block_size"), "mix-ranks")
+    quotas = materialize(blocks.groupBy("source").agg(whole(F.sum("times")).alias("quota")), "mix-quotas")
+    all_draws = quotas.agg(F.sum("quota")).first()[0] or 0
+    plan = split_tree(quotas, max(0, math.ceil(math.log2(max(1, all_draws / draws)))), seed + 2).where("n > 0")
+    drawn = plan.select("shard", F.col("source").alias("p_source"), F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("p_draw"))
+    passes = blocks.where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)))
+    passes = passes.withColumn("draw", F.col("pass") * F.col("n_blocks") + F.col("rank"))  # the last pass takes the first blocks of the permutation: no gap
+    at = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("draw") == F.col("p_draw"))
+    edge = (F.col("pass") == F.col("rounds")) & (F.col("need") < F.col("block_size"))
+    placed = materialize(passes.join(drawn, at).select(F.col("source").alias("d_source"), F.col("block").alias("d_block"), "pass", "shard", F.when(edge, F.col("need")).alias("need")), "mix-draws")
+    rows = dealt.join(placed, dealt["source"].eqNullSafe(F.col("d_source")) & (F.col("block") == F.col("d_block")), "left").drop("d_source", "d_block")
+    plain = rows.where("need is null").withColumn("words", F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(0)).drop("need")
+    taken = plain.unionByName(edge_rows(rows.where("need is not null"), cut, seed + 3))
+    taken = materialize(taken.withColumn("turn", F.xxhash64(F.lit(seed + 4), "shard", "source", "doc_id", "pass")), "mix-copies")
+    local = F.row_number().over(W.partitionBy("shard").orderBy("turn", "source", "doc_id", "pass"))
+    return taken.where("words > 0").withColumn("place", local).unionByName(taken.where("words = 0").withColumn("place", F.lit(None).cast("int"))).drop("turn")
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, source, any others) to (doc_id: a struct that names each row by its content, source, size in words); equal rows are numbered."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    slim = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), "source", size.alias("size"))
+    equal = slim.groupBy("id", "digest", "source", "size").agg(F.count("*").alias("n"))  # added up before the shuffle
+    return equal.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select(F.struct("id", "digest", "copy").alias("doc_id"), "source", "size")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
-    out = mix(docs.select(F.struct("doc_id", "row").alias("doc_id"), "source", "size"))
-    key = ["doc_id", "size", "source_size", "target"]
-    return out.groupBy(*key).agg(F.sum("words").alias("taken"), F.count("pass").alias("n_copies")).withColumn("doc_id", F.col("doc_id.doc_id"))
+    """Every document with the words that the mix takes of it, and the shards and places of its copies."""
+    out = mix(materialize(row_keys(table(spark, sf_dir, "documents")), "mix-sizes"))
+    copies = F.sort_array(F.collect_list(F.when(F.col("words") > 0, F.struct("shard", "place"))))
+    rows = out.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"), copies.alias("copies"))
+    return rows.select("doc_id.id", "size", "source_size", "target", "taken", "copies").withColumnRenamed("id", "doc_id")

@@ -60,3 +60,52 @@ def test_shards_share_every_source(spark):
 def test_empty_and_wordless(spark):
     assert mixing.mix(rows(spark, [])).isEmpty()
     assert [r.words for r in mixing.mix(rows(spark, [(1, "a", 0)])).collect()] == [0]
+
+
+def test_hypergeometric(spark):
+    from collections import Counter
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    for good, total, need in [(5, 12, 4), (30, 40, 20), (0, 9, 3), (9, 9, 3), (7, 50, 50), (18, 40, 17)]:
+        df = spark.range(4000).select(mixing.hypergeometric(*[F.lit(x).cast("bigint") for x in (good, total, need)], (F.col("id") + 0.5) / 4000).alias("x"))
+        got = Counter(r.x for r in df.collect())
+        for x in range(good + 1):
+            p = comb(good, x) * comb(total - good, need - x) / comb(total, need) if 0 <= need - x <= total - good else 0
+            assert abs(got[x] - 4000 * p) <= 1.5
+        assert set(got) <= set(range(good + 1))
+    far = spark.range(50).select(mixing.hypergeometric(F.lit(4 * 10**8), F.lit(10**9), F.lit(5 * 10**8), (F.col("id") + 0.5) / 50).alias("x"))
+    xs = sorted(r.x for r in far.collect())
+    deviation = (5e8 * 0.4 * 0.6 * 0.5) ** 0.5
+    assert abs(sum(xs) / 50 - 2e8) < deviation and abs(xs[8] - 2e8 + deviation) < deviation / 4 and abs(xs[41] - 2e8 - deviation) < deviation / 4
+
+
+def test_tree_decides(spark, monkeypatch):
+    docs = rows(spark, [(i, "ab"[i % 2], i % 50) for i in range(3000)])
+    own = mixing.mix(docs).where("words > 0").count()
+    plan = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: plan(*a).where("source = 'a'"))
+    assert 0 < mixing.mix(docs).where("words > 0").count() < own
+    assert mixing.mix(docs).where("source = 'b' and words > 0").isEmpty()
+
+
+def test_whole_documents(spark):
+    docs = [(i, "ab"[i % 2], i * 31 % 97) for i in range(2000)]
+    out = mixing.mix(rows(spark, docs), cut=False).collect()
+    assert all(r.words in (0, r.size) for r in out)
+    for s in "ab":
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.words for r in own) - own[0].target) <= 97 / 2
+    assert sorted((r.shard, r.place) for r in out if r.words) == [(s, p + 1) for s in sorted({r.shard for r in out if r.words}) for p in range(sum(r.shard == s and r.words > 0 for r in out))]
+
+
+def test_reruns_agree(spark, tmp_path):
+    text = lambda i: None if i % 13 == 0 else "w " * (i % 40)
+    docs = [(i % 700, text(i), "xyz"[i % 3] if i % 11 else None, 1) for i in range(1500)]
+    seen = []
+    for parts in (1, 7):
+        folder = tmp_path / str(parts)
+        spark.createDataFrame(docs, "doc_id long, text string, source string, size int").repartition(parts).write.parquet(str(folder / "documents.parquet"))
+        seen.append(sorted(map(str, mixing.op3_mixing(spark, str(folder)).collect())))
+    assert seen[0] == seen[1] and len(seen[0]) == 1500
