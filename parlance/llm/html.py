@@ -160,20 +160,17 @@ class Page:
         end()
         pop(0)
 
-    def texts(self) -> list[tuple[int, int]]:
-        """Per block its token and how often that occurs on the page (0 but at its first place)."""
-        from xxhash import xxh64_intdigest
-
-        own = [xxh64_intdigest(text, path ^ 1) for path, text, *_ in self.blocks]
-        times = Counter(own)
-        return [(t, times.pop(t, 0)) for t in own]
+    def times(self) -> list[int]:
+        """Per block how often its path and text occur on the page (0 but at the first place)."""
+        count = Counter(b[:2] for b in self.blocks)
+        return [count.pop(b[:2], 0) for b in self.blocks]
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
-BLOCKS = "array<struct<text:string,token:bigint,n:bigint,inside:boolean,named:boolean,h1:boolean>>"
+BLOCKS = "array<struct<text:string,path:bigint,n:bigint,inside:boolean,named:boolean,h1:boolean>>"
 SEEN = "array<struct<token:bigint,n:bigint,depth:int,first:int,past:int,chars:bigint>>"
 
 
@@ -183,7 +180,7 @@ def parse(pages: DataFrame) -> DataFrame:
     kept = [c for c in pages.columns if c != "html"]
     places = [pages.columns.index(c) for c in kept]
     kinds = [
-        pa.list_(pa.struct([("text", pa.string()), ("token", pa.int64()), ("n", pa.int64()), ("inside", pa.bool_()), ("named", pa.bool_()), ("h1", pa.bool_())])),
+        pa.list_(pa.struct([("text", pa.string()), ("path", pa.int64()), ("n", pa.int64()), ("inside", pa.bool_()), ("named", pa.bool_()), ("h1", pa.bool_())])),
         pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64()), ("depth", pa.int32()), ("first", pa.int32()), ("past", pa.int32()), ("chars", pa.int64())])),
     ]
     signed = lambda x: x - (1 << 63)
@@ -195,11 +192,10 @@ def parse(pages: DataFrame) -> DataFrame:
             blocks, seen, free, prints = [], [], [], []
             for html in batch.column(at):
                 page = Page(html.as_py())
-                texts = page.texts()
-                blocks.append([{"text": text, "token": signed(t), "n": n, "inside": inside, "named": named, "h1": h1} for (t, n), (_, text, inside, named, h1) in zip(texts, page.blocks, strict=True)])
+                blocks.append([{"text": text, "path": signed(path), "n": n, "inside": inside, "named": named, "h1": h1} for n, (path, text, inside, named, h1) in zip(page.times(), page.blocks, strict=True)])
                 seen.append([{"token": signed(t), "n": n, "depth": depth, "first": first, "past": past, "chars": chars} for t, (n, depth, first, past, chars) in page.elements.items()])
                 free.append(page.free)
-                prints.append(signed(xxh64_intdigest(repr((texts, page.elements)))))
+                prints.append(signed(xxh64_intdigest(repr((page.blocks, page.elements)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(blocks, kinds[0]), pa.array(seen, kinds[1]), pa.array(free, pa.int64()), pa.array(prints, pa.int64())], names=[*kept, "blocks", "seen", "free", "print"])
 
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("blocks", T._parse_datatype_string(BLOCKS)), T.StructField("seen", T._parse_datatype_string(SEEN)), T.StructField("free", T.LongType()), T.StructField("print", T.LongType())])
@@ -233,23 +229,28 @@ def with_range(pages: DataFrame, found: DataFrame) -> DataFrame:
     return both.withColumn("low", -F.col("best.first")).withColumn("past", F.col("best.past")).drop("best", "slots", "t_host")
 
 
+def text_token(block: Column) -> Column:
+    return F.xxhash64(block["path"], block["text"])
+
+
 def fixed_texts(pages: DataFrame, sizes: DataFrame) -> DataFrame:
     """(f_host, fixed): tokens of the texts of valid classes in the slots; about as many as texts on a page, times 1 / TEXT_SHARE."""
-    inside = F.filter("blocks", lambda x, i: (i >= F.coalesce("low", F.lit(0))) & (i < F.coalesce("past", F.size("blocks"))) & ~x["named"])
-    free = F.aggregate("inside", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["text"]))
-    each = pages.withColumn("inside", inside).select("host", "print", free.alias("free"), F.explode("inside").alias("t")).where("t.n > 0")
-    tokens = token_classes(each.select("host", "print", "free", "t.token", "t.n", F.lit(0).alias("depth"), (F.col("t.n") * F.length("t.text")).alias("chars")))
+    inside = F.filter("marks", lambda x: (x["i"] >= F.coalesce("low", F.lit(0))) & (x["i"] < F.coalesce("past", F.lit((1 << 31) - 1))))
+    each = pages.withColumn("inside", inside).withColumn("chars_in", F.aggregate("inside", F.lit(0).cast("bigint"), lambda a, x: a + x["chars"]))
+    each = each.select("host", "print", F.col("chars_in").alias("free"), F.explode("inside").alias("t")).where("t.n > 0")
+    tokens = token_classes(each.select("host", "print", "free", "t.token", "t.n", F.lit(0).alias("depth"), (F.col("t.n") * F.col("t.chars")).alias("chars")))
     classes = frequent(tokens, sizes, TEXT_SHARE).groupBy("host", "a", "b", "pages").agg(F.collect_list("token").alias("members"), F.sum("chars").alias("chars"), F.max("free").alias("free"))
     return classes.where(F.col("chars") <= (1 - LEAVES) * F.col("free")).groupBy(F.col("host").alias("f_host")).agg(F.flatten(F.collect_list("members")).alias("fixed"))
 
 
 def templates(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The hosts' slots and fixed texts, written. Equal pages of a host (print) count once."""
-    pages = materialize(parsed.select("host", "print", "seen", "free").dropDuplicates(["host", "print"]), "pages")
+    mark = lambda x, i: F.when(~x["named"], F.struct(i.alias("i"), text_token(x).alias("token"), x["n"].alias("n"), F.length(x["text"]).alias("chars")))
+    marks = F.filter(F.transform("blocks", mark), lambda x: x.isNotNull())
+    pages = materialize(parsed.select("host", "print", "seen", "free", marks.alias("marks")).dropDuplicates(["host", "print"]), "pages")
     sizes = materialize(pages.groupBy(F.col("host").alias("s_host")).agg(F.count("*").alias("all_pages")), "hosts")
     found = materialize(slots(pages, sizes), "slots")
-    texts = parsed.dropDuplicates(["host", "print"])
-    return found, materialize(fixed_texts(with_range(texts, found), sizes), "fixed-texts")
+    return found, materialize(fixed_texts(with_range(pages, found), sizes), "fixed-texts")
 
 
 def slot_text() -> Column:
@@ -258,7 +259,7 @@ def slot_text() -> Column:
 
     def kept(x: Column, i: Column) -> Column:
         in_slot = F.when(F.col("low").isNotNull(), ((i >= F.col("low")) & (i < F.col("past"))) | x["h1"]).otherwise(x["inside"] | ~inside)
-        return in_slot & ~x["named"] & ~F.coalesce(F.array_contains("fixed", x["token"]), F.lit(False))
+        return in_slot & ~x["named"] & ~F.when(F.size("fixed") > 0, F.array_contains("fixed", text_token(x))).otherwise(F.lit(False))
 
     return F.filter("blocks", kept)
 
@@ -272,7 +273,7 @@ def extract(pages: DataFrame, found: tuple[DataFrame, DataFrame] | None = None)
     written; the templates meet them by host, broadcast by Spark if their written size allows, else in a join whose hot hosts
     it splits.
     """
-    reserve(pages, "text", "n_chars", "host", "slots", "fixed", "t_host", "f_host", "blocks", "seen", "free", "print", "best", "low", "past")
+    reserve(pages, "text", "n_chars", "host", "slots", "fixed", "t_host", "f_host", "blocks", "seen", "free", "print", "best", "low", "past", "marks")
     parsed = materialize(parse(pages.withColumn("host", host_of(F.col("url")))), "parsed-pages")
     found, fixed = found or templates(parsed)
     both = with_range(parsed, found).join(fixed, F.col("host") == F.col("f_host"), "left")
