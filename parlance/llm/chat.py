@@ -6,9 +6,10 @@ Grammar of a formatted conversation (turns one after another, nothing between):
     assistant  <s> text </s>
     any other  [SYS] role NEWLINE text [/SYS]
 
-A conversation is rendered with its texts as they are and parsed again by READ. Where the parsed turns differ from the
-source, texts and roles are rendered escaped: a control string gets a backslash behind its first character, and one that
-already has backslashes there gets one more, so the parser (which always takes one away) returns the source exactly.
+Control strings inside texts are always escaped: one gets a backslash behind its first character, and one that already has
+backslashes there gets one more, so the parser (which always takes one away) returns the source exactly. A conversation is
+rendered so and parsed again by READ. Where the parsed turns differ from the source, which an odd role can cause, its roles are
+escaped too; what then still differs stops the job.
 """
 
 from __future__ import annotations
@@ -41,13 +42,15 @@ def _role_in(r: Column) -> Column:
     return _unescape(F.replace(F.replace(r, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%")))
 
 
-def render(turns: Column, escaped: bool) -> Column:
+def render(turns: Column, roles: bool) -> Column:
+    """Texts escaped, and with `roles` the roles too."""
+
     def one(t: Column) -> Column:
-        text = _escape(t["text"]) if escaped else t["text"]
+        text = _escape(t["text"])
         return (
             F.when(t["role"] == "user", F.concat(F.lit("[INST] "), text, F.lit(" [/INST]")))
             .when(t["role"] == "assistant", F.concat(F.lit("<s> "), text, F.lit(" </s>")))
-            .otherwise(F.concat(F.lit("[SYS] "), _role_out(t["role"], escaped), F.lit("\n"), text, F.lit(" [/SYS]")))
+            .otherwise(F.concat(F.lit("[SYS] "), _role_out(t["role"], roles), F.lit("\n"), text, F.lit(" [/SYS]")))
         )
 
     return F.array_join(F.transform(turns, one), "")
@@ -65,18 +68,19 @@ def parse(formatted: Column) -> Column:
 
 
 def format_chats(df: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (the source), escaped (whether the plain form did not survive its round trip).
+    """conv_id, formatted, turns (the source), escaped (whether any control string or role is).
 
     One row per conv_id (null is a conversation of its own); turns in order of turn, then role, then text, nulls first, so
-    ties and repeated rows have one order. Null texts and roles count as empty. Extra columns are ignored. A conversation is
-    one string, so it is gathered in one task; the text of other conversations never is.
+    ties and repeated rows have one order. Null texts and roles count as empty; texts may be of any length. An empty table gives an
+    empty result. Extra columns are ignored, whatever their names. A conversation is one string, so it is gathered in one
+    task; the text of other conversations never is.
     """
     some = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     turns = F.transform(F.sort_array(F.collect_list(some)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     grouped = df.groupBy("conv_id").agg(turns.cast(TURN).alias("turns")).withColumn("plain", render(F.col("turns"), False))
     held = (parse(F.col("plain")) == F.col("turns")) & (F.length(F.array_join(F.regexp_extract_all("plain", F.lit(READ), F.lit(0)), "")) == F.length("plain"))
-    checked = grouped.withColumn("escaped", ~held)
-    return checked.withColumn("formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("plain"))).select("conv_id", "formatted", "turns", "escaped")
+    checked = grouped.withColumn("held", held).withColumn("formatted", F.when(F.col("held"), F.col("plain")).otherwise(render(F.col("turns"), True)))
+    return checked.select("conv_id", "formatted", "turns", (~F.col("held") | F.exists("turns", lambda t: _escape(t["text"]) != t["text"])).alias("escaped"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:

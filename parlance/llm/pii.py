@@ -2,7 +2,12 @@
 
 Found values are validated (Luhn for cards, mod 97 for IBANs, octet and calendar ranges, SSN areas) and then mapped by a
 keyed Feistel network that permutes the set of values of their format. Equal values get equal pseudonyms in every
-document; different values never collide within a format; a number that fails its validation is left as it is.
+document; different values never collide within a format; a number that fails its validation is left as it is. Where not all
+strings of a format are valid and no check digit mends them (SSN, North American phone numbers), the network is walked again until
+its value is valid as the first one was, which keeps it a permutation.
+
+The key comes from the setting KEY_SETTING (whose name Spark redacts in logs and pages) and reaches the expressions as a scalar
+subquery over a one-row table, so that it stands in no SQL text, plan or event log.
 """
 
 from __future__ import annotations
@@ -13,6 +18,10 @@ from pyspark.sql import functions as F
 from .store import reserve, table
 
 ROUNDS = 8
+#: Walks of a cycle at most; a value that is still invalid then, one in 10 ** 12 at the worst format, stays so.
+WALKS = 64
+KEY_SETTING, DEMO_KEY = "spark.parlance.pii.secret", "demonstration only"
+_SSN, _NANP = "^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$", "^[2-9][0-9]{2}[2-9][0-9]{6}$"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Java patterns by kind; the first that matches at a place wins. All are bounded, so the scan is linear in the text.
@@ -36,7 +45,7 @@ def _q(s: str) -> str:
 
 
 def _prf(key: str, kind: str, k: str, other: str, i: str = "0") -> str:
-    return f"cast(conv(substr(sha2(concat_ws('|', {_q(key)}, '{kind}', {k}, {i}, {other}), 256), 1, 12), 16, 10) as bigint)"
+    return f"cast(conv(substr(sha2(concat_ws('|', {key}, '{kind}', {k}, {i}, {other}), 256), 1, 12), 16, 10) as bigint)"
 
 
 def _shift(a: str, b: str, k: str, key: str, kind: str, letters: int) -> str:
@@ -60,6 +69,11 @@ def feistel(s: str, key: str, kind: str, letters: int = 26) -> str:
     )
 
 
+def _walked(o: str, key: str, kind: str, valid: str) -> str:
+    """SQL for the permutation of digit strings that keeps valid ones (a pattern) valid, and the others not."""
+    return f"transform(array({o}), o -> aggregate(sequence(1, {WALKS}), {feistel('o', key, kind)}, (p, w) -> if((p rlike {_q(valid)}) = (o rlike {_q(valid)}), p, {feistel('p', key, kind)})))[0]"
+
+
 def _pair(x: str, a: int, b: int, key: str, kind: str) -> str:
     """SQL for the keyed permutation of 0 .. a * b - 1, as two digits of base a and b."""
     step = f"if(k % 2 = 0, named_struct('l', pmod(z.l + {_prf(key, kind, 'k', 'z.r')}, {a}L), 'r', z.r), named_struct('l', z.l, 'r', pmod(z.r + {_prf(key, kind, 'k', 'z.l')}, {b}L)))"
@@ -121,35 +135,44 @@ def _date(key: str) -> str:
 
 
 def pseudonym(key: str) -> str:
-    """SQL for the pseudonym of x, a match of PATTERN; x itself where the value does not validate."""
+    """SQL for the pseudonym of x, a match of PATTERN; x itself where the value does not validate. key: a column."""
     full = {k: _q(f"^(?:{p})$").replace("\\\\2", "\\\\1").replace("\\\\3", "\\\\2") if k == "card" else _q(f"^(?:{p})$") for k, p in PATTERNS.items()}
-    after = lambda n: f"concat(substr({_DIGITS}, 1, length({_DIGITS}) - {n}), {feistel(f'right({_DIGITS}, {n})', key, 'phone')})"
-    phone = f"case when x like '+1%' then {after(10)} when x like '+%' then {after(6)} else {feistel(_DIGITS, key, 'phone')} end"  # the country stays
+    before = lambda n: f"substr({_DIGITS}, 1, length({_DIGITS}) - {n})"
+    far, near = feistel(f"right({_DIGITS}, 6)", key, "phone"), _walked(f"right({_DIGITS}, 10)", key, "phone", _NANP)
+    phone = f"if(x like '+%' and x not like '+1%', concat({before(6)}, {far}), concat({before(10)}, {near}))"  # the country stays
     how = {
         "email": f"concat({feistel("substring_index(x, '@', 1)", key, 'email')}, '@', substring_index(x, '@', -1))",
         "secret": f"if(x rlike '[A-Fa-f]' and x rlike '[0-9]', {feistel('x', key, 'secret', 6)}, x)",
         "iban": _iban(key),
         "ip": _ip(key),
         "phone": _refill(phone),
-        "ssn": _refill(feistel(_DIGITS, key, "ssn")),
+        "ssn": _refill(_walked(_DIGITS, key, "ssn", _SSN)),
         "date": _date(key),
         "card": _card(key),
     }
     return "case " + " ".join(f"when x rlike {full[k]} then {how[k]}" for k in PATTERNS) + " else x end"
 
 
-def pseudonymize(df: DataFrame, key: str, column: str = "text") -> DataFrame:
+def configured_key(spark: SparkSession) -> str:
+    """The key in KEY_SETTING; DEMO_KEY, which protects nothing, where it is unset, as in tests."""
+    return spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING) or DEMO_KEY
+
+
+def pseudonymize(df: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
     """df with personal data in `column` replaced, and n_replaced (bigint): how many values changed.
 
     No shuffle and no Python: one scan finds texts that hold a candidate, the rest pass untouched.
-    Null text stays null with n_replaced 0; empty text stays empty; repeated rows and extra columns are kept as they are;
-    an existing n_replaced column is an error. Local parts of mail addresses without letters of Latin-1 keep those characters.
+    Null text stays null with n_replaced 0; empty text stays empty; texts of any length are read whole, in one pass; repeated rows and
+    extra columns are kept as they are, so there are no ties; an empty table gives an empty result; an input column n_replaced,
+    __key, __found or __new is an error. Without a key the configured one counts. Local parts of mail addresses without letters of Latin-1 keep those characters.
     """
-    reserve(df, "n_replaced")
+    reserve(df, "n_replaced", "__key", "__found", "__new")
+    spark = df.sparkSession
+    secret = spark.createDataFrame([(key or configured_key(spark),)], "key string")
     t = F.col(f"`{column}`")
     found = F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
-    with_found = df.withColumn("__found", F.when(t.rlike(r"[0-9@]"), found).otherwise(F.array().cast("array<string>")))
-    new = F.expr(f"transform(__found, x -> {pseudonym(key)})")
+    with_found = df.withColumn("__key", secret.scalar()).withColumn("__found", F.when(t.rlike(r"[0-9@]"), found).otherwise(F.array().cast("array<string>")))
+    new = F.expr(f"transform(__found, x -> {pseudonym('__key')})")
     both = with_found.withColumn("__new", F.when(F.size("__found") > 0, new).otherwise(F.array().cast("array<string>")))
     gaps = F.split(t, PATTERN, -1)
     woven: Column = F.array_join(F.flatten(F.zip_with(gaps, F.col("__new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
@@ -165,4 +188,4 @@ def woven_or(c: str, column: str, woven: Column) -> Column:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text pseudonymised: doc_id, text, n_replaced."""
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="production-key")
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import WORD, let, materialize, table
+from .store import WORD, let, materialize, reserve, table
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Measured rates: numerator, denominator, scale, and the distance (in scaled units) that is always allowed beyond the fence.
@@ -21,8 +21,8 @@ RATES = {
     "word_length": ("word_chars", "n_words", 100, 150),
 }
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A group with fewer documents that pass the base rules uses the sketch of the whole corpus, merged from all groups.
-MIN_GROUP = 100
+#: The corpus counts as this many documents of every group, so the cutoffs of a group of n are its own by n / (n + PRIOR).
+PRIOR = 100
 FENCE = 3
 
 
@@ -37,7 +37,11 @@ def _repeat_words(words: Column) -> Column:
 
 
 def with_stats(df: DataFrame, column: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (bigint), row by row; null text counts as empty."""
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (bigint), row by row.
+
+    Null text counts as empty; texts of any length are read whole; input columns with these names are an error.
+    """
+    reserve(df, *STATS, "n_lines", "__stats", "__lines")
     t = F.coalesce(F.col(f"`{column}`"), F.lit(""))
     words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
     stats = let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).alias("word_chars"), _repeat_words(w).alias("n_repeat_words")))
@@ -88,20 +92,23 @@ def thresholds(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def quality_rules(stats: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Adds base_failed and kept to rows that with_stats has measured (pass a written table: it is read twice).
 
-    Sketches take only documents that pass the base rules. Null keys form a group of their own; groups below MIN_GROUP use
-    the corpus-wide sketch. An empty table gives an empty result; repeated rows count as often as they occur. Thresholds are
-    one small row per group: they are written, so Spark broadcasts them only if their size on disk is below its limit.
+    Sketches take only documents that pass the base rules. A group's cutoffs are drawn towards the corpus's, the less the more
+    documents it has: a rate r is met if (n + PRIOR) * r lies between n * own + PRIOR * corpus, at either end. Null keys form a group of their
+    own. An empty table gives an empty result; repeated rows count as often as they occur; extra columns stay, but base_failed and
+    kept are an error. Thresholds are one small row per group: they are written, so Spark broadcasts them only if their size on
+    disk is below its limit.
     """
+    reserve(stats, "base_failed", "kept")
     ks = list(keys)
     own = materialize(sketches(stats.where(~base_failed()), ks), "sketch")
-    limits = ["n_group", *[f"{e}_{k}" for k in RATES for e in ("lo", "hi")]]
-    group = thresholds(own, ks)
-    corpus = thresholds(merge(own, []), []).select(*[F.col(c).alias(f"all_{c}") for c in limits])
-    small = F.col("n_group") < MIN_GROUP
-    both = materialize(group.crossJoin(F.broadcast(corpus)).select(*[F.col(c).alias(f"__{c}") for c in ks], *[F.when(small, F.col(f"all_{c}")).otherwise(F.col(c)).alias(f"__{c}") for c in limits]), "thresholds")  # one row on the right
+    limits = [f"{e}_{k}" for k in RATES for e in ("lo", "hi")]
+    corpus = thresholds(merge(own, []), []).select(F.struct(*limits)).scalar()
+    blend = lambda c: (F.col("n_group") * F.col(c) + PRIOR * F.col("__all")[c]).alias(f"__{c}")
+    group = thresholds(own, ks).withColumn("__all", corpus)
+    both = materialize(group.select(*[F.col(c).alias(f"__{c}") for c in ks], (F.col("n_group") + PRIOR).alias("__weight"), *[blend(c) for c in limits]), "thresholds")
     met = F.lit(True)
     for k, v in rates().items():
-        met = met & v.between(F.col(f"__lo_{k}"), F.col(f"__hi_{k}"))
+        met = met & (v * F.col("__weight")).between(F.col(f"__lo_{k}"), F.col(f"__hi_{k}"))
     on = F.lit(True)
     for c in ks:
         on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
@@ -117,9 +124,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FENCES = ", ".join(f"max(CASE WHEN rate = '{k}' THEN q25 - 3 * (q75 - q25) - {s} END) AS lo_{k}, max(CASE WHEN rate = '{k}' THEN q75 + 3 * (q75 - q25) + {s} END) AS hi_{k}" for k, (*_, s) in RATES.items())
-_TAKE = ", ".join(f"CASE WHEN g.total < {MIN_GROUP} THEN a.{e}_{k} ELSE g.{e}_{k} END AS {e}_{k}" for k in RATES for e in ("lo", "hi"))
+_TAKE = ", ".join(f"g.total * g.{e}_{k} + {PRIOR} * a.{e}_{k} AS {e}_{k}" for k in RATES for e in ("lo", "hi"))
 _RATES = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, coalesce({sc} * {a} // nullif({b}, 0), 0) AS v FROM s WHERE NOT base_failed" for k, (a, b, sc, _) in RATES.items())
-_MET = " AND ".join(f"coalesce({sc} * {a} // nullif({b}, 0), 0) BETWEEN lo_{k} AND hi_{k}" for k, (a, b, sc, _) in RATES.items())
+_MET = " AND ".join(f"weight * coalesce({sc} * {a} // nullif({b}, 0), 0) BETWEEN lo_{k} AND hi_{k}" for k, (a, b, sc, _) in RATES.items())
 
 
 def _quartiles(keys: str) -> str:
@@ -143,7 +150,7 @@ s AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
 b AS (SELECT lang, source, rate, (v >> greatest(length(bin(v)) - 10, 0)) << greatest(length(bin(v)) - 10, 0) AS bucket FROM ({_RATES})),
 qg AS ({_quartiles("lang, source, ")}), qa AS ({_quartiles("")}),
 tg AS (SELECT lang, source, max(total) AS total, {_FENCES} FROM qg GROUP BY lang, source), ta AS (SELECT {_FENCES} FROM qa),
-th AS (SELECT g.lang, g.source, {_TAKE} FROM tg g, ta a)
+th AS (SELECT g.lang, g.source, g.total + {PRIOR} AS weight, {_TAKE} FROM tg g, ta a)
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_MET}, false) AS kept
 FROM s LEFT JOIN th ON s.lang IS NOT DISTINCT FROM th.lang AND s.source IS NOT DISTINCT FROM th.source
 """

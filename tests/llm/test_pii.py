@@ -80,3 +80,26 @@ def test_edges(spark):
     assert pii.pseudonymize(empty, KEY).columns == ["text", "other", "n_replaced"] and pii.pseudonymize(empty, KEY).isEmpty()
     twice = pii.pseudonymize(spark.createDataFrame([("8.8.8.8", 1)] * 2, "text string, other int"), KEY).collect()
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0].n_replaced == 1
+
+
+def test_valid_numbers_stay_valid(spark):
+    import random
+
+    r = random.Random(1)
+    ssn = [f"{a:03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}" for a in r.sample([x for x in range(1, 900) if x != 666], 300)]
+    phone = [f"{r.randint(2, 9)}{r.randint(0, 99):02}-{r.randint(2, 9)}{r.randint(0, 99):02}-{r.randint(0, 9999):04}" for _ in range(200)] + ["(123) 155-0000"]
+    got = run(spark, *ssn, *phone)
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in got[:300]) and len(set(got[:300])) == 300
+    assert all(re.fullmatch(r"[2-9]\d\d-[2-9]\d\d-\d{4}", x) for x in got[300:500]) and not re.fullmatch(r"\([2-9]\d\d\) [2-9].*", got[500])
+    assert len(set(got[300:500])) == len(set(phone[:200])) and sum(a != b for a, b in zip(got, ssn + phone, strict=True)) >= 499
+
+
+def test_key_from_configuration(spark):
+    df = spark.createDataFrame([("8.8.8.8",)], "text string")
+    spark.conf.set(pii.KEY_SETTING, "one")
+    try:
+        out = pii.pseudonymize(df)
+        assert out.first().text == pii.pseudonymize(df, "one").first().text != pii.pseudonymize(df, "two").first().text
+        assert '"one"' not in out._jdf.queryExecution().toString() and "'one'" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
