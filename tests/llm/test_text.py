@@ -104,11 +104,10 @@ def test_control_strings_are_always_escaped(spark, tmp_path):
 
 def test_groups_have_their_own_cutoffs(spark, tmp_path):
     def text(i, symbols):
-        words = [f"word{i}x{j}" for j in range(60)]
-        return " ".join(words) + " #" * symbols
+        return " ".join(f"word{i}x{j}" + "#" * (symbols // 60 + (j < symbols % 60)) for j in range(60))
 
     rows = [(i, text(i, i % 3), "en", "plain") for i in range(300)] + [(1000 + i, text(i, 40 + i % 3), "en", "code") for i in range(300)]
-    rows += [(2000, text(1, 80), "en", "plain"), (2001, text(1, 80), "en", "code"), (2002, None, None, None), (2003, "", "en", "plain")]
+    rows += [(2000, text(1, 70), "en", "plain"), (2001, text(1, 70), "en", "code"), (2002, None, None, None), (2003, "", "en", "plain")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     same_on(spark, "op7_quality", tmp_path)
     kept = {r.doc_id: r.kept for r in queries.QUERIES["op7_quality"](spark, str(tmp_path)).collect()}
