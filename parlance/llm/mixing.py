@@ -181,17 +181,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     return taken.where("words > 0").withColumn("place", local).unionByName(taken.where("words = 0").withColumn("place", F.lit(None).cast("int"))).drop("turn")
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, source, any others) to (doc_id: a struct that names each row by its content, source, size in words); equal rows are numbered."""
+def row_keys(docs: DataFrame, digest: Column) -> DataFrame:
+    """docs to (doc_id: a struct of doc_id, digest and number that names each row by its content, source, size in words); rows of equal id, digest, source and size are numbered."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    slim = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), "source", size.alias("size"))
+    slim = docs.select(F.col("doc_id").alias("id"), digest.alias("digest"), "source", size.alias("size"))
     equal = slim.groupBy("id", "digest", "source", "size").agg(F.count("*").alias("n"))  # added up before the shuffle
     return equal.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select(F.struct("id", "digest", "copy").alias("doc_id"), "source", "size")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it, and the shards and places of its copies."""
-    out = mix(materialize(row_keys(table(spark, sf_dir, "documents")), "mix-sizes"))
+    out = mix(materialize(row_keys(table(spark, sf_dir, "documents"), F.xxhash64("text")), "mix-sizes"))
     copies = F.sort_array(F.collect_list(F.when(F.col("words") > 0, F.struct("shard", "place"))))
     rows = out.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"), copies.alias("copies"))
     return rows.select("doc_id.id", "size", "source_size", "target", "taken", "copies").withColumnRenamed("id", "doc_id")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import materialize, table
+from .store import materialize, reserve, table
 
 CAPACITY, END = 1024, 2
 #: The vocabulary's added token and its id: a text is cut there before words are.
@@ -165,21 +165,27 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """Pieces of (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit)."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    """Pieces of (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit).
+
+    Null text is empty: one piece of the end token. Texts of any length are read whole, in parts that no word crosses. Repeated rows have
+    pieces each, rows are independent, so there are no ties; an empty table gives an empty result; extra columns, whatever their
+    names, are not read; doc_id may be of any type.
+    """
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, pattern)
 
-        def flush(keys: list, texts: list[str]) -> pa.RecordBatch:
+        def flush(keys: list, texts: list[str], key_type: pa.DataType) -> pa.RecordBatch:
             rows: list[tuple] = []
             for key, ids in zip(keys, with_added(encoder, texts), strict=True):
                 whole = np.append(ids, np.uint32(end)).astype("<u4")
                 for piece, (start, length) in enumerate(cuts(len(whole), capacity)):
                     raw = whole[start : start + length].tobytes()
                     rows.append((key, piece, start, length, zlib.crc32(raw), *([raw] if keep_ids else [])))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=schema.replace(" binary", "").replace(" long", "").replace(" int", "").split(", "))
+            kinds = [key_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
         for batch in batches:
             keys, texts, n = [], [], 0
@@ -189,10 +195,10 @@ def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY,
                 texts.append(text)
                 n += len(text)
                 if n > CHUNK:
-                    yield flush(keys, texts)
+                    yield flush(keys, texts, batch.schema.types[0])
                     keys, texts, n = [], [], 0
             if keys:
-                yield flush(keys, texts)
+                yield flush(keys, texts, batch.schema.types[0])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -279,8 +285,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces with doc_id, piece and length (1 .. capacity).
 
     The driver sees the histogram (at most `capacity` rows) and sends back the plan (a few rows per length). Ties and repeated
-    rows get places of their own: ranks run over (salt, doc_id, piece, start). Empty input gives an empty result.
+    rows get places of their own: ranks run over (salt, doc_id, piece). Empty input gives an empty result. Extra columns stay; those
+    with a name that the operator adds are an error.
     """
+    reserve(pieces, "sequence_id", "offset", "salt", "r", "p_length", "low", "high", "each", "base", "at", "b_length", "b_salt", "before")
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows, seen, base = [], dict.fromkeys(counts, 0), 0

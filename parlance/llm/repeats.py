@@ -141,7 +141,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         key = (key << 9) | padded[j : j + n]
     size = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # suffixes with equal prefixes of `depth` may stand in any order
         changes = np.append(1, (np.diff(key[order]) != 0).astype(np.int64))
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(changes)
@@ -164,10 +164,10 @@ def repeated(symbols: np.ndarray, length: int) -> np.ndarray:
     order = suffix_order(symbols, length)
     before = symbols[order - 1].astype(np.int64)
     step = np.empty(n, np.int64)
-    step[np.argsort(before, kind="stable")] = np.arange(n)
+    step[np.argsort(before.astype(np.uint16), kind="stable")] = np.arange(n)
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
-    low, high = np.array([0]), np.array([n])
+    low, high, bits = np.array([0]), np.array([n]), n.bit_length()
     for _ in range(length):
         if not len(low):
             break
@@ -177,11 +177,11 @@ def repeated(symbols: np.ndarray, length: int) -> np.ndarray:
             a, size = low[~one], (high - low)[~one]
             ends = np.cumsum(size)
             rows = np.repeat(a - ends + size, size) + np.arange(ends[-1])
-            group = np.repeat(np.arange(len(a)), size) * 512 + before[rows]
-            by = np.argsort(group, kind="stable")
-            cut = np.flatnonzero(np.diff(group[by])) + 1
-            x = np.append(x, step[rows[by[np.append(0, cut)]]])
-            y = np.append(y, step[rows[by[np.append(cut, len(by)) - 1]]] + 1)
+            held = np.sort(((np.repeat(np.arange(len(a)), size) * 512 + before[rows]) << bits) | rows)  # by interval, symbol and row
+            cut = np.flatnonzero(np.diff(held >> bits)) + 1
+            rows = held & ((1 << bits) - 1)
+            x = np.append(x, step[rows[np.append(0, cut)]])
+            y = np.append(y, step[rows[np.append(cut, len(rows)) - 1]] + 1)
         new = ~known[y]
         x, y = x[new], y[new]
         y, first = np.unique(y, return_index=True)  # of two prefixes that end at one place, either tells its value
@@ -303,7 +303,7 @@ def repeated_ranges(pieces: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     sizes = materialize(sizes, "piece-keys")
     met = pieces.join(sizes, F.col("key") == F.col("m_key")).drop("m_key")
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = _expanded(met.where("not hot").repartition(n, "key").sortWithinPartitions("key", "piece"), length)
+    found = _expanded(met.where("not hot").repartition(n, F.xxhash64("key")).sortWithinPartitions("key", "piece"), length)
     if sizes.where("hot").isEmpty():
         return materialize(found, "ranges")
     parts = materialize(_split(met.where("hot"), level, length, gram), "halves")

@@ -5,7 +5,8 @@ do: it counts repeats, so a line that repeats often gives unlike texts the same
 deal the nodes to groups: a pair of similarity 0.8 misses all of them with a chance of 0.0007. 144 min-hashes put most pairs of a group beyond doubt; the others are judged by the similarity
 of the two texts themselves.
 
-First, groups are read in shards (of SHARD nodes at most; larger groups are split at random, differently for every
+First, SimHash's BK-trees link fingerprints at most three bits apart; that finds only the closest pairs (at 0.8 to 0.95 next to
+none), so bands must follow. Then groups are read in shards (of SHARD nodes at most; larger groups are split at random, differently for every
 band), and each shard sends on a forest of its likely pairs, nearest first. Pairs that pass unite classes. Then each group
 that still holds more than one class is searched whole: every member outside its largest class meets every other member, in
 blocks, and whatever the min-hashes cannot rule out is compared by the texts. So a pair that is rejected, or that the
@@ -23,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import SEED, majority, shingle_hashes
+from .simhash import SEED, links, majority, shingle_hashes
 from .store import materialize, reserve
 
 SHINGLE, SIMILARITY, SHARD = 5, 0.8, 256
@@ -246,10 +247,20 @@ def sets_of(docs: DataFrame, nodes: DataFrame, fps: DataFrame, shingle: int) ->
     return materialize(shingle_sets(texts, shingle), "shingle-sets")
 
 
+def tree_links(nodes: DataFrame) -> DataFrame:
+    """(u, v) of nodes (fp, simhash) that BK-trees link by their fingerprints, and of every node with the first of its fingerprint."""
+    first = materialize(nodes.groupBy("simhash").agg(F.min("fp").alias("first")), "fingerprint-nodes")
+    left, right = first.toDF("u", "a"), first.toDF("v", "b")
+    near = links(first.select(F.col("simhash").alias("fp"))).join(left, "u").join(right, "v").select("a", "b")
+    equal = nodes.join(first, "simhash").where(F.col("fp") != F.col("first")).select("fp", "first")
+    return near.unionAll(equal).toDF("a", "b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def likely_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (u, v) of candidates whose texts are similar enough."""
     told = materialize(candidates(rows, nodes, similarity), "candidates")
-    doubt = told.where(F.col("share") - similarity < DOUBT).select("u", "v")
+    doubt = told.where(F.col("share") - similarity < DOUBT).select("u", "v").unionByName(tree_links(nodes).join(told, ["u", "v"], "left_anti"))
+    doubt = materialize(doubt, "doubtful-pairs")
     sets = sets_of(docs, nodes, doubt.select(F.explode(F.array("u", "v")).alias("fp")), shingle)
     judged = both(doubt, sets, "grams").where(jaccard(F.col("a"), F.col("b")) >= similarity).select("u", "v")
     return materialize(told.where(F.col("share") - similarity >= DOUBT).select("u", "v").unionByName(judged), "likely-links")
@@ -291,7 +302,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     empty result; extra columns are ignored.
     """
     prints = materialize(sketches(docs, shingle), "sketches")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"), F.min("simhash").alias("simhash")), "nodes")
     named = nodes.select("fp", "low").join(classes(docs, nodes, shingle, similarity).withColumnRenamed("label", "root"), "fp")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = materialize(named.join(least, "root").select(F.col("fp").alias("k"), "component_id"), "classes")
