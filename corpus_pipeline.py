@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: language, near-duplicates, personal data, mixture, packing."""
+"""From raw documents to packed training sequences: language, near-duplicates, personal data, mixture, packing.
+
+Every stage takes whole texts of any length. Extra columns of its input, whatever their names, are not read and not returned. A table
+without rows gives none.
+"""
 
 from __future__ import annotations
 
@@ -6,43 +10,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import langid, mixing, packing, pii, similar
-from parlance.llm.store import WORD, materialize, table
+from parlance.llm.store import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Of the mixture: weights of the sources in turn, words as a share of all, and times a source is taken at most.
+WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: no letters, or a narrow margin."""
+    """Drops documents whose language cannot be told: no letters, or a narrow margin between the two best languages.
+
+    Null and empty texts go, as they have no letters. Documents without a language label are judged like others. Repeated rows share
+    their fate, so ties cannot matter; a tie between two languages is a narrow margin.
+    """
     known = langid.train(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
     return langid.identify(docs.select(*COLUMNS), known).where("accepted").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents joined by a similarity of 0.8 in five-word shingles, the one with the smallest id stays."""
+    """Of each class of documents joined by a similarity of 0.8 in five-word shingles, the one with the smallest id stays.
+
+    Null, empty and blank texts are one class. Of repeated rows one stays; of different texts with one id that of the least text.
+    Rows without an id stay.
+    """
     return similar.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes pseudonyms of the same format."""
-    out = pii.pseudonymize(docs.select(*COLUMNS), key="production-key")
+    """Personal data becomes pseudonyms of the same format, row by row, by the configured key; n_chars follows where the text changes.
+
+    Null and empty texts stay as they are; repeated rows stay equal.
+    """
+    out = pii.pseudonymize(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the mixture takes; the one document at the edge of a source's target is cut to its leading words."""
-    # ids can differ from scan to scan, so both sides of the join read them from one table
-    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-    sizes = materialize(rows.select("row", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "sizes")
-    taken = mixing.mix(sizes.withColumnRenamed("row", "doc_id")).where("words > 0").select(F.col("doc_id").alias("m_row"), "words", "size", "place")
-    both = rows.join(taken, F.col("row") == F.col("m_row"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
-    return both.withColumn("text", text).withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    """A row per copy that the mixture takes, by shard and in the shard's shuffled order; texts are taken whole.
+
+    Documents without words are not taken, so null and empty texts go. A null source is a source of its own. Repeated rows are taken
+    like separate documents; rows are known by their content, so neither their order nor their partitions matter.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("digest"))
+    sizes = materialize(mixing.row_keys(rows, F.col("digest")), "mix-sizes")
+    taken = mixing.mix(sizes, WEIGHTS, SHARE, MOST, False).where("words > 0").select(F.col("doc_id.id").alias("m_id"), F.col("doc_id.digest").alias("m_digest"), "shard", "place")
+    once = rows.dropDuplicates(["doc_id", "digest"])  # equal rows once: each copy that is taken has its own row on the right
+    both = once.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest")))
+    return both.repartition("shard").sortWithinPartitions("shard", "place").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1,024 tokens and their places in sequences."""
-    pieces = packing.tokenize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), *packing.vocabulary())
+    """Pieces of at most 1,024 tokens and their places in sequences.
+
+    Null and empty texts are a piece of the end token. Rows are packed one by one, so repeated rows and rows with one id have pieces
+    of their own; doc_id may be of any type.
+    """
+    pieces = packing.tokenize(docs.select("doc_id", "text"), *packing.vocabulary())
     return packing.pack(materialize(pieces, "pieces"))
 
 
