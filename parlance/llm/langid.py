@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import reserve, table
+from .store import materialize, reserve, table
 
 #: The classifier is fitted on at most SAMPLE labelled documents per language (those with the least keyed hash of their id),
 #: of which DICTIONARY bytes are kept; at most LANGUAGES languages, so that what is broadcast is at most 8 MB.
@@ -30,18 +30,19 @@ def letters(text: str) -> bytes:
 
 
 def train(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionaries from (doc_id, text, lang); rows with a null lang or text teach nothing. Ties go by id, then text."""
-    rows = labelled.where("lang is not null and text is not null and length(text) > 0")
-    ids = rows.select("lang", "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    picked = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE)
-    picked = picked.select(F.col("lang").alias("p_lang"), F.col("doc_id").alias("p_id"), "h").distinct()
-    texts = rows.join(F.broadcast(picked.limit(SAMPLE * LANGUAGES + 1)), (F.col("lang") == F.col("p_lang")) & (F.col("doc_id") == F.col("p_id")))  # SAMPLE ids per language
-    sample = texts.select("lang", "h", "doc_id", F.substr("text", F.lit(1), F.lit(DICTIONARY)).alias("text")).limit(2 * SAMPLE * LANGUAGES).collect()
+    """Dictionaries from (doc_id, text, lang); rows with a null lang or text teach nothing. Repeated rows count once, ties go by id, then text."""
+    rows = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", "doc_id", F.xxhash64("text").alias("digest"), "text")
+    ids = rows.select("lang", "doc_id", "digest").distinct().withColumn("h", F.xxhash64("doc_id"))  # repeated rows are combined before the shuffle
+    picked = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "digest"))).where(F.col("r") <= SAMPLE)
+    picked = materialize(picked.select(F.col("lang").alias("p_lang"), F.col("doc_id").alias("p_id"), F.col("digest").alias("p_digest"), "h"), "language-sample")
+    if picked.agg(F.count_distinct("p_lang")).first()[0] > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    same = (F.col("lang") == F.col("p_lang")) & F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("digest") == F.col("p_digest"))
+    texts = rows.join(F.broadcast(picked), same).select("lang", "h", "doc_id", "digest", F.substr("text", F.lit(1), F.lit(DICTIONARY)).alias("text"))  # SAMPLE rows a language
+    sample = texts.dropDuplicates(["lang", "doc_id", "digest"]).collect()
     by: dict[str, list] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
+    for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["digest"])):
         by.setdefault(r["lang"], []).append(letters(r["text"]))
-    if len(by) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     share = lambda parts: max(1, DICTIONARY // len(parts))
     return {k: b"\n".join([*[p[: share(v)] for p in v], *[p[share(v) :] for p in v]])[:DICTIONARY] for k, v in by.items()}
 
@@ -75,7 +76,9 @@ class Classifier:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """Adds lang_pred, score (0 to 1) and accepted to a table with a text column, whose other columns it leaves alone.
 
-    Null texts, and those without a letter, are `und` with score 0 and not accepted; ties go to the first language by name.
+    Null texts, and those without a letter, are `und` with score 0 and not accepted; ties go to the first language by name. Whole texts
+    of any length are encoded, in blocks. Repeated rows have equal results; an empty table gives an empty one; extra columns stay, but
+    lang_pred, score and accepted are an error. Without a dictionary every text is `und`.
     """
     reserve(docs, "lang_pred", "score", "accepted")
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most LANGUAGES * DICTIONARY bytes

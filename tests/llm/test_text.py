@@ -117,3 +117,32 @@ def test_groups_have_their_own_cutoffs(spark, tmp_path):
 def test_quality_refuses_clashes(spark):
     with pytest.raises(ValueError):
         quality.with_stats(spark.createDataFrame([("a", 1)], "text string, n_words int"))
+
+
+def test_sample_of_a_language(spark, monkeypatch):
+    rows = [(1, "the same text", "en")] * 500 + [(None, "ein anderer Text", "de"), (3, "noch einer", "de"), (4, None, "fr"), (5, "", "fr"), (6, "x", None)]
+    known = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert known["en"] == b"the same text" + b"\n" and set(known) == {"de", "en"} and b"anderer" in known["de"] and b"einer" in known["de"]
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_language_against_brute_force(spark):
+    import zstandard as z
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    known = langid.train(docs.where(~langid.held_out()))
+
+    def size(text, dictionary):
+        d = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)
+        coder = z.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        raw = langid.letters(text)
+        return sum(len(coder.compress(raw[i : i + langid.BLOCK])) for i in range(0, len(raw), langid.BLOCK))
+
+    for r in langid.identify(docs.select("text").limit(60), known).collect():
+        if r.text and any(map(str.isalpha, r.text)):
+            sizes = sorted((size(r.text, d), k) for k, d in known.items())
+            assert r.lang_pred == sizes[0][1] and r.score == (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        else:
+            assert r.lang_pred == "und"
