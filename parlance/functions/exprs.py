@@ -119,3 +119,73 @@ def ngrams(text: Column, n: int) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
     grams = F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")))[0]
     return F.array_distinct(grams)
+
+
+def category_list(*columns: Column) -> Column:
+    """The categories that are not null, in order."""
+    return F.array_compact(F.array(*columns))
+
+
+def safe_text(value: Column, default: str = "") -> Column:
+    """Text without surrounding white space; null becomes the default."""
+    return F.coalesce(F.trim(value.cast("string")), F.lit(default))
+
+
+def safe_number(value: Column, kind: str = "double") -> Column:
+    """A number from anything, 0 where it is none."""
+    return F.coalesce(value.cast("string").try_cast("double").cast(kind), F.lit(0).cast(kind))
+
+
+def json_map(text: Column) -> Column:
+    """A {name: label} text as a map; null where it is no JSON object."""
+    return F.from_json(text, "map<string,string>")
+
+
+def as_list(value: Column, is_list: bool) -> Column:
+    """A list from a list, a scalar (of itself) or null (empty)."""
+    if is_list:
+        return F.coalesce(value, F.array().cast("array<string>"))
+    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(value.cast("string")))
+
+
+def feature_map(*features: str) -> Column:
+    """The acoustic features that are not null, by name."""
+    pairs = [x for f in features for x in (F.lit(f), F.col(f).cast("double"))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+
+
+def lexical_set(word: Column, sets: dict[str, tuple[str, ...]]) -> Column:
+    """The name of the set that holds the word, case and white space apart; null for others. The sets are the caller's."""
+    key, out = F.lower(F.trim(word)), F.lit(None).cast("string")
+    for name, words in sets.items():
+        out = F.when(key.isin(*words), F.lit(name)).otherwise(out)
+    return out
+
+
+def hash_shard(key: Column, shards: int = 4096) -> Column:
+    """A stable number below `shards`."""
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+
+
+def quality_score(overlap_time: Column, overlap_turns: Column, turn_seconds: Column, speakers: Column, labels: Column) -> Column:
+    """0 to 4: little overlap by time and by turns, turns that last, and as many main speakers as labels."""
+    # The limits of the reference measure.
+    tests = [overlap_time < 0.1, overlap_turns < 0.2, turn_seconds > 10, speakers == labels]
+    score = F.lit(0)
+    for t in tests:
+        score = score + F.coalesce(t, F.lit(False)).cast("int")
+    return score
+
+
+def overlap_grade(share: Column) -> Column:
+    """A name for the share of overlapping speech."""
+    # Upper ends of the grades.
+    grades = ((0.05, "excellent"), (0.1, "good"), (0.2, "moderate"), (0.3, "poor"))
+    out = F.when(share.isNull(), F.lit(None).cast("string"))
+    for most, name in grades:
+        out = out.when(share <= most, name)
+    return out.otherwise("very poor")
+
+
+def is_high_quality(overlap_time: Column, overlap_turns: Column) -> Column:
+    return (overlap_time < 0.1) & (overlap_turns < 0.2)

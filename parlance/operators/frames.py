@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,13 +25,22 @@ def checked_columns(df: DataFrame, columns: list[str] | None) -> list[str]:
     return columns
 
 
-def guard(df: DataFrame, bytes_per_row: int, most: int = 8 << 30) -> DataFrame:
-    """For results that are to be collected: an error if rows times width is above `most`."""
-    if (n := df.count()) * bytes_per_row > most:
-        raise MemoryError(f"{n} rows would take about {n * bytes_per_row >> 20} MB on the driver; keep the frame distributed")
+def guard(df: DataFrame, bytes_per_row: int, most: int = 8 << 30, warn: int = 2 << 30, allow_large: bool = False) -> DataFrame:
+    """For results that are to be collected: an error if rows times width is above `most`, a warning above `warn`."""
+    size = (n := df.count()) * bytes_per_row
+    if size > most and not allow_large:
+        raise MemoryError(f"{n} rows would take about {size >> 20} MB on the driver; keep the frame distributed, or pass allow_large=True")
+    if size > warn:
+        warnings.warn(f"{n} rows will take about {size >> 20} MB on the driver", ResourceWarning, stacklevel=2)
     return df
 
 
+def in_turn_order(turns: DataFrame) -> DataFrame:
+    """By episode, start and number, as far as the columns are there."""
+    keys = [c for c in ("episode_id", "start_time", "turn_count") if c in turns.columns]
+    return turns.orderBy(*keys) if keys else turns
+
+
 def pin(df: DataFrame, shows: DataFrame, key: str = "podcast_id") -> DataFrame:
     """Only rows of the given shows; unknown ids have no effect."""
     return df.join(shows.select(key).distinct(), key, "left_semi")

@@ -20,7 +20,7 @@ def turn_metrics(turns: DataFrame, markers: Column | None = None) -> DataFrame:
     out = out.withColumn("words_per_second", X.words_per_second(F.col("word_count"), F.col("end_time") - F.col("start_time")))
     out = out.withColumn("gap_from_prev", F.when(known, F.round(F.greatest(diff, F.lit(0.0)), 4))).withColumn("overlap_with_prev", F.when(known, F.round(F.greatest(-diff, F.lit(0.0)), 4)))
     count = X.marker_count(F.col("turn_text")) if markers is None else markers
-    return out.withColumn("discourse_marker_count", F.least(F.coalesce(count, F.lit(0)), F.lit(32767)).cast("bigint")).drop("prev_end")
+    return out.withColumn("discourse_marker_count", F.coalesce(count, F.lit(0)).cast("bigint")).drop("prev_end")
 
 
 def _ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
@@ -28,7 +28,10 @@ def _ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
 
 
 def episode_metrics(measured: DataFrame) -> DataFrame:
-    """One row per episode from turns with turn_metrics. Roles count by substring, except the host's speaking time (by prefix)."""
+    """One row per episode from turns with turn_metrics: its sixteen measures and the turns by hosts and guests.
+
+    Roles count by substring, host before guest, except in speaking time, where they count by prefix.
+    """
     role, d = F.lower("role"), F.col("end_time") - F.col("start_time")
     host = F.coalesce(role.contains("host"), F.lit(False))
     guest = ~host & F.coalesce(role.contains("guest"), F.lit(False))
@@ -50,6 +53,10 @@ def episode_metrics(measured: DataFrame) -> DataFrame:
         F.coalesce(F.round(F.sum("overlap_with_prev"), 4), F.lit(0.0)).alias("total_overlap_duration"),
         _ratio(F.sum("discourse_marker_count"), words, 1000).alias("discourse_marker_rate"),
         _ratio(total(host, w), total(F.coalesce(role.startswith("host"), F.lit(False)), spoken)).alias("speaking_rate_host"),
+        total(host, w).alias("host_word_count"),
+        total(guest, w).alias("guest_word_count"),
+        F.sum("discourse_marker_count").alias("discourse_marker_count"),
+        _ratio(total(guest, w), total(F.coalesce(role.startswith("guest"), F.lit(False)), spoken)).alias("speaking_rate_guest"),
     )
 
 
@@ -58,6 +65,18 @@ def turn_statistics(measured: DataFrame) -> DataFrame:
     return measured.groupBy("episode_id").agg(F.count("*").alias("n_turns"), F.sum("word_count").alias("words"), F.round(F.avg(F.col("end_time") - F.col("start_time")), 4).alias("avg_duration"), F.round(F.avg("word_count"), 4).alias("avg_words"))
 
 
+def stored_metrics(measured: DataFrame) -> DataFrame:
+    """Turn metrics in the types they are stored in: markers above 32,767 a turn are held as that, which sums over turns never see."""
+    kinds = {"word_count": "int", "char_count": "int", "words_per_second": "float", "gap_from_prev": "float", "overlap_with_prev": "float"}
+    markers = F.least(F.col("discourse_marker_count"), F.lit(32767)).cast("smallint")
+    return measured.select("episode_id", "turn_count", *[F.col(c).cast(k).alias(c) for c, k in kinds.items()], markers.alias("discourse_marker_count"))
+
+
+def speaker_histogram(turns: DataFrame) -> DataFrame:
+    """Turns per episode and label; a turn of several labels counts for each."""
+    return turns.select("episode_id", F.explode("speaker").alias("speaker")).groupBy("episode_id", "speaker").agg(F.count("*").alias("n"))
+
+
 def role_histogram(turns: DataFrame) -> DataFrame:
     return turns.groupBy("episode_id", F.coalesce(F.nullif("role", F.lit("")), F.lit("unknown")).alias("role")).agg(F.count("*").alias("n"))
 

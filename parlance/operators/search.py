@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+from ..functions.stemmer import stem, with_stems
 from ..sources.session import ensure_checkpoints
 
 MODES = ("fts", "exact", "regex")
@@ -30,6 +32,60 @@ def scan(turns: DataFrame, query: str, mode: str = "fts", text: str = "turn_text
     return out.withColumn("score", score.cast("double"))
 
 
+def select_turns(turns: DataFrame, podcast_id=None, episode_id=None, role: str | None = None) -> DataFrame:
+    """Turns of a show, an episode, or a role: filters that a search applies before it ranks."""
+    for column, value in (("podcast_id", podcast_id), ("episode_id", episode_id), ("role", role)):
+        turns = turns if value is None else turns.where(F.col(column) == value)
+    return turns
+
+
+def search_turns(turns: DataFrame, query: str, mode: str = "fts", limit: int = 100, offset: int = 0, index: DataFrame | None = None, **where) -> DataFrame:
+    """The best turns with their text, ranked before they are joined: only the page's keys meet the text.
+
+    With an index (postings of the turns, keyed by `key`), fts ranks by BM25; without one, by occurrences.
+    """
+    some = select_turns(turns, **where)
+    if mode == "fts" and index is not None:
+        keys = some.select(turn_key().alias("key"), "episode_id", "turn_count")
+        if any(v is not None for v in where.values()):
+            index = index.join(keys.select("key"), "key", "left_semi")
+        ranked = bm25_over(index, query).join(keys, "key").drop("key")
+    else:
+        ranked = scan(some, query, mode).select("episode_id", "turn_count", "score")
+    best = page(ranked, ["episode_id", "turn_count"], limit, offset)
+    return some.join(F.broadcast(best), ["episode_id", "turn_count"])  # `limit` rows
+
+
+def turn_key() -> Column:
+    return F.concat_ws(":", "episode_id", "turn_count")
+
+
+def episodes_by_text(turns: DataFrame, query: str, mode: str = "fts", limit: int = 100, index: DataFrame | None = None) -> DataFrame:
+    """Episodes with hits: how many, and the best score; best first (fts), or most hits first."""
+    if mode == "fts" and index is not None:
+        hits = bm25_over(index, query).withColumn("episode_id", F.substring_index("key", ":", 1))
+    else:
+        hits = scan(turns, query, mode)
+    first, second = ("best_score", "n_hits") if mode == "fts" else ("n_hits", "best_score")
+    return episode_hits(hits).orderBy(F.desc(first), F.desc(second), "episode_id").limit(limit)
+
+
+def word_tokens(turns: DataFrame, episodes: DataFrame, word: str, longest: float | None = 30.0, limit: int = 50) -> DataFrame:
+    """Turns with a whole word, no longer than `longest` seconds, with their episode's audio address: what a phonetic analysis fetches."""
+    whole = rf"(?i)\b{re.escape(word)}\b"
+    hits = scan(turns, word, "exact").where(F.col("turn_text").rlike(whole))
+    if longest is not None:
+        hits = hits.where(F.col("end_time") - F.col("start_time") <= longest)
+    first = hits.orderBy("episode_id", "turn_count").limit(limit)
+    return first.join(episodes.select("episode_id", "mp3_url"), "episode_id")
+
+
+def entity_mentions(turns: DataFrame, extract, text: str = "turn_text") -> DataFrame:
+    """(episode_id, turn_count, entity) of what `extract`, a Spark function from text to a list of names, finds; squashed, once a turn."""
+    each = turns.select("episode_id", "turn_count", F.explode(extract(F.col(text))).alias("name"))
+    return each.select("episode_id", "turn_count", X.squashed_entity(F.col("name")).alias("entity")).where("entity <> ''").distinct()
+
+
 def page(hits: DataFrame, keys: list[str], limit: int, offset: int = 0) -> DataFrame:
     """Best first, ties by key: a top-k per partition, then of those."""
     return hits.orderBy(F.desc("score"), *keys).offset(offset).limit(limit)
@@ -46,6 +102,34 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "dl", F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").cast("bigint").alias("dl"))
 
 
+def stemmed_postings(docs: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """term (a stem), key, tf, dl without stop words. Stems are taken of distinct terms only, which then meet the postings."""
+    posts = postings(docs, key, text).drop("dl")
+    if stop_words:
+        posts = posts.where(~F.col("term").isin(*stop_words))
+    terms = with_stems(posts.select("term").distinct())
+    met = posts.join(terms, "term").groupBy(F.col("stem").alias("term"), key).agg(F.sum("tf").alias("tf"))
+    return met.withColumn("dl", F.sum("tf").over(W.partitionBy(key)))
+
+
+def write_postings(posts: DataFrame, path: str, parts: int = 64) -> None:
+    """Clustered by term, so that a search reads the row groups of its terms only."""
+    posts.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def bm25_over(index: DataFrame, query: str, key: str = "key", stemmed: bool = False, stop_words: tuple[str, ...] = (), n_docs: int | None = None) -> DataFrame:
+    """key, score by BM25 over written postings; filters on `term` reach the scan. n_docs: documents, where some have no posting."""
+    terms = sorted({stem(t) if stemmed else t for t in re.findall(r"[^\W]+", query.lower()) if t not in stop_words})
+    lengths = index.groupBy(key).agg(F.max("dl").alias("dl"))
+    some = index.where(F.col("term").isin(terms))
+    stats = lengths.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n"))
+    row = stats.select(F.struct("avgdl", "n")).scalar()  # one row, read once
+    df = some.groupBy("term").agg(F.count("*").alias("df"))
+    rows = some.join(F.broadcast(df), "term").withColumn("__s", row)  # df: a row per query term
+    rows = rows.withColumn("avgdl", F.col("__s.avgdl")).withColumn("n_docs", F.lit(n_docs) if n_docs is not None else F.col("__s.n"))
+    return rows.groupBy(key).agg(F.round(F.sum(_idf(F.col("df")) * _saturated(F.col("tf"))), 6).alias("score"))
+
+
 def _idf(df: Column) -> Column:
     return F.ln((F.col("n_docs") - df + 0.5) / (df + 0.5) + 1)
 
@@ -87,15 +171,18 @@ def _scan_bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFr
 
 
 def concordance(turns: DataFrame, word: str, context: int = 10, text: str = "turn_text") -> DataFrame:
-    """First match of a turn in its context: left, keyword, right (words by single spaces). The match may begin inside a word."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    hits = turns.withColumn("__t", flat).withColumn("__at", F.locate(word.lower(), F.lower("__t"))).where("__at > 0")
-    words = F.split("__t", " ")
+    """First match of a turn in its context: left, keyword, right (words by single spaces).
+
+    The keyword spans as many words as the query has, from the one in which the match begins.
+    """
+    flat, span = F.trim(F.regexp_replace(text, r"\s+", " ")), max(1, len(word.split()))
+    hits = turns.withColumn("__t", flat).withColumn("__at", F.locate(" ".join(word.lower().split()), F.lower("__t"))).where("__at > 0")
     before = F.size(F.split(F.expr("substr(__t, 1, __at - 1)"), " ")) - 1
-    hits = hits.withColumn("__w", words).withColumn("__i", before)
+    hits = hits.withColumn("__w", F.split("__t", " ")).withColumn("__i", before)
     left = F.array_join(F.slice("__w", F.greatest(F.col("__i") - context, F.lit(0)) + 1, F.least(F.col("__i"), F.lit(context))), " ")
-    right = F.array_join(F.slice("__w", F.col("__i") + 2, F.lit(context)), " ")
-    return hits.select(*turns.columns, left.alias("left"), F.get("__w", F.col("__i")).alias("keyword"), right.alias("right"))
+    keyword = F.array_join(F.slice("__w", F.col("__i") + 1, F.lit(span)), " ")
+    right = F.array_join(F.slice("__w", F.col("__i") + 1 + span, F.lit(context)), " ")
+    return hits.select(*turns.columns, left.alias("left"), keyword.alias("keyword"), right.alias("right"))
 
 
 def contexts(turns: DataFrame, word: str, reach: int = 25, text: str = "turn_text") -> DataFrame:
@@ -117,13 +204,25 @@ def word_positions(turns: DataFrame, word: str, group: str = "episode_id", text:
 
 
 def phrase_reuse(docs: DataFrame, grams: Column, owner: str, group: str) -> DataFrame:
-    """Pairs of groups (a < b) of one owner that share phrases, and how many. A phrase's groups are distinct before they pair.
+    """Pairs of groups (a < b) of one owner that share phrases, and how many.
+
+    Phrases are told apart by 128 bits of hashes, so that what is shuffled does not grow with their length. A phrase gathers its
+    different groups, of which there are few beside documents, in one aggregation, and pairs them there: no self-join.
+    """
+    rows = docs.select(owner, group, F.explode(grams).alias("gram")).select(owner, group, F.xxhash64("gram").alias("g"), F.xxhash64(F.lit(1), "gram").alias("h"))
+    held = rows.groupBy(owner, "g", "h").agg(F.sort_array(F.collect_set(group)).alias("all")).where(F.size("all") > 1)
+    later = lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    return held.select(owner, F.explode(F.flatten(F.transform("all", later))).alias("p")).groupBy(owner, "p.a", "p.b").agg(F.count("*").alias("n_grams"))
+
+
+def cosine_pairs(weights: DataFrame, key: str, group: str) -> DataFrame:
+    """Cosine similarity of documents of a group (a < b) that share a term; weights: key, group, term, weight of unit length.
 
-    Phrases are told apart by 128 bits of hashes, so that what is shuffled does not grow with their length.
+    Pairs arise per shared term within a group, as products do in a sparse matrix; a group is a guest's documents, say, not a corpus.
     """
-    rows = docs.select(owner, group, F.explode(grams).alias("gram")).select(owner, group, F.xxhash64("gram").alias("g"), F.xxhash64(F.lit(1), "gram").alias("h")).distinct()
-    a, b = rows.select(owner, "g", "h", F.col(group).alias("a")), rows.select(owner, "g", "h", F.col(group).alias("b"))
-    return a.join(b, [owner, "g", "h"]).where("a < b").groupBy(owner, "a", "b").agg(F.count("*").alias("n_grams"))
+    a = weights.select(group, "term", F.col(key).alias("a"), F.col("weight").alias("x"))
+    b = weights.select(group, "term", F.col(key).alias("b"), F.col("weight").alias("y"))
+    return a.join(b, [group, "term"]).where("a < b").groupBy(group, "a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("cosine"))
 
 
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.session import ensure_checkpoints
+
 
 def z_scores(rows: DataFrame, by: str, value: str, min_rows: int = 2) -> DataFrame:
     """Value in sample standard deviations from the group's mean, for groups of at least min_rows rows (null values count as rows)."""
@@ -40,9 +42,50 @@ def pillai(rows: DataFrame, group: str, label: str, x: str, y: str) -> DataFrame
     return s.select(group, F.round(trace, 4).alias("pillai"))
 
 
+def running_counts(per: DataFrame, value: str, n: str) -> DataFrame:
+    """Adds before: the sum of n over smaller values. Values are dealt to ranges; a range's sum of those before it is one number."""
+    spark = per.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoints(spark)
+    dealt = per.repartitionByRange(parts, value).withColumn("__part", F.spark_partition_id()).checkpoint()
+    sums = dealt.groupBy("__part").agg(F.sum(n).alias("__sum"))  # a row per partition
+    ahead = F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum(n).over(W.partitionBy("__part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(sums.withColumn("__ahead", ahead).drop("__sum")), "__part").withColumn("before", own + F.col("__ahead")).drop("__part", "__ahead")
+
+
 def mann_whitney(rows: DataFrame, label: str, value: str) -> DataFrame:
     """U of the rows where label is true, with mean ranks for ties. Ranks come from counts per value, not from the rows."""
     per = rows.groupBy(value).agg(F.count("*").alias("n"), F.count_if(F.col(label)).alias("n1"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = running_counts(per, value, "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     return ranked.agg((F.sum(F.col("rank") * F.col("n1")) - F.sum("n1") * (F.sum("n1") + 1) / 2).alias("u"), F.sum("n1").alias("n1"), (F.sum("n") - F.sum("n1")).alias("n2"))
+
+
+def paired_t(pairs: DataFrame, before: str, after: str) -> DataFrame:
+    """n, mean difference and t of paired values, of rows that have both."""
+    d = F.col(after) - F.col(before)
+    out = pairs.where(d.isNotNull()).agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"))
+    return out.select("n", F.round("mean", 6).alias("mean_difference"), F.round(F.col("mean") / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0)), 6).alias("t"))
+
+
+def correlations(rows: DataFrame, by: str, x: str, y: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Per group: n, correlation of x and y, sample deviation and exact quantiles of x."""
+    q = [F.round(F.percentile(x, F.lit(p)), 6).alias(f"q{int(100 * p)}") for p in quantiles]
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.corr(x, y), 6).alias("r"), F.round(F.stddev_samp(x), 6).alias("sd"), *q)
+
+
+def within_and_between(weights: DataFrame, key: str, group: str) -> DataFrame:
+    """within (boolean), n, mean cosine of all pairs of documents (a < b) that share a term, by whether they share their group.
+
+    weights: key, group, term, weight of unit length; for the documents of some guests, not for a corpus.
+    """
+    a = weights.select("term", F.col(key).alias("a"), F.col(group).alias("ga"), F.col("weight").alias("x"))
+    b = weights.select("term", F.col(key).alias("b"), F.col(group).alias("gb"), F.col("weight").alias("y"))
+    pairs = a.join(b, "term").where("a < b").groupBy("a", "b", (F.col("ga") == F.col("gb")).alias("within")).agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    return pairs.groupBy("within").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
+
+
+def topic_share(rows: DataFrame, by: str, topic: str, weight: str) -> DataFrame:
+    """by, topic, share (mean weight) and relative (to the topic's mean over all groups)."""
+    per = rows.groupBy(by, topic).agg(F.avg(weight).alias("m"))
+    return per.select(by, topic, F.round("m", 6).alias("share"), F.round(F.col("m") / F.avg("m").over(W.partitionBy(topic)), 6).alias("relative"))

@@ -7,26 +7,17 @@ from pyspark.sql import functions as F
 
 from . import windows
 
-# Words of small talk that carry no topic.
-SMALL_TALK = (
-    "like", "know", "yeah", "just", "really", "think", "going", "right",
-    "gonna", "okay", "kind", "sort", "actually", "want", "said", "say",
-    "thing", "things", "people", "time", "lot", "way", "good", "little",
-    "podcast", "episode", "welcome", "today", "talk", "talking", "guys",
-    "come", "look", "make", "need", "let", "does", "did", "got", "get",
-)
 
-
-def window_terms(turns: DataFrame, size: int = 12, overlap: int = 3, min_words: int = 120, min_terms: int = 60, group: str = "episode_id") -> DataFrame:
+def window_terms(turns: DataFrame, size: int = 12, overlap: int = 3, min_words: int = 120, min_terms: int = 60, group: str = "episode_id", small_talk: tuple[str, ...] = ()) -> DataFrame:
     """group, window_index, terms of whole windows with at least min_words words and min_terms terms.
 
-    Terms are lower-case runs of at least three letters without English stop words and small talk. Groups of fewer than
+    Terms are lower-case runs of at least three letters without English stop words and the caller's words of small talk. Groups of fewer than
     `size` turns have no whole window.
     """
     from pyspark.ml.feature import StopWordsRemover
 
     w = windows.window_frame(turns, size, overlap, group).where((F.col("n_turns") == size) & (F.regexp_count("text", F.lit(r"\S+")) >= min_words))
-    stop = sorted({*StopWordsRemover.loadDefaultStopWords("english"), *SMALL_TALK})
+    stop = sorted({*StopWordsRemover.loadDefaultStopWords("english"), *small_talk})
     terms = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)), lambda x: ~x.isin(stop))
     return w.select(group, "window_index", terms.alias("terms")).where(F.size("terms") >= min_terms)
 

@@ -28,13 +28,13 @@ def assign_windows(turns: DataFrame, size: int, overlap: int = 0, group: str = "
 
 
 def window_frame(turns: DataFrame, size: int = 12, overlap: int = 0, group: str = "episode_id", partial: bool = False, separator: str = " ", means: tuple[str, ...] = ()) -> DataFrame:
-    """One row per window: turns, first and last place, span, speakers, host and guest turns, ordered text, means of columns."""
+    """One row per window: turns, places [start_index, end_index), span, speakers, host and guest turns, ordered text, means of columns."""
     rows = assign_windows(turns, size, overlap, group, partial)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("turn_text", F.lit("")).alias("t")))), lambda x: x["t"]), separator)
     out = rows.groupBy(group, "window_index").agg(
         F.count("*").alias("n_turns"),
         F.min("pos").cast("bigint").alias("start_index"),
-        F.max("pos").cast("bigint").alias("end_index"),
+        (F.max("pos") + 1).cast("bigint").alias("end_index"),
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"),
         F.max_by("end_time", "pos").alias("last_end_time"),
@@ -48,6 +48,31 @@ def window_frame(turns: DataFrame, size: int = 12, overlap: int = 0, group: str
     return span.drop("last_end_time")
 
 
+def episode_windows(turns: DataFrame, size: int, overlap: int = 0, start_index: int = 0, end_index: int | None = None, group: str = "episode_id") -> DataFrame:
+    """window_frame of the turns with places [start_index, end_index) in their group, and total_windows, overlap_size.
+
+    A group without turns there is an error where the frame is empty, as asking for windows of nothing is one.
+    """
+    order = W.partitionBy(group).orderBy("start_time", "turn_count")
+    some = turns.withColumn("__p", F.row_number().over(order) - 1).where(F.col("__p") >= start_index)
+    some = (some if end_index is None else some.where(F.col("__p") < end_index)).drop("__p")
+    if some.isEmpty():
+        raise ValueError("no turns to make windows of")
+    out = window_frame(some, size, overlap, group)
+    total = F.count("*").over(W.partitionBy(group))
+    shift = [(F.col(c) + start_index).alias(c) if c in ("start_index", "end_index") else F.col(c) for c in out.columns]
+    return out.select(*shift, total.alias("total_windows"), F.lit(overlap).alias("overlap_size"))
+
+
+def guarded_window_frame(turns: DataFrame, size: int = 12, overlap: int = 0, bytes_per_row: int = 400, allow_large: bool = False, most: int = 8 << 30, **options) -> DataFrame:
+    """window_frame for a result that is to be collected: an error if its text would be too much for the driver."""
+    _check(size, overlap)
+    n = turns.count() * size // (size - overlap)
+    if n * bytes_per_row > most and not allow_large:
+        raise MemoryError(f"windows of {n} turns would take about {n * bytes_per_row >> 20} MB on the driver; pass allow_large=True or keep them distributed")
+    return window_frame(turns, size, overlap, **options)
+
+
 def window_statistics(turns: DataFrame, size: int, overlap: int = 0, group: str = "episode_id") -> DataFrame:
     """Per group: turns, windows, and the mean window duration estimated as mean turn duration times size."""
     _check(size, overlap)
@@ -75,12 +100,26 @@ def assign_time_windows(turns: DataFrame, duration: float, overlap: float = 0.0,
 
 
 def time_window_frame(turns: DataFrame, duration: float, overlap: float = 0.0, group: str = "episode_id") -> DataFrame:
-    """One row per time window, empty ones too: turns in it, words, and the largest speaker's share of them."""
+    """One row per time window, empty ones too: turns in it, words, words a minute, and the largest primary speaker's share of the words."""
     step = duration - overlap
     spine = turns.groupBy(group).agg(F.max("end_time").alias("total"))
     n = F.greatest(F.lit(1), F.floor((F.col("total") - duration) / step).cast("bigint") + 1)
     spine = spine.select(group, "total", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("window_index"))
-    rows = assign_time_windows(turns, duration, overlap, group).groupBy(group, "window_index").agg(F.count("*").alias("n_turns"), F.sum("word_count").alias("words"))
+    rows = assign_time_windows(turns, duration, overlap, group).withColumn("who", F.try_element_at("speaker", F.lit(1)))
+    per = rows.groupBy(group, "window_index", "who").agg(F.count("*").alias("n_turns"), F.sum("word_count").alias("words"))
+    top = F.max(F.when(F.col("who").isNotNull(), F.col("words")))
+    rows = per.groupBy(group, "window_index").agg(F.sum("n_turns").alias("n_turns"), top.alias("top"), F.sum("words").alias("words"))
     out = spine.join(rows, [group, "window_index"], "left")
     ends = F.least(F.col("window_index") * step + duration, F.col("total"))
-    return out.select(group, "window_index", (F.col("window_index") * step).alias("window_start"), ends.alias("window_end"), F.coalesce("n_turns", F.lit(0)).alias("n_turns"), F.coalesce("words", F.lit(0)).cast("bigint").alias("words"))
+    words = F.coalesce("words", F.lit(0)).cast("bigint")
+    share = F.when(words > 0, F.round(F.coalesce("top", F.lit(0)) / words, 4))
+    return out.select(
+        group,
+        "window_index",
+        (F.col("window_index") * step).alias("window_start"),
+        ends.alias("window_end"),
+        F.coalesce("n_turns", F.lit(0)).alias("n_turns"),
+        words.alias("words"),
+        F.round(words * 60 / duration, 4).alias("words_per_minute"),
+        share.alias("top_share"),
+    )

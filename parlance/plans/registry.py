@@ -49,7 +49,7 @@ def _windows(size: int, overlap: int, partial: bool = False) -> str:
 placed AS (SELECT s.*, w.window_index FROM spread s, (SELECT unnest(generate_series(0, 2000)) AS window_index) w WHERE w.window_index < n_windows AND pos >= w.window_index * {step} AND pos < w.window_index * {step} + {size})"""
 
 
-_WINDOW = """SELECT episode_id, window_index, count(*) AS n_turns, min(pos) AS start_index, max(pos) AS end_index, min(start_time) AS start_time, max(end_time) AS end_time,
+_WINDOW = """SELECT episode_id, window_index, count(*) AS n_turns, min(pos) AS start_index, max(pos) + 1 AS end_index, min(start_time) AS start_time, max(end_time) AS end_time,
   (SELECT count(DISTINCT x) FROM (SELECT unnest(flatten(list(p.speaker))) AS x)) AS n_speakers, count(*) FILTER (WHERE role = 'host') AS host_turns, count(*) FILTER (WHERE role = 'guest') AS guest_turns,
   string_agg(turn_text, ' ' ORDER BY pos) AS text, max(end_time) - min(start_time) AS duration, arg_max(end_time, pos) - min(start_time) AS duration_to_last_turn
 FROM placed p GROUP BY episode_id, window_index"""
@@ -67,9 +67,13 @@ def q_window_partial(s, d):
 
 
 @query(
-    """SELECT s.episode_id, s.window_index, s.window_index * 30.0::DOUBLE AS window_start, least(s.window_index * 30.0::DOUBLE + 60, total) AS window_end, count(t.turn_count) AS n_turns, coalesce(sum(t.word_count), 0)::BIGINT AS words
+    """SELECT s.episode_id, s.window_index, s.window_index * 30.0::DOUBLE AS window_start, least(s.window_index * 30.0::DOUBLE + 60, total) AS window_end,
+  coalesce(sum(n), 0)::BIGINT AS n_turns, coalesce(sum(w), 0)::BIGINT AS words, round(coalesce(sum(w), 0) * 60 / 60.0::DOUBLE, 4) AS words_per_minute,
+  CASE WHEN sum(w) > 0 THEN round(coalesce(max(w) FILTER (WHERE who IS NOT NULL), 0) / sum(w), 4) END AS top_share
 FROM (SELECT episode_id, total, unnest(generate_series(0, greatest(1, floor((total - 60) / 30)::BIGINT + 1) - 1)) AS window_index FROM (SELECT episode_id, max(end_time) AS total FROM turns GROUP BY 1)) s
-LEFT JOIN turns t ON t.episode_id = s.episode_id AND t.start_time < t.end_time AND t.start_time < s.window_index * 30 + 60 AND t.end_time > s.window_index * 30 GROUP BY s.episode_id, s.window_index, s.total""",
+LEFT JOIN (SELECT t.episode_id, k.window_index, speaker[1] AS who, count(*) AS n, sum(word_count) AS w FROM turns t, (SELECT unnest(generate_series(0, 10000)) AS window_index) k
+  WHERE start_time < end_time AND start_time < k.window_index * 30 + 60 AND end_time > k.window_index * 30 GROUP BY ALL) m ON m.episode_id = s.episode_id AND m.window_index = s.window_index
+GROUP BY s.episode_id, s.window_index, s.total""",
     S.TURNS,
 )
 def q_window_by_time(s, d):
@@ -110,8 +114,10 @@ _R = lambda a, b, k="1.0": f"CASE WHEN ({b}) <> 0 THEN round({k}::DOUBLE * ({a})
   count(*) FILTER (WHERE h) AS host_turn_count, count(*) FILTER (WHERE NOT h AND contains(lower(role), 'guest')) AS guest_turn_count, {_R("count(*) FILTER (WHERE h)", "count(*)")} AS host_turn_proportion,
   {_R("coalesce(sum(word_count) FILTER (WHERE h), 0)", "sum(word_count)")} AS host_word_proportion, coalesce(round(avg(gap_from_prev) FILTER (WHERE gap_from_prev > 0), 4), 0) AS avg_gap_duration,
   coalesce(round(sum(overlap_with_prev), 4), 0) AS total_overlap_duration, {_R("sum(discourse_marker_count)", "sum(word_count)", "1000.0")} AS discourse_marker_rate,
-  {_R("coalesce(sum(word_count) FILTER (WHERE h), 0)", "coalesce(sum(d) FILTER (WHERE starts_with(lower(role), 'host')), 0)")} AS speaking_rate_host
-FROM (SELECT *, contains(lower(role), 'host') AS h, CASE WHEN end_time > start_time THEN end_time - start_time END AS d FROM measured) GROUP BY episode_id""",
+  {_R("coalesce(sum(word_count) FILTER (WHERE h), 0)", "coalesce(sum(d) FILTER (WHERE starts_with(lower(role), 'host')), 0)")} AS speaking_rate_host,
+  coalesce(sum(word_count) FILTER (WHERE h), 0)::BIGINT AS host_word_count, coalesce(sum(word_count) FILTER (WHERE g), 0)::BIGINT AS guest_word_count, sum(discourse_marker_count)::BIGINT AS discourse_marker_count,
+  {_R("coalesce(sum(word_count) FILTER (WHERE g), 0)", "coalesce(sum(d) FILTER (WHERE starts_with(lower(role), 'guest')), 0)")} AS speaking_rate_guest
+FROM (SELECT *, contains(lower(role), 'host') AS h, NOT contains(lower(role), 'host') AND contains(lower(role), 'guest') AS g, CASE WHEN end_time > start_time THEN end_time - start_time END AS d FROM measured) GROUP BY episode_id""",
     S.TURNS,
     MEASURED,
 )
@@ -315,35 +321,13 @@ def q_comention(s, d):
     return network.comentions(S.turns(s, d), "speaker")
 
 
-_EDGES = "edges AS (SELECT DISTINCT guest AS a, 100000000 + podcast_id AS b FROM appearances WHERE guest % 5 = podcast_id % 5)"
-_REACH = "SELECT node, min(reach) AS component FROM r GROUP BY 1"
-
-
-@query(_REACH, S.APPEARANCES, _EDGES, "b2 AS (SELECT a AS node, b AS other FROM edges UNION SELECT b, a FROM edges)", "r AS (WITH RECURSIVE q(node, reach) AS (SELECT DISTINCT node, node FROM b2 UNION SELECT b2.other, q.reach FROM q JOIN b2 ON q.node = b2.node) SELECT * FROM q)")
-def q_components(s, d):
-    e = S.appearances(s, d).where("guest % 5 = podcast_id % 5").select(F.col("guest").alias("a"), (F.lit(100000000) + F.col("podcast_id")).alias("b"))
-    return network.components(e)
-
-
 @query(None)
-def q_components_all(s, d):
-    """q_components over all appearances."""
-    e = S.all_appearances(s, d).select(F.col("guest").alias("a"), (F.lit(100000000) + F.col("podcast_id")).alias("b"))
+def q_components(s, d):
+    """Components of the graph of guests and shows, over all appearances."""
+    e = S.appearances(s, d).select(F.col("guest").alias("a"), (F.lit(100000000) + F.col("podcast_id")).alias("b"))
     return network.components(e)
 
 
-@query(None)
-def q_shared_guest_pairs_all(s, d):
-    """q_shared_guest_pairs over all appearances."""
-    return network.shared_pairs(S.all_appearances(s, d), "guest", "podcast_id")
-
-
-@query(None)
-def q_degree_all(s, d):
-    """q_degree over all appearances."""
-    return network.degrees(q_shared_guest_pairs_all(s, d))
-
-
 @query("SELECT count(DISTINCT podcast_id) AS n_shows, count(*) AS n_episodes, round(sum(duration_seconds) / 3600, 4) AS hours, round(avg(duration_seconds) / 60, 4) AS mean_minutes FROM episodes", S.EPISODES)
 def q_corpus_stats(s, d):
     return catalog.corpus_statistics(S.episodes(s, d))
@@ -536,7 +520,9 @@ def q_language_name(s, d):
 
 
 def _core(s, d):
-    return network.core(network.shared_pairs(S.appearances(s, d), "guest", "podcast_id")).checkpoint()
+    pairs = network.shared_pairs(S.appearances(s, d), "guest", "podcast_id").checkpoint()
+    strong = pairs.agg(F.avg("weight") + F.stddev_samp("weight")).scalar()  # pairs that share more than most
+    return network.core(network.heavy(pairs, strong)).checkpoint()
 
 
 @query(None)

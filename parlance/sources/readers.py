@@ -25,17 +25,54 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_words(spark: SparkSession, path: str, features: tuple[str, ...] = ()) -> DataFrame:
-    """Timed words (word, start, end and features) from CSV; inverted bounds are swapped, rows without bounds dropped."""
-    fields = ["word string", "start double", "end double", *[f"{c} double" for c in features]]
-    rows = spark.read.schema(", ".join(fields)).csv(path, header=True, mode="PERMISSIVE")
+    """Timed words (word, start, end and features) from CSV; inverted bounds are swapped, rows without bounds dropped.
+
+    Fields are read as text and cast one by one, so that a feature that is no number costs that value and not the row.
+    """
+    fields = ["word", "start", "end", *features]
+    rows = spark.read.schema(", ".join(f"`{c}` string" for c in fields)).csv(path, header=True, mode="PERMISSIVE")
+    rows = rows.select("word", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in fields[1:]])
     return rows.where("start is not null and end is not null").withColumns({"start": F.least("start", "end"), "end": F.greatest("start", "end")})
 
 
 def read_paths(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """A listing of paths to key (file name without suffix) and path; of equal keys the least path stands."""
-    rows = spark.read.text(path).select(F.trim("value").alias("path")).where(F.col("path").endswith(suffix))
+    """A listing of paths to key (file name without suffix) and path; of equal keys the one listed first stands."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "path")).select("line", F.trim("path").alias("path"))
+    rows = rows.where(F.col("path").endswith(suffix))
     key = F.regexp_replace(F.substring_index("path", "/", -1), suffix.replace(".", r"\.") + "$", "")
-    return rows.groupBy(key.alias("key")).agg(F.min("path").alias("path"))
+    return rows.groupBy(key.alias("key")).agg(F.min_by("path", "line").alias("path"))
+
+
+def rename_columns(spark: SparkSession, source: str, target: str, names: dict[str, str]) -> None:
+    """A written tree again under other column names; the rows of a file stay together, in order."""
+    spark.read.parquet(source).withColumnsRenamed(names).write.mode("overwrite").parquet(target)
+
+
+def compact(spark: SparkSession, source: str, target: str, files: int) -> None:
+    """A written tree again in fewer files."""
+    spark.read.parquet(source).coalesce(files).write.option("compression", "zstd").mode("overwrite").parquet(target)
+
+
+def write_shows(df: DataFrame, path: str, key: str = "podcast_id") -> None:
+    """A folder per show: for corpora of few shows; write_tree suits others."""
+    df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+
+
+def write_row_map(trees: dict[str, DataFrame], path: str) -> None:
+    """row_map, written: a file per tree."""
+    row_map(trees).repartition("tree").sortWithinPartitions("podcast_id").write.mode("overwrite").partitionBy("tree").parquet(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """To a new folder first, which takes the old one's place only when it is whole."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    fs = old.getFileSystem(conf)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{path}.new cannot take the place of {path}")
 
 
 def write_tree(df: DataFrame, path: str, keys: list[str], parts: int, rows_per_file: int = 2_000_000) -> None:
@@ -53,9 +90,14 @@ def row_map(trees: dict[str, DataFrame], key: str = "podcast_id") -> DataFrame:
 
 
 def subset_of(spec) -> tuple[list[str], list[str], list[str]]:
-    """Shows (12 hexadecimal digits), episodes (16) and titles of a subset given as a list or a dict of lists."""
+    """Shows (12 hexadecimal digits), episodes (16) and titles of a subset: a list, a dict of lists, or a .json or .txt file of either."""
+    import json
     import re
 
+    if isinstance(spec, str):
+        with open(spec, encoding="utf-8") as f:
+            text = f.read()
+        spec = json.loads(text) if spec.endswith(".json") else [line.strip() for line in text.splitlines() if line.strip() and not line.startswith("#")]
     if isinstance(spec, dict):
         return tuple(list(spec.get(k, [])) for k in ("podcast_ids", "episode_ids", "titles"))
     shows = [x for x in spec if re.fullmatch("[0-9a-f]{12}", x)]
