@@ -77,6 +77,12 @@ class Corpus:
             part = Corpus(self.spark, {**self._tables, name: self.spark.read.schema(whole.schema).parquet(path)}, self.shows)
             yield part.table(name, wanted)
 
+    def parts_for(self, shows: list | DataFrame, trees: tuple[str, ...] = ()) -> DataFrame:
+        """tree, part, n_shows: the files that hold some shows, by the shard map; what a download of these shows needs."""
+        out = frames.pin(self.catalog("shard_map"), self.resolve(shows))
+        out = out.where(F.col("tree").isin(*trees)) if trees else out
+        return out.groupBy("tree", "part").agg(F.count_distinct("podcast_id").alias("n_shows"))
+
     def sql(self, query: str) -> DataFrame:
         """SQL over the tables in view, under their registry names."""
         for name in self._tables:

@@ -167,6 +167,11 @@ def category_distribution(episodes: DataFrame, columns: list[str]) -> DataFrame:
     return each.where("category <> ''").groupBy("category").agg(F.count("*").alias("n"))
 
 
+def top_per_group(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each group; Spark keeps n a task before it shuffles."""
+    return rows.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+
+
 def fold_tail(counts: DataFrame, name: str, n: str, keep: int = 7, other: str = "Other") -> DataFrame:
     """All but the `keep` largest as one."""
     ranked = counts.withColumn("r", F.row_number().over(W.orderBy(F.desc(n), name)))  # rows here are categories

@@ -50,6 +50,14 @@ def without(df: DataFrame, shows: DataFrame, key: str = "podcast_id") -> DataFra
     return df.join(shows.select(key).distinct(), key, "left_anti")
 
 
+def union_ids(tables: list[DataFrame], key: str = "podcast_id") -> DataFrame:
+    """Different ids of several tables."""
+    out = tables[0].select(key)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(key))
+    return out.distinct()
+
+
 def strict_turns(turns: DataFrame) -> DataFrame:
     """The population of the object model: text that is not blank and a positive span."""
     return turns.where((F.trim("turn_text") != "") & (F.col("end_time") > F.col("start_time")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -112,21 +112,30 @@ def stemmed_postings(docs: DataFrame, key: str, text: str, stop_words: tuple[str
     return met.withColumn("dl", F.sum("tf").over(W.partitionBy(key)))
 
 
-def write_postings(posts: DataFrame, path: str, parts: int = 64) -> None:
-    """Clustered by term, so that a search reads the row groups of its terms only."""
-    posts.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+def write_index(docs: DataFrame, key: str, text: str, path: str, stemmed: bool = False, stop_words: tuple[str, ...] = (), parts: int = 64) -> None:
+    """Postings clustered by term, so that a search reads the row groups of its terms only, and one row of statistics."""
+    posts = stemmed_postings(docs, key, text, stop_words) if stemmed or stop_words else postings(docs, key, text)
+    posts.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    written = docs.sparkSession.read.parquet(f"{path}/postings")
+    stats = written.agg(F.sum("tf").cast("double").alias("words"), F.count_distinct(key).alias("with_terms"))
+    all_docs = docs.agg(F.count("*")).scalar()
+    stats.select((F.col("words") / F.col("with_terms")).alias("avgdl"), all_docs.alias("n_docs")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def bm25_over(index: DataFrame, query: str, key: str = "key", stemmed: bool = False, stop_words: tuple[str, ...] = (), n_docs: int | None = None) -> DataFrame:
-    """key, score by BM25 over written postings; filters on `term` reach the scan. n_docs: documents, where some have no posting."""
+def search_index(spark: SparkSession, path: str, query: str, key: str, stemmed: bool = False, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """key, score by BM25 over a written index."""
+    return bm25_over(spark.read.parquet(f"{path}/postings"), query, key, stemmed, stop_words, spark.read.parquet(f"{path}/stats"))
+
+
+def bm25_over(index: DataFrame, query: str, key: str = "key", stemmed: bool = False, stop_words: tuple[str, ...] = (), stats: DataFrame | None = None) -> DataFrame:
+    """key, score by BM25 over postings; the filter on `term` reaches a scan. stats: avgdl, n_docs; without it, of the documents with postings."""
     terms = sorted({stem(t) if stemmed else t for t in re.findall(r"[^\W]+", query.lower()) if t not in stop_words})
-    lengths = index.groupBy(key).agg(F.max("dl").alias("dl"))
+    if stats is None:
+        stats = index.groupBy(key).agg(F.max("dl").alias("dl")).agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs"))
     some = index.where(F.col("term").isin(terms))
-    stats = lengths.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n"))
-    row = stats.select(F.struct("avgdl", "n")).scalar()  # one row, read once
     df = some.groupBy("term").agg(F.count("*").alias("df"))
-    rows = some.join(F.broadcast(df), "term").withColumn("__s", row)  # df: a row per query term
-    rows = rows.withColumn("avgdl", F.col("__s.avgdl")).withColumn("n_docs", F.lit(n_docs) if n_docs is not None else F.col("__s.n"))
+    rows = some.join(F.broadcast(df), "term").withColumn("__s", stats.select(F.struct("avgdl", "n_docs")).scalar())  # df: a row per query term
+    rows = rows.withColumn("avgdl", F.col("__s.avgdl")).withColumn("n_docs", F.col("__s.n_docs"))
     return rows.groupBy(key).agg(F.round(F.sum(_idf(F.col("df")) * _saturated(F.col("tf"))), 6).alias("score"))
 
 
@@ -138,20 +147,13 @@ def _saturated(tf: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: str, index: DataFrame | None = None) -> DataFrame:
-    """key, score of the documents with any term; the mean length is over documents with terms.
+def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """key, score of the documents with any term, without an index; the mean length is over documents with terms.
 
-    With an index (written postings) only the query's terms are read. Without one, documents are scanned once for their length
-    and counts of the query's terms, which are written as narrow rows; statistics are one row.
+    Documents are scanned once for their length and counts of the query's terms, which are written as narrow rows; statistics are
+    one row. For repeated searches write an index.
     """
-    terms = sorted(set(query.lower().split()))
-    if index is None:
-        return _scan_bm25(docs, key, text, terms)
-    stats = index.select(key, "dl").distinct().agg(F.avg("dl").alias("avgdl")).crossJoin(docs.agg(F.count("*").alias("n_docs")))  # a row each
-    some = index.where(F.col("term").isin(terms))
-    df = some.groupBy("term").agg(F.count("*").alias("df"))
-    part = _idf(F.col("df")) * _saturated(F.col("tf"))
-    return some.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))  # df: a row per query term
+    return _scan_bm25(docs, key, text, sorted(set(query.lower().split())))
 
 
 def _scan_bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
@@ -193,6 +195,13 @@ def contexts(turns: DataFrame, word: str, reach: int = 25, text: str = "turn_tex
     return rows.select(*turns.columns, "pos", F.array_join(F.slice("__w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + 1 + reach), " ").alias("context"))
 
 
+def tone(contexts_: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "context") -> DataFrame:
+    """keys, n_words (known ones), tone: the mean weight of a context's words in a lexicon (word, weight), which is the caller's."""
+    words = contexts_.select(*keys, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}_']+")).alias("word"))
+    met = words.join(lexicon, "word", "left").groupBy(*keys).agg(F.count("weight").alias("n_words"), F.avg("weight").alias("tone"))
+    return met.select(*keys, "n_words", F.round(F.coalesce("tone", F.lit(0.0)), 6).alias("tone"))
+
+
 def word_positions(turns: DataFrame, word: str, group: str = "episode_id", text: str = "turn_text") -> DataFrame:
     """Each occurrence (they may overlap) with its number in the episode and a time by linear interpolation in its turn."""
     low, n = F.lower(text), len(word)

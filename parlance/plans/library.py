@@ -10,7 +10,7 @@ from ..operators import audit, build, catalog, frames, metrics, names, search, s
 from ..sources import schema
 from ..sources.readers import subset_of, table
 from . import stand_ins as S
-from .registry import MEASURED, QUERIES, SQL, measured, query
+from .registry import MEASURED, QUERIES, SQL, measured, query, text_index
 
 __all__ = ["QUERIES", "SQL", "corpus"]
 
@@ -483,6 +483,31 @@ def q_turns_from_words(s, d):
     return out.select("episode_id", "turn_count", "turn_text", "duration", "token_count", F.array_join(F.array_sort("speaker"), ",").alias("labels"))
 
 
+@query("SELECT podcast_id, episode_id, duration_seconds FROM library QUALIFY row_number() OVER (PARTITION BY podcast_id ORDER BY duration_seconds DESC, episode_id) <= 3", S.LIBRARY)
+def q_top_per_show(s, d):
+    return catalog.top_per_group(S.library_episodes(s, d), ["podcast_id"], [F.desc("duration_seconds"), "episode_id"], 3).select("podcast_id", "episode_id", "duration_seconds")
+
+
+@query("SELECT podcast_id FROM library UNION SELECT podcast_id FROM lturns", S.LIBRARY, S.TURNS, S.LIBRARY_TURNS)
+def q_union_ids(s, d):
+    return frames.union_ids([S.library_episodes(s, d), S.library_turns(s, d)])
+
+
+@query(r"SELECT episode_id, turn_count, count(w) AS n_words, round(coalesce(avg(w), 0), 6) AS tone FROM (SELECT episode_id, turn_count, unnest(regexp_split_to_array(lower(turn_text), '[^\p{L}\p{N}_'']+')) AS word FROM turns) LEFT JOIN (VALUES ('the', 1.5::DOUBLE), ('der', -0.5), ('le', 0.25)) AS v(word, w) USING (word) GROUP BY ALL", S.TURNS)
+def q_tone(s, d):
+    lexicon = s.createDataFrame([("the", 1.5), ("der", -0.5), ("le", 0.25)], "word string, weight double")
+    return search.tone(S.turns(s, d), lexicon, ["episode_id", "turn_count"], "turn_text")
+
+
+_MAP = "map AS (SELECT source AS podcast_id, 'documents' AS tree, 'part-' || (length(source) % 2) AS part FROM documents GROUP BY 1)"
+
+
+@query("SELECT tree, part, count(DISTINCT podcast_id) AS n_shows FROM map WHERE podcast_id IN ('src1', 'src2', 'src11') GROUP BY ALL", _MAP)
+def q_parts_for(s, d):
+    m = S.library_shows(s, d).select("podcast_id", F.lit("documents").alias("tree"), F.concat(F.lit("part-"), F.length("podcast_id") % 2).alias("part"))
+    return corpus(s, d, shard_map=m).parts_for(["src1", "src2", "src11", "nowhere"])
+
+
 # without SQL: random, or by hashes of their own
 
 
@@ -498,10 +523,9 @@ def q_tutorial_shows(s, d):
 
 
 @query(None)
-def q_search_bm25_index(s, d):
+def q_search_bm25_stems(s, d):
     """BM25 over stemmed postings without stop words."""
     from pyspark.ml.feature import StopWordsRemover
 
     stop = tuple(StopWordsRemover.loadDefaultStopWords("english"))
-    index = search.stemmed_postings(table(s, d, "documents"), "doc_id", "text", stop)
-    return search.bm25_over(index, "the und tionly", "doc_id", True, stop)
+    return search.search_index(s, text_index(s, d, stemmed=True, stop_words=stop), "the und tionly", "doc_id", True, stop)

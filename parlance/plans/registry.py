@@ -10,6 +10,7 @@ from ..functions import exprs as X
 from ..functions import taxonomy
 from ..operators import catalog, frames, metrics, names, network, search, segments, stats, topics, windows
 from ..sources.readers import row_map, table
+from ..sources.session import ensure_checkpoints
 from ..streaming import turns as stream
 from . import stand_ins as S
 
@@ -236,19 +237,40 @@ def q_search_hits(s, d):
     return search.episode_hits(search.scan(table(s, d, "documents"), "and the", "fts", "text"), "source")
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def text_index(s, d, **options) -> str:
+    """Folder of an index of the documents, written once a session to the folder that all executors share."""
+    at = (s.sparkContext.applicationId, d, *sorted(options))
+    if at not in _INDEXES:
+        ensure_checkpoints(s)
+        _INDEXES[at] = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/text-index-{len(_INDEXES)}"
+        search.write_index(table(s, d, "documents"), "doc_id", "text", _INDEXES[at], **options)
+    return _INDEXES[at]
+
+
 POSTINGS = r"""terms AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS ts FROM documents),
 posts AS (SELECT term, doc_id, count(*) AS tf, first(dl) AS dl FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM terms) GROUP BY term, doc_id)"""
 
 
-@query(
-    """SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
-FROM posts JOIN (SELECT term, count(*) AS df FROM posts WHERE term IN ('the', 'und') GROUP BY 1) USING (term), (SELECT count(*)::DOUBLE AS n FROM documents), (SELECT avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, dl FROM posts)) GROUP BY doc_id""",
-    POSTINGS,
-)
+_BM25 = """SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+FROM posts JOIN (SELECT term, count(*) AS df FROM posts WHERE term IN ('the', 'und') GROUP BY 1) USING (term), (SELECT count(*)::DOUBLE AS n FROM documents), (SELECT avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, dl FROM posts)) GROUP BY doc_id"""
+
+
+@query(_BM25, POSTINGS)
 def q_search_bm25(s, d):
+    """Over a written index; its first use in a session writes it."""
+    return search.search_index(s, text_index(s, d), "the und", "doc_id")
+
+
+@query(_BM25, POSTINGS)
+def q_search_bm25_scan(s, d):
+    """By a scan of the documents."""
     return search.bm25(table(s, d, "documents"), "doc_id", "text", "the und")
 
 
+
 @query(
     """SELECT doc_id, round(sum(weight * weight), 6) AS norm, round(max(weight), 6) AS top_weight, count(*) AS n_terms FROM (
   SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM (SELECT doc_id, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM posts JOIN (SELECT term, count(*) AS df FROM posts GROUP BY 1 HAVING count(*) >= 2) USING (term), (SELECT count(*)::DOUBLE AS n FROM documents))) GROUP BY doc_id""",
