@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import materialize, table
+from .store import in_batches, materialize, table
 
 #: Dimensions of a projection and bits of each in a key; curves; rows of a block at most.
 PROJECTED, BITS, CURVES, BLOCK = 8, 7, 32, 32_768
@@ -100,7 +100,7 @@ def _keyed(points: DataFrame, longest: float, curves: int, seed: int) -> DataFra
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, np.int32)), pa.array(keys), pa.array(np.concatenate([ids, ids[queried]])), pa.array(np.arange(n) >= len(ids))], names=["curve", "key", "cid", "query"])
 
-    return points.select("cid", "v", "queried").mapInArrow(run, "curve int, key long, cid long, query boolean")
+    return in_batches(points.select("cid", "v", "queried"), run, "curve int, key long, cid long, query boolean")
 
 
 def _ranked(keyed: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _ranked(keyed: DataFrame) -> DataFrame:
 
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = keyed.repartitionByRange(n, "curve", "key", "cid", "query").sortWithinPartitions("curve", "key", "cid", "query")
-    placed = materialize(sorted_.mapInArrow(run, keyed.schema.simpleString()[7:-1].replace(":", " ") + ", part int, local long"), "curve-ranks")
+    placed = materialize(in_batches(sorted_, run, keyed.schema.simpleString()[7:-1].replace(":", " ") + ", part int, local long"), "curve-ranks")
     sizes = placed.groupBy("curve", "part").agg(F.sum(F.when(F.col("query"), 0).otherwise(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = materialize(sizes.select(F.col("curve").alias("o_curve"), F.col("part").alias("o_part"), before.alias("before")), "curve-offsets")
@@ -162,7 +162,7 @@ def true_neighbours(points: DataFrame, sample: list, k: int) -> DataFrame:
                 out.append((np.full(len(got), own), got, score))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], names=["q", "cid", "score"])
 
-    found = points.select("cid", "v").mapInArrow(run, "q long, cid long, score double")
+    found = in_batches(points.select("cid", "v"), run, "q long, cid long, score double")
     return found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "cid"))).where(F.col("r") <= k).select("q", "cid")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import materialize, reserve, table
+from .store import in_batches, materialize, reserve, table
 
 #: Different pages that a valid class occurs in, at least, and share of the host's pages that hold an element or a text of the template.
 SUPPORT, ELEMENT_SHARE, TEXT_SHARE = 3, 0.05, 0.9
@@ -199,7 +199,7 @@ def parse(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(blocks, kinds[0]), pa.array(seen, kinds[1]), pa.array(free, pa.int64()), pa.array(prints, pa.int64())], names=[*kept, "blocks", "seen", "free", "print"])
 
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("blocks", T._parse_datatype_string(BLOCKS)), T.StructField("seen", T._parse_datatype_string(SEEN)), T.StructField("free", T.LongType()), T.StructField("print", T.LongType())])
-    return pages.mapInArrow(run, schema)
+    return in_batches(pages, run, schema)
 
 
 def token_classes(each: DataFrame) -> DataFrame:

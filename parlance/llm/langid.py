@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import materialize, reserve, table
+from .store import in_batches, materialize, reserve, table
 
 #: The classifier is fitted on at most SAMPLE labelled documents per language (those with the least keyed hash of their id),
 #: of which DICTIONARY bytes are kept; at most LANGUAGES languages, so that what is broadcast is at most 8 MB.
@@ -92,7 +92,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n != "und" and s >= MARGIN for n, s in found])], names=[*b.schema.names, "lang_pred", "score", "accepted"])
 
     out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    return docs.mapInArrow(run, out)
+    return in_batches(docs, run, out)
 
 
 def held_out() -> F.Column:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .store import WORD, let, materialize, table
 
-#: Documents in a block and draws in a shard, on average at most; permutations are ranked in so many parts.
-BLOCK, SHARD, PARTS_LOG2 = 256, 32, 10
+#: Documents in a block and draws in a shard, on average at most; permutations are ranked in so many parts; orders that an edge is tried in.
+BLOCK, SHARD, PARTS_LOG2, TRIALS = 256, 32, 10, 64
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -125,22 +125,38 @@ def ranked_blocks(dealt: DataFrame, seed: int) -> DataFrame:
 
 
 def edge_rows(rows: DataFrame, cut: bool, seed: int) -> DataFrame:
-    """Of the blocks at the edges of targets (about BLOCK documents each), words of whole documents that fit into need, in a keyed order.
+    """Of the blocks at the edges of targets (about BLOCK documents each), words of whole documents that fit into need.
 
-    A document that is too large is passed over; at last the smallest of these gives the words that are missing (cut), or is taken in
-    whole if that brings the sum nearer.
+    Documents are taken in a keyed order as long as they fit, then the others from the longest down where they still do; at last the
+    smallest that is left gives the words that are missing (cut), or is taken in whole if that brings the sum nearer. Of TRIALS
+    orders that come nearest, the first counts; there is one such block a source.
     """
-    copy = F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("turn"), "doc_id", "size", "source_size", "target")
-    blocks = rows.groupBy("source", "block", "pass", "shard", "need").agg(F.sort_array(F.collect_list(copy)).alias("all"))
-    start = F.struct(F.col("need").alias("need"), F.array().cast("array<boolean>").alias("in"))
-    fold = F.aggregate("all", start, lambda a, x: F.struct((a["need"] - F.when(x["size"] <= a["need"], x["size"]).otherwise(0)).alias("need"), F.concat(a["in"], F.array(x["size"] <= a["need"])).alias("in")))
-    done = blocks.withColumn("fit", fold)
-    over = F.array_min(F.filter(F.transform("all", lambda x, i: F.when(~F.get("fit.in", i), F.struct(x["size"].alias("size"), i.alias("i")))), lambda x: x.isNotNull()))
+    keys, zero = ["source", "block", "pass", "shard", "need"], F.lit(0).cast("bigint")
+    held = rows.groupBy(*keys).agg(F.collect_list(F.struct("doc_id", "size", "source_size", "target")).alias("held"))
+    tried = held.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(0 if cut else TRIALS - 1))))
+    turned = F.transform("held", lambda x: F.struct(F.xxhash64(F.lit(seed), F.col("trial"), x["doc_id"]).alias("turn"), *[x[c].alias(c) for c in ("doc_id", "size", "source_size", "target")]))
+    blocks = tried.withColumn("all", F.array_sort(turned)).drop("held")
+
+    def ahead(a: Column, x: Column) -> Column:
+        fits = a["open"] & (x["size"] <= a["need"])
+        return F.struct((a["need"] - F.when(fits, x["size"]).otherwise(zero)).alias("need"), (a["n"] + F.when(fits, 1).otherwise(0)).alias("n"), fits.alias("open"))
+
+    first = F.aggregate("all", F.struct(F.col("need").alias("need"), F.lit(0).alias("n"), F.lit(True).alias("open")), ahead)
+    done = blocks.withColumn("first", first)
+    longest = F.transform(F.slice("all", F.col("first.n") + 1, F.size("all")), lambda x: F.struct((-x["size"]).alias("minus"), x.alias("x")))
+    done = done.withColumn("rest", F.transform(F.array_sort(longest), lambda z: z["x"]))
+    start = F.struct(F.col("first.need").alias("need"), F.array().cast("array<boolean>").alias("in"))
+    fold = F.aggregate("rest", start, lambda a, x: F.struct((a["need"] - F.when(x["size"] <= a["need"], x["size"]).otherwise(zero)).alias("need"), F.concat(a["in"], F.array(x["size"] <= a["need"])).alias("in")))
+    done = done.withColumn("fit", fold)
+    over = F.array_min(F.filter(F.transform("rest", lambda x, i: F.when(~F.get("fit.in", i), F.struct(x["size"].alias("size"), i.alias("i")))), lambda x: x.isNotNull()))
     extra = F.col("fit.need") if cut else F.when(over["size"] < 2 * F.col("fit.need"), over["size"]).otherwise(0)
-    done = done.withColumn("over", over["i"]).withColumn("extra", extra.cast("bigint"))
-    words = lambda x, i: F.when(F.get("fit.in", i), x["size"]).when(i == F.col("over"), F.col("extra")).otherwise(0).cast("bigint")
-    one = lambda x, i: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["source_size"].alias("source_size"), x["target"].alias("target"), words(x, i).alias("words"))
-    return done.select("source", "block", "pass", "shard", F.explode(F.transform("all", one)).alias("x")).select("source", "block", "pass", "shard", "x.*")
+    done = done.withColumn("over", over["i"]).withColumn("extra", F.coalesce(extra, F.lit(0)).cast("bigint"))
+    best = F.min_by(F.struct("all", "first", "rest", "fit", "over", "extra"), F.struct(F.abs(F.col("fit.need") - F.col("extra")), F.col("trial")))
+    done = done.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
+    one = lambda x, words: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["source_size"].alias("source_size"), x["target"].alias("target"), words.cast("bigint").alias("words"))
+    taken = F.transform(F.slice("all", F.lit(1), F.col("first.n")), lambda x: one(x, x["size"]))
+    others = F.transform("rest", lambda x, i: one(x, F.when(F.get("fit.in", i), x["size"]).when(i == F.col("over"), F.col("extra")).otherwise(zero)))
+    return done.select("source", "block", "pass", "shard", F.explode(F.concat(taken, others)).alias("x")).select("source", "block", "pass", "shard", "x.*")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, cut: bool = True, draws: int = SHARD, seed: int = 7) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import materialize, reserve, table
+from .store import in_batches, materialize, reserve, table
 
 CAPACITY, END = 1024, 2
 #: The vocabulary's added token and its id: a text is cut there before words are.
@@ -34,7 +34,7 @@ SALTS = 1024
 #: Slots (as a power of two) and ids of the table of words that a Python worker keeps; when it is full it starts afresh.
 SLOTS, MEMORY = 20, 8_000_000
 #: Characters that are split at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _classes() -> np.ndarray:
@@ -200,7 +200,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY,
             if keys:
                 yield flush(keys, texts, batch.schema.types[0])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialize, table
+from .store import in_batches, materialize, table
 
 LENGTH, GRAM = 400, 100
 #: Windows hashed at once (the place of an anchor has 20 bits), bytes of one transform, and different runs of an anchor that are not split.
-PIECE, BATCH, HOT = 1 << 19, 1 << 21, 256
+PIECE, BATCH, HOT = 1 << 18, 1 << 20, 256
 
 _U = np.uint64
 _RNG = np.random.default_rng(20)
@@ -129,7 +129,7 @@ def runs_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, runs array<struct<start:long,windows:long,anchor:long,content:long>>")
+    return in_batches(docs.select("doc_id", "k1", "k2", "text"), run, f"doc_id {kind}, k1 long, k2 long, runs array<struct<start:long,windows:long,anchor:long,content:long>>")
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -226,7 +226,7 @@ def _contents(asked: DataFrame, length: int) -> DataFrame:
             none = pa.nulls(len(raws), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(raws, pa.binary()), none, none], names=["key", "piece", "bytes", "x", "y"])
 
-    return asked.select("text", "wanted").mapInArrow(run, PIECES)
+    return in_batches(asked.select("text", "wanted"), run, PIECES)
 
 
 PIECES = "key long, piece long, bytes binary, x long, y long"
@@ -264,7 +264,7 @@ def _split(pieces: DataFrame, level: int, length: int, gram: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(cols)], names=["p_key", "p_piece", "off", "windows", "key", "piece", "bytes", "x", "y"])
 
-    return pieces.select("key", "piece", "bytes", "x", "y").mapInArrow(run, f"p_key long, p_piece long, off long, windows long, {PIECES}")
+    return in_batches(pieces.select("key", "piece", "bytes", "x", "y"), run, f"p_key long, p_piece long, off long, windows long, {PIECES}")
 
 
 def _expanded(pieces: DataFrame, length: int) -> DataFrame:
@@ -291,7 +291,7 @@ def _expanded(pieces: DataFrame, length: int) -> DataFrame:
         if keys:
             yield flush()
 
-    return pieces.select("key", "piece", "bytes").mapInArrow(run, "key long, piece long, low long, high long")
+    return in_batches(pieces.select("key", "piece", "bytes"), run, "key long, piece long, low long, high long")
 
 
 def repeated_ranges(pieces: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, level: int = 0) -> DataFrame:
@@ -341,7 +341,7 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "whole", "ranges").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<low:long,high:long>>, kept binary")
+    return in_batches(rows.select("doc_id", "text", "whole", "ranges"), run, f"doc_id {kind}, n_bytes long, spans array<struct<low:long,high:long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:

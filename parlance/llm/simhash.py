@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialize, table
+from .store import in_batches, materialize, table
 
 RADIUS, SHINGLE, SEED, SHARD = 3, 3, 42, 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 class BKTree:
@@ -143,7 +143,7 @@ def shard_links(shards: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(shard):
             yield groups(shard, fp)
 
-    return shards.select("shard", "fp").mapInArrow(run, "u long, v long")
+    return in_batches(shards.select("shard", "fp"), run, "u long, v long")
 
 
 def _bits(c: str, start: int, n: int) -> F.Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .simhash import SEED, links, majority, shingle_hashes
-from .store import materialize, reserve
+from .store import in_batches, materialize, reserve
 
 SHINGLE, SIMILARITY, SHARD = 5, 0.8, 256
 BANDS, ROWS = 24, 6
@@ -54,13 +54,16 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
-            simhash = np.fromiter(map(majority, hashes), np.uint64, b.num_rows).view(np.int64)
-            sets = [np.unique(h) for h in hashes]
-            sketch = [min_hashes(x).tobytes() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash), pa.array(map(xxh64_of, sets), pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "simhash", "fp", "sketch"])
+            simhash, digests, sketch = [], [], []
+            for t in b.column(1):  # one text at a time is spread out
+                hashes = shingle_hashes(t.as_py(), shingle)
+                own = np.unique(hashes)
+                simhash.append(majority(hashes))
+                digests.append(xxh64_of(own))
+                sketch.append(min_hashes(own).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(simhash, np.uint64).view(np.int64)), pa.array(digests, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "simhash", "fp", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, simhash long, fp long, sketch binary")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, simhash long, fp long, sketch binary")
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def by_group(frame: DataFrame, found, schema: str) -> DataFrame:
         if rest:
             yield some([np.concatenate(c) for c in zip(*rest, strict=True)])
 
-    return frame.mapInArrow(run, schema)
+    return in_batches(frame, run, schema)
 
 
 def matrix(sketches: np.ndarray) -> np.ndarray:
@@ -232,7 +235,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 own = np.unique(h)
                 yield pa.RecordBatch.from_arrays([pa.array([xxh64_of(own)], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], names=["fp", "grams"])
 
-    return docs.select("text").mapInArrow(run, "fp long, grams array<long>").dropDuplicates(["fp"])
+    return in_batches(docs.select("text"), run, "fp long, grams array<long>").dropDuplicates(["fp"])
 
 
 def jaccard(a: Column, b: Column) -> Column:
