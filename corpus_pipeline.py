@@ -51,12 +51,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are not taken, so null and empty texts go. A null source is a source of its own. Repeated rows are taken
     like separate documents; rows are known by their content, so neither their order nor their partitions matter.
     """
-    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("digest"))
-    sizes = materialize(mixing.row_keys(rows, F.col("digest")), "mix-sizes")
-    taken = mixing.mix(sizes, WEIGHTS, SHARE, MOST, False).where("words > 0").select(F.col("doc_id.id").alias("m_id"), F.col("doc_id.digest").alias("m_digest"), "shard", "place")
-    once = rows.dropDuplicates(["doc_id", "digest"])  # equal rows once: each copy that is taken has its own row on the right
-    both = once.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest")))
-    return both.repartition("shard").sortWithinPartitions("shard", "place").select(*COLUMNS)
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("d1"), F.xxhash64(F.lit(1), *COLUMNS).alias("d2"))
+    sizes = materialize(mixing.row_keys(rows.withColumn("doc_id", F.col("d1")), F.col("d2")), "mix-sizes")
+    taken = mixing.mix(sizes, WEIGHTS, SHARE, MOST, False).where("words > 0").select(F.col("doc_id.id").alias("d1"), F.col("doc_id.digest").alias("d2"), "shard", "place")
+    once = rows.dropDuplicates(["d1", "d2"])  # equal rows once: each copy that is taken has its own row on the right
+    return once.join(taken, ["d1", "d2"]).repartition("shard").sortWithinPartitions("shard", "place").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
