@@ -213,13 +213,15 @@ def word_positions(turns: DataFrame, word: str, group: str = "episode_id", text:
 
 
 def phrase_reuse(docs: DataFrame, grams: Column, owner: str, group: str) -> DataFrame:
-    """Pairs of groups (a < b) of one owner that share phrases, and how many.
+    """Pairs of groups (a < b) of one owner that share phrases, and how many. grams: an array of 128-bit digests (g, h), as of ngram_hashes.
 
-    Phrases are told apart by 128 bits of hashes, so that what is shuffled does not grow with their length. A phrase gathers its
-    different groups, of which there are few beside documents, in one aggregation, and pairs them there: no self-join.
+    A first pass keeps the phrases that two groups have, by the least and largest hash of their groups: numbers only, which Spark
+    combines before it shuffles. A second reads the groups of these few phrases, and pairs them in one aggregation: no self-join.
     """
-    rows = docs.select(owner, group, F.explode(grams).alias("gram")).select(owner, group, F.xxhash64("gram").alias("g"), F.xxhash64(F.lit(1), "gram").alias("h"))
-    held = rows.groupBy(owner, "g", "h").agg(F.sort_array(F.collect_set(group)).alias("all")).where(F.size("all") > 1)
+    rows = docs.select(owner, group, F.explode(grams).alias("x")).select(owner, group, F.xxhash64(owner, "x.g").alias("g"), F.xxhash64(owner, "x.h").alias("h"))
+    who = F.xxhash64(group)
+    shared = rows.groupBy("g", "h").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least <> most").select("g", "h")
+    held = rows.join(shared, ["g", "h"]).groupBy(owner, "g", "h").agg(F.sort_array(F.collect_set(group)).alias("all"))
     later = lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))
     return held.select(owner, F.explode(F.flatten(F.transform("all", later))).alias("p")).groupBy(owner, "p.a", "p.b").agg(F.count("*").alias("n_grams"))
 
