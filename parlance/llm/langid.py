@@ -16,6 +16,8 @@ from .store import in_batches, materialize, reserve, table
 #: The classifier is fitted on at most SAMPLE labelled documents per language (those with the least keyed hash of their id),
 #: of which DICTIONARY bytes are kept; at most LANGUAGES languages, so that what is broadcast is at most 8 MB.
 SAMPLE, DICTIONARY, LANGUAGES = 64, 32_768, 256
+#: Parts of a language that are sampled by themselves first, so that no task reads candidates from all others.
+SALTS = 64
 LEVEL, BLOCK = 5, 32_768
 #: A document is accepted if the second best language's encoding is longer by at least this share.
 MARGIN = 0.004
@@ -33,7 +35,9 @@ def train(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionaries from (doc_id, text, lang); rows with a null lang or text teach nothing. Repeated rows count once, ties go by id, then text."""
     rows = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", "doc_id", F.xxhash64("text").alias("digest"), "text")
     ids = rows.select("lang", "doc_id", "digest").distinct().withColumn("h", F.xxhash64("doc_id"))  # repeated rows are combined before the shuffle
-    picked = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "digest"))).where(F.col("r") <= SAMPLE)
+    order = ["h", "doc_id", "digest"]
+    few = ids.withColumn("salt", F.pmod(F.xxhash64("digest", "doc_id"), F.lit(SALTS))).withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).where(F.col("r") <= SAMPLE)
+    picked = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("r") <= SAMPLE)  # of SALTS * SAMPLE rows at most
     picked = materialize(picked.select(F.col("lang").alias("p_lang"), F.col("doc_id").alias("p_id"), F.col("digest").alias("p_digest"), "h"), "language-sample")
     if picked.agg(F.count_distinct("p_lang")).first()[0] > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
