@@ -39,16 +39,25 @@ class Corpus:
         table = self._tables[key]
         return table.select(*frames.checked_columns(table, columns))
 
-    def table(self, name: str, columns: list[str] | None = None) -> DataFrame:
-        """A table of the shows in view."""
+    def table(self, name: str, columns: list[str] | None = None, parts: list[str] | None = None) -> DataFrame:
+        """A table of the shows in view, or what some of its files (by name) hold of it."""
         whole = self.catalog(name)
         wanted = frames.checked_columns(whole, columns)
+        if parts is not None:
+            paths = [p for p in whole.inputFiles() if p.rsplit("/", 1)[-1] in set(parts)]
+            whole = self.spark.read.schema(whole.schema).parquet(*paths) if paths else whole.limit(0)
         if self.shows is not None and "podcast_id" in whole.columns:
             whole = frames.pin(whole, self.shows)
         elif self.shows is not None and "episode_id" in whole.columns:
             whole = frames.pin(whole, frames.pin(self.catalog("episodes"), self.shows), "episode_id")
         return whole.select(*wanted)
 
+    def of_show(self, name: str, podcast_id, columns: list[str] | None = None) -> DataFrame:
+        """A show's rows of a table; on files in show order, the row groups of other shows are skipped."""
+        whole = self.table(name)
+        wanted = frames.checked_columns(whole, columns)
+        return whole.where(F.col("podcast_id") == podcast_id).select(*wanted)
+
     def restrict(self, ids: list | DataFrame) -> Corpus:
         """The corpus of some shows; ids that it has not go."""
         return Corpus(self.spark, self._tables, self.resolve(ids).select("podcast_id"), self.index)

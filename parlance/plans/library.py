@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..corpus import Corpus
 from ..functions import exprs as X
-from ..operators import audit, build, catalog, frames, metrics, names, search, stats, windows
+from ..operators import audit, build, catalog, frames, metrics, names, search, segments, stats, windows
 from ..sources import schema
-from ..sources.readers import subset_of, table
+from ..sources.readers import shard_map, subset_of, table
 from . import stand_ins as S
-from .registry import MEASURED, QUERIES, SQL, measured, query, text_index
+from .registry import MEASURED, QUERIES, SQL, _windows, measured, query, text_index
 
 __all__ = ["QUERIES", "SQL", "corpus"]
 
@@ -343,6 +343,57 @@ def q_features(s, d):
     return t.withColumn("m", X.feature_map("a", "b")).select("event_id", F.size("m").alias("n_features"), F.try_element_at("m", F.lit("b")).alias("b"), X.lexical_set(F.upper("event_type"), {"A": ("click",), "B": ("view",)}).alias("lexical"), F.array_join(X.as_list(one, False), ",").alias("listed"))
 
 
+@query("SELECT doc_id, length(text) - length(replace(text, ' ', '')) + 1 AS n FROM documents")
+def q_search_table_words(s, d):
+    return table(s, d, "documents").select("doc_id", X.space_count_words(F.col("text")).cast("bigint").alias("n"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(lower(regexp_replace(trim(regexp_replace(n, '\s+', ' ', 'g')), '^[[:punct:]\s]+|[[:punct:]\s]+$', '', 'g')), '^the ', '') AS entity FROM (SELECT p_partkey, ' (The  ' || p_name || ') ' AS n FROM part)")
+def q_squashed_entity(s, d):
+    return table(s, d, "part").select("p_partkey", X.squashed_entity(F.concat(F.lit(" (The  "), "p_name", F.lit(") "))).alias("entity"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 END::INT AS at FROM events")
+def q_vowel_index(s, d):
+    words = [F.array(*map(F.lit, p)) for p in (("K", "AA1", "T"), ("AH2", "B", "AA1"), ("T", "IY0", "AH0"), ("S", "T"))]
+    k = F.col("event_id") % 4
+    phones = F.when(k == 0, words[0]).when(k == 1, words[1]).when(k == 2, words[2]).otherwise(words[3])
+    return table(s, d, "events").select("event_id", X.vowel_index(phones).cast("int").alias("at"))
+
+
+@query("SELECT event_id, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY value), 1000.0) AS \"end\" FROM (SELECT user_id, value, min(event_id) AS event_id FROM events GROUP BY ALL)")
+def q_spikes(s, d):
+    one = table(s, d, "events").groupBy("user_id", "value").agg(F.min("event_id").alias("event_id")).withColumn("clip", F.lit(1000.0))
+    return segments.spikes_to_intervals(one, "user_id", "value", "clip").select("event_id", "end")
+
+
+@query("SELECT episode_id, window_index, round(avg(word_count), 6) AS mean_word_count FROM placed GROUP BY ALL", S.TURNS, _windows(3, 1))
+def q_window_means(s, d):
+    out = windows.window_frame(S.turns(s, d), 3, 1, means=("word_count",))
+    return out.select("episode_id", "window_index", F.round("mean_word_count", 6).alias("mean_word_count"))
+
+
+@query("SELECT episode_id FROM library WHERE podcast_id = 'src4' AND podcast_id IN (SELECT podcast_id FROM cats WHERE contains(lower(category), 'come'))", S.LIBRARY, _CATEGORIES)
+def q_search_by_id_and_subcategory(s, d):
+    return corpus(s, d).search_episodes(podcast_id="src4", subcategory="COME").select("episode_id")
+
+
+@query("SELECT episode_id, ep_title FROM library WHERE podcast_id = 'src4'", S.LIBRARY)
+def q_show_rows(s, d):
+    return corpus(s, d).of_show("episodes", "src4", ["episode_id", "ep_title"])
+
+
+@query("SELECT source AS podcast_id, 'documents' AS tree, 'documents.parquet' AS part, count(*) AS num_rows FROM documents GROUP BY 1")
+def q_shard_map(s, d):
+    return shard_map({"documents": table(s, d, "documents").withColumnRenamed("source", "podcast_id")})
+
+
+@query("SELECT doc_id FROM documents")
+def q_rows_of_parts(s, d):
+    c = Corpus(s, {"episodes": table(s, d, "documents")})
+    return c.table("episodes", ["doc_id"], parts=["documents.parquet", "nowhere.parquet"])
+
+
 # build
 
 

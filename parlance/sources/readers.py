@@ -89,6 +89,16 @@ def row_map(trees: dict[str, DataFrame], key: str = "podcast_id") -> DataFrame:
     return out
 
 
+def shard_map(trees: dict[str, DataFrame], key: str = "podcast_id") -> DataFrame:
+    """podcast_id, tree, part, num_rows: the files of written trees that hold each show."""
+    out = None
+    for name, df in trees.items():
+        part = F.substring_index(F.input_file_name(), "/", -1)
+        one = df.select(key, part.alias("part")).groupBy(key, F.lit(name).alias("tree"), "part").agg(F.count("*").alias("num_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def subset_of(spec) -> tuple[list[str], list[str], list[str]]:
     """Shows (12 hexadecimal digits), episodes (16) and titles of a subset: a list, a dict of lists, or a .json or .txt file of either."""
     import json
