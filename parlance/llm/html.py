@@ -234,8 +234,8 @@ def text_token(block: Column) -> Column:
 
 
 def fixed_texts(pages: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(f_host, fixed): tokens of the texts of valid classes in the slots; about as many as texts on a page, times 1 / TEXT_SHARE."""
-    inside = F.filter("marks", lambda x: (x["i"] >= F.coalesce("low", F.lit(0))) & (x["i"] < F.coalesce("past", F.lit((1 << 31) - 1))))
+    """(f_host, fixed): tokens of the texts of valid classes in the slots and headings h1; about as many as texts on a page, times 1 / TEXT_SHARE."""
+    inside = F.filter("marks", lambda x: x["h1"] | (x["i"] >= F.coalesce("low", F.lit(0))) & (x["i"] < F.coalesce("past", F.lit((1 << 31) - 1))))
     each = pages.withColumn("inside", inside).withColumn("chars_in", F.aggregate("inside", F.lit(0).cast("bigint"), lambda a, x: a + x["chars"]))
     each = each.select("host", "print", F.col("chars_in").alias("free"), F.explode("inside").alias("t")).where("t.n > 0")
     tokens = token_classes(each.select("host", "print", "free", "t.token", "t.n", F.lit(0).alias("depth"), (F.col("t.n") * F.col("t.chars")).alias("chars")))
@@ -245,7 +245,7 @@ def fixed_texts(pages: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def templates(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The hosts' slots and fixed texts, written. Equal pages of a host (print) count once."""
-    mark = lambda x, i: F.when(~x["named"], F.struct(i.alias("i"), text_token(x).alias("token"), x["n"].alias("n"), F.length(x["text"]).alias("chars")))
+    mark = lambda x, i: F.when(~x["named"], F.struct(i.alias("i"), text_token(x).alias("token"), x["n"].alias("n"), F.length(x["text"]).alias("chars"), x["h1"].alias("h1")))
     marks = F.filter(F.transform("blocks", mark), lambda x: x.isNotNull())
     pages = materialize(parsed.select("host", "print", "seen", "free", marks.alias("marks")).dropDuplicates(["host", "print"]), "pages")
     sizes = materialize(pages.groupBy(F.col("host").alias("s_host")).agg(F.count("*").alias("all_pages")), "hosts")

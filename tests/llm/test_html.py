@@ -94,3 +94,10 @@ def test_markup(page, want):
 def test_clash(spark):
     with pytest.raises(ValueError):
         html.extract(spark.createDataFrame([(1, "u", "h", 1)], "page_id long, url string, html string, slots int"))
+
+
+def test_heading_outside_the_slot(spark):
+    page = lambda i: f"<div id=top><h1>The Site</h1></div><div id=head><h1>Title number {i}</h1></div><div id=body><p>A story of {i} things that goes on for a good while, {i * 7} words or so.</p></div>"
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(12)]
+    got = {r.page_id: r.text for r in html.extract(frame(spark, rows)).collect()}
+    assert all(got[i] == f"Title number {i} A story of {i} things that goes on for a good while, {i * 7} words or so." for i in range(12))
