@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalog
+from .sources import schema
 
 TABLES = ("podcast_catalog", "episode_catalog", "category_index", "hostname_index", "speaker_name_index", "host_index", "host_episode_index", "guest_index", "guest_episode_index", "episode_metrics")
 
@@ -26,10 +27,10 @@ def parser() -> argparse.ArgumentParser:
         found.add_argument(name)
     found.add_argument("--limit", type=int, default=10)
     columns = sub.add_parser("columns", help="columns of a table, or the tables")
-    columns.add_argument("table", nargs="?", choices=TABLES)
+    columns.add_argument("table", nargs="?", help="a table of the folder, or without a folder one of the registry")
     columns.add_argument("--grep", help="only columns whose name or type holds this")
     for each in (stats, show, found, columns):
-        each.add_argument("--parquet-dir", required=True)
+        each.add_argument("--parquet-dir", required=each is not columns)
     return p
 
 
@@ -40,6 +41,10 @@ def lines(df: DataFrame) -> list[str]:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     read = lambda name: spark.read.parquet(f"{args.parquet_dir}/metadata/{name}.parquet")
+    if args.command == "columns" and args.parquet_dir is None:
+        if args.table is None and not args.grep:
+            return list(schema.TABLES)
+        return lines(schema.describe(spark, args.table, args.grep))
     if args.command == "columns":
         if args.table is None:
             return list(TABLES)

@@ -169,3 +169,11 @@ def test_flags(spark):
     out = df.select(X.quality_score(*[F.col(c) for c in "otdsl"]).alias("q"), X.is_high_quality(F.col("o"), F.col("t")).alias("h"), X.overlap_grade(F.col("o")).alias("g")).collect()
     assert [tuple(r) for r in out] == [(4, True, "excellent"), (0, False, None)]
     assert frames.in_turn_order(df).columns == df.columns
+
+
+def test_columns_of_the_registry(spark):
+    from parlance.__main__ import parser, run
+
+    out = run(spark, parser().parse_args(["columns", "turn", "--grep", "seconds"]))
+    assert out[0].startswith("table\tcolumn") and [line.split("\t")[1] for line in out[1:]] == ["start_time", "end_time"]
+    assert "episodes" in run(spark, parser().parse_args(["columns"]))
