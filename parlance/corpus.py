@@ -210,19 +210,20 @@ class Corpus:
     def episodes_by_guest(self, name: str, exact: bool = False, limit: int | None = None) -> DataFrame:
         return catalog.episodes_by_name(self.table("episodes"), self.catalog("guest_episode_index"), name, exact, limit)
 
-    def names(self, name: str, role: str | None = None, exact: bool = False, limit: int = 100) -> DataFrame:
+    def names(self, name: str, role: str | None = None, exact: bool = False, limit: int | None = None) -> DataFrame:
         """Rows of the speaker index with a name."""
-        return names.lookup(self.table("speaker_name_index"), name, exact, role).orderBy("name_normalized", "episode_id", "role").limit(limit)
+        found = names.lookup(self.table("speaker_name_index"), name, exact, role)
+        return found if limit is None else found.orderBy("name_normalized", "episode_id", "role").limit(limit)
 
     def search_turns(self, query: str, mode: str = "fts", limit: int = 100, offset: int = 0, **where) -> DataFrame:
         return search.search_turns(self._text(), query, mode, limit, offset, self.index, **where)
 
-    def search_episodes_by_text(self, query: str, mode: str = "fts", limit: int = 100) -> DataFrame:
+    def search_episodes_by_text(self, query: str, mode: str = "fts", limit: int | None = 100) -> DataFrame:
         return search.episodes_by_text(self._text(), query, mode, limit, self.index)
 
-    def concordance(self, word: str, context: int = 10, limit: int = 100, **where) -> DataFrame:
+    def concordance(self, word: str, context: int = 10, limit: int | None = None, **where) -> DataFrame:
         hits = search.concordance(search.select_turns(self._text(), **where), word, context)
-        return hits.orderBy("episode_id", "turn_count").limit(limit)
+        return hits if limit is None else hits.orderBy("episode_id", "turn_count").limit(limit)
 
     def word_times(self, episode_id, word: str) -> DataFrame:
         return search.word_positions(self.table("turns").where(F.col("episode_id") == episode_id), word)

@@ -60,14 +60,15 @@ def turn_key() -> Column:
     return F.concat_ws(":", "episode_id", "turn_count")
 
 
-def episodes_by_text(turns: DataFrame, query: str, mode: str = "fts", limit: int = 100, index: DataFrame | None = None) -> DataFrame:
-    """Episodes with hits: how many, and the best score; best first (fts), or most hits first."""
+def episodes_by_text(turns: DataFrame, query: str, mode: str = "fts", limit: int | None = 100, index: DataFrame | None = None) -> DataFrame:
+    """Episodes with hits: how many, and the best score; best first (fts), or most hits first; all of them without a limit."""
     if mode == "fts" and index is not None:
         hits = bm25_over(index, query).withColumn("episode_id", F.substring_index("key", ":", 1))
     else:
         hits = scan(turns, query, mode)
     first, second = ("best_score", "n_hits") if mode == "fts" else ("n_hits", "best_score")
-    return episode_hits(hits).orderBy(F.desc(first), F.desc(second), "episode_id").limit(limit)
+    found = episode_hits(hits)
+    return found if limit is None else found.orderBy(F.desc(first), F.desc(second), "episode_id").limit(limit)
 
 
 def word_tokens(turns: DataFrame, episodes: DataFrame, word: str, longest: float | None = 30.0, limit: int = 50) -> DataFrame:

@@ -146,9 +146,9 @@ def q_shows_by_guest(s, d):
     return corpus(s, d).shows_by_guest("guest 4", exact=True).select("podcast_id")
 
 
-@query("SELECT episode_id FROM library WHERE episode_id % 7 = 2 ORDER BY episode_id LIMIT 25", S.LIBRARY)
+@query("SELECT episode_id FROM library WHERE episode_id % 7 = 2", S.LIBRARY)
 def q_episodes_by_host(s, d):
-    return corpus(s, d).episodes_by_host("host 2", exact=True, limit=25).select("episode_id")
+    return corpus(s, d).episodes_by_host("host 2", exact=True).select("episode_id")
 
 
 @query("SELECT episode_id FROM library WHERE episode_id % 2 = 0 AND (episode_id % 11 IN (1, 10) OR episode_id % 5 = 1)", S.LIBRARY)
@@ -156,9 +156,9 @@ def q_episodes_by_guest(s, d):
     return corpus(s, d).episodes_by_guest("guest 1").select("episode_id")
 
 
-@query("SELECT DISTINCT lower(trim(n)) AS name_normalized, episode_id FROM (SELECT episode_id, unnest(guest_predicted_names) AS n FROM library) WHERE lower(trim(n)) = 'guest 3' ORDER BY 2 LIMIT 40", S.LIBRARY)
+@query("SELECT DISTINCT lower(trim(n)) AS name_normalized, episode_id FROM (SELECT episode_id, unnest(guest_predicted_names) AS n FROM library) WHERE lower(trim(n)) = 'guest 3'", S.LIBRARY)
 def q_names_by_role(s, d):
-    return corpus(s, d).names("Guest 3", "guest", exact=True, limit=40).select("name_normalized", "episode_id")
+    return corpus(s, d).names("Guest 3", "guest", exact=True).select("name_normalized", "episode_id")
 
 
 @query("SELECT episode_id FROM library WHERE podcast_id = 'src2' AND list_contains(host_predicted_names, 'Host 1') AND list_contains(categories, 'Comedy') AND duration_seconds / 60 >= 2 AND num_main_speakers <= 3 AND episode_date::BIGINT >= 1700000000000", S.LIBRARY)
@@ -179,9 +179,9 @@ def q_search_turns_filtered(s, d):
     return corpus(s, d).search_turns("the", limit=20, offset=3, role="host").select("episode_id", "turn_count", "turn_text", "score")
 
 
-@query("SELECT episode_id, count(*) AS n_hits, 1.0::DOUBLE AS best_score FROM lturns WHERE contains(lower(turn_text), 'the') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30", S.TURNS, S.LIBRARY_TURNS)
+@query("SELECT episode_id, count(*) AS n_hits, 1.0::DOUBLE AS best_score FROM lturns WHERE contains(lower(turn_text), 'the') GROUP BY 1", S.TURNS, S.LIBRARY_TURNS)
 def q_episodes_by_text(s, d):
-    return corpus(s, d).search_episodes_by_text("the", "exact", 30)
+    return corpus(s, d).search_episodes_by_text("the", "exact", None)
 
 
 _FLAT = r"flat AS (SELECT *, trim(regexp_replace(turn_text, '\s+', ' ', 'g')) AS f FROM turns), found AS (SELECT *, strpos(lower(f), 'of the') AS found_at, string_split(f, ' ') AS w FROM flat), placed AS (SELECT *, len(string_split(substr(f, 1, found_at - 1), ' ')) - 1 AS i FROM found WHERE found_at > 0)"
