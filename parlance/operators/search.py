@@ -71,14 +71,14 @@ def episodes_by_text(turns: DataFrame, query: str, mode: str = "fts", limit: int
     return found if limit is None else found.orderBy(F.desc(first), F.desc(second), "episode_id").limit(limit)
 
 
-def word_tokens(turns: DataFrame, episodes: DataFrame, word: str, longest: float | None = 30.0, limit: int = 50) -> DataFrame:
+def word_tokens(turns: DataFrame, episodes: DataFrame, word: str, longest: float | None = 30.0, limit: int | None = 50) -> DataFrame:
     """Turns with a whole word, no longer than `longest` seconds, with their episode's audio address: what a phonetic analysis fetches."""
     whole = rf"(?i)\b{re.escape(word)}\b"
     hits = scan(turns, word, "exact").where(F.col("turn_text").rlike(whole))
     if longest is not None:
         hits = hits.where(F.col("end_time") - F.col("start_time") <= longest)
-    first = hits.orderBy("episode_id", "turn_count").limit(limit)
-    return first.join(episodes.select("episode_id", "mp3_url"), "episode_id")
+    hits = hits if limit is None else hits.orderBy("episode_id", "turn_count").limit(limit)
+    return hits.join(episodes.select("episode_id", "mp3_url"), "episode_id")
 
 
 def entity_mentions(turns: DataFrame, extract, text: str = "turn_text") -> DataFrame:

@@ -192,9 +192,9 @@ def q_kwic_phrase(s, d):
     return search.concordance(S.turns(s, d).select("episode_id", "turn_count", "turn_text"), "of  The", 5).drop("turn_text")
 
 
-@query("SELECT episode_id, turn_count, mp3_url FROM (SELECT * FROM lturns WHERE regexp_matches(turn_text, '(?i)\\bthe\\b') AND end_time - start_time <= 30 ORDER BY episode_id, turn_count LIMIT 50) JOIN library USING (episode_id)", S.TURNS, S.LIBRARY_TURNS, S.LIBRARY)
+@query("SELECT episode_id, turn_count, mp3_url FROM (SELECT * FROM lturns WHERE regexp_matches(turn_text, '(?i)\\bthe\\b') AND end_time - start_time <= 30) JOIN library USING (episode_id)", S.TURNS, S.LIBRARY_TURNS, S.LIBRARY)
 def q_word_tokens(s, d):
-    return search.word_tokens(S.library_turns(s, d), S.library_episodes(s, d), "the").select("episode_id", "turn_count", "mp3_url")
+    return search.word_tokens(S.library_turns(s, d), S.library_episodes(s, d), "the", limit=None).select("episode_id", "turn_count", "mp3_url")
 
 
 @query(r"SELECT DISTINCT episode_id, turn_count, lower(n) AS entity FROM (SELECT episode_id, turn_count, unnest(regexp_extract_all(turn_text, '[A-Z][a-z]{4,}')) AS n FROM turns)", S.TURNS)
