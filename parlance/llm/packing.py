@@ -29,8 +29,9 @@ from .store import in_batches, materialize, reserve, table
 CAPACITY, END = 1024, 2
 #: The vocabulary's added token and its id: a text is cut there before words are.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
-#: Pieces are ranked within (length, salt): no length, however common, is ranked in one task.
-SALTS = 1024
+#: Pieces are ranked within (length, salt), salts being as many as leave the commonest length so many rows for each: no length is ranked
+#: in one task. Sums over salts are taken FAN at a time.
+RANKED, FAN = 256, 256
 #: Slots (as a power of two) and ids of the table of words that a Python worker keeps; when it is full it starts afresh.
 SLOTS, MEMORY = 20, 8_000_000
 #: Characters that are split at once.
@@ -281,12 +282,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
     return done + [(bins, items) for runs in by_room.values() for bins, items in runs]
 
 
+def offsets(sizes: DataFrame, salts: int) -> DataFrame:
+    """(length, salt, n) to b_length, b_salt, before: the sum of n over smaller salts of the length, FAN rows at a time."""
+    order = lambda *by: W.partitionBy(*by).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    if salts <= FAN:
+        return sizes.select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), F.coalesce(F.sum("n").over(order("length")), F.lit(0)).alias("before"))
+    sizes = sizes.withColumn("above", F.floor(F.col("salt") / FAN))
+    upper = offsets(sizes.groupBy("length", F.col("above").alias("salt")).agg(F.sum("n").alias("n")), -(-salts // FAN)).toDF("u_length", "u_salt", "u_before")
+    own = sizes.withColumn("own", F.coalesce(F.sum("n").over(order("length", "above")), F.lit(0)))
+    both = own.join(upper, (F.col("length") == F.col("u_length")) & (F.col("above") == F.col("u_salt")))
+    return both.select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), (F.col("own") + F.col("u_before")).alias("before"))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces with doc_id, piece and length (1 .. capacity).
 
     The driver sees the histogram (at most `capacity` rows) and sends back the plan (a few rows per length). Ties and repeated
-    rows get places of their own: ranks run over (salt, doc_id, piece). Empty input gives an empty result. Extra columns stay; those
-    with a name that the operator adds are an error.
+    rows get places of their own: ranks run over (salt, doc_id, piece), and salts are drawn at random and written with the rows, so that equal
+    rows spread too. Empty input gives an empty result. Extra columns stay; those with a name that the operator adds are an error.
     """
     reserve(pieces, "sequence_id", "offset", "salt", "r", "p_length", "low", "high", "each", "base", "at", "b_length", "b_salt", "before")
     spark = pieces.sparkSession
@@ -300,9 +313,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at += length * each
         base += bins
     places = spark.createDataFrame(rows, "p_length long, low long, high long, each long, base long, at long")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    salts = max(1, -(-max(counts.values(), default=0) // RANKED))
+    salted = materialize(pieces.withColumn("salt", F.floor(F.rand() * salts)), "salted-pieces")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))).select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), F.coalesce("before", F.lit(0)).alias("before"))
+    before = offsets(materialize(sizes, "salt-sizes"), salts)
     rank = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
     ranked = salted.withColumn("r", rank).join(before, (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt"))).withColumn("r", F.col("r") + F.col("before"))
     found = ranked.join(F.broadcast(places), (F.col("length") == F.col("p_length")) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high")))  # a plan has a few rows per length

@@ -84,3 +84,20 @@ def test_added_token(spark):
     pieces = P.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *P.vocabulary(), capacity=100_000, keep_ids=True)
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pieces.collect()}
     assert got == {i: [*m.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
+def test_offsets_of_salts(spark, monkeypatch):
+    monkeypatch.setattr(P, "FAN", 3)
+    rows = [(n, s, (n * 7 + s * 5) % 4 + 1) for n in (1, 2) for s in range(40) if (n + s) % 5]
+    got = {(r.b_length, r.b_salt): r.before for r in P.offsets(spark.createDataFrame(rows, "length long, salt long, n long"), 40).collect()}
+    assert got == {(n, s): sum(k for m, t, k in rows if m == n and t < s) for n, s, _ in rows}
+
+
+def test_equal_rows_have_their_own_places(spark):
+    pieces = spark.createDataFrame([(1, 0, 300)] * 2000 + [(None, 0, 7)] * 500, "doc_id long, piece int, length long")
+    out = P.pack(pieces).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == 2500 == len(out)
+    used = {}
+    for r in out:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(v)[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(sorted(v), sorted(v)[1:])) and sum(n for _, n in v) <= 1024 for v in used.values())
