@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, html, langid, mixing, packing, pii, quality, repeats, simhash
+from . import ann, chat, goodness, html, langid, mixing, negatives, packing, pii, quality, repeats, simhash, trie
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_language": langid.op9_language,
     "op10_neighbours": ann.op10_neighbours,
+    "op11_trie": trie.op11_trie,
+    "op12_goodness": goodness.op12_goodness,
+    "op13_negatives": negatives.op13_negatives,
 }
 SQL = {"op6_chat": chat.OP6_SQL, "op7_quality": quality.OP7_SQL}
