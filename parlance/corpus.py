@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .functions import exprs as X
 from .functions import taxonomy
 from .operators import catalog, frames, names, search, windows
+from .operators.index import TextIndex
+from .operators.trigrams import TrigramIndex
 from .sources import schema
 
 ORDER = ("episode_id", "start_time", "turn_count")
@@ -21,8 +23,8 @@ class Corpus:
     A restricted corpus sees some shows only, in every table but catalog(): those of its `shows` (podcast_id).
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], shows: DataFrame | None = None, index: DataFrame | None = None):
-        self.spark, self.shows, self.index = spark, shows, index
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], shows: DataFrame | None = None, index: TextIndex | None = None, trigrams: TrigramIndex | None = None):
+        self.spark, self.shows, self.index, self.trigrams = spark, shows, index, trigrams
         self._tables = {schema.resolve_table(k): v for k, v in tables.items()}
 
     @classmethod
@@ -44,8 +46,7 @@ class Corpus:
         whole = self.catalog(name)
         wanted = frames.checked_columns(whole, columns)
         if parts is not None:
-            paths = [p for p in whole.inputFiles() if p.rsplit("/", 1)[-1] in set(parts)]
-            whole = self.spark.read.schema(whole.schema).parquet(*paths) if paths else whole.limit(0)
+            whole = frames.of_files(whole, parts)
         if self.shows is not None and "podcast_id" in whole.columns:
             whole = frames.pin(whole, self.shows)
         elif self.shows is not None and "episode_id" in whole.columns:
@@ -60,7 +61,7 @@ class Corpus:
 
     def restrict(self, ids: list | DataFrame) -> Corpus:
         """The corpus of some shows; ids that it has not go."""
-        return Corpus(self.spark, self._tables, self.resolve(ids).select("podcast_id"), self.index)
+        return Corpus(self.spark, self._tables, self.resolve(ids).select("podcast_id"), self.index, self.trigrams)
 
     def resolve(self, ids: list | DataFrame) -> DataFrame:
         """(podcast_id, position): the ids that are in view, each once, in the given order."""
@@ -83,7 +84,7 @@ class Corpus:
         whole = self.catalog(name)
         wanted = frames.checked_columns(whole, columns)
         for path in whole.inputFiles():
-            part = Corpus(self.spark, {**self._tables, name: self.spark.read.schema(whole.schema).parquet(path)}, self.shows)
+            part = Corpus(self.spark, {**self._tables, schema.resolve_table(name): frames.of_files(whole, [path])}, self.shows)
             yield part.table(name, wanted)
 
     def parts_for(self, shows: list | DataFrame, trees: tuple[str, ...] = ()) -> DataFrame:
@@ -216,13 +217,15 @@ class Corpus:
         return found if limit is None else found.orderBy("name_normalized", "episode_id", "role").limit(limit)
 
     def search_turns(self, query: str, mode: str = "fts", limit: int = 100, offset: int = 0, **where) -> DataFrame:
-        return search.search_turns(self._text(), query, mode, limit, offset, self.index, **where)
+        return search.search_turns(self._text(), query, mode, limit, offset, self.index, self.trigrams, self.shows is not None, **where)
 
     def search_episodes_by_text(self, query: str, mode: str = "fts", limit: int | None = 100) -> DataFrame:
-        return search.episodes_by_text(self._text(), query, mode, limit, self.index)
+        return search.episodes_by_text(self._text(), query, mode, limit, self.index, self.shows is not None)
 
     def concordance(self, word: str, context: int = 10, limit: int | None = None, **where) -> DataFrame:
-        hits = search.concordance(search.select_turns(self._text(), **where), word, context)
+        some = search.select_turns(self._text(), **where)
+        some = some if self.trigrams is None else self.trigrams.candidates(some, word, "exact")
+        hits = search.concordance(some, word, context)
         return hits if limit is None else hits.orderBy("episode_id", "turn_count").limit(limit)
 
     def word_times(self, episode_id, word: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import warnings
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,6 +26,16 @@ def checked_columns(df: DataFrame, columns: list[str] | None) -> list[str]:
     return columns
 
 
+def of_files(df: DataFrame, files: list[str]) -> DataFrame:
+    """Rows that come from some of the files behind df, by name or path, through whatever filters and renames df holds.
+
+    Spark prunes the files before it reads. A frame whose rows are not rows of files (sums, joins) has no such parts and is an error.
+    """
+    wanted = sorted({y for f in files for x in (f, unquote(f)) for y in (x, x.replace(":///", ":/"))})  # a path as Spark may spell it
+    at = "_metadata.file_path" if any("/" in f for f in files) else "_metadata.file_name"
+    return df.where(F.col(at).isin(*wanted)) if wanted else df.limit(0)
+
+
 def guard(df: DataFrame, bytes_per_row: int, most: int = 8 << 30, warn: int = 2 << 30, allow_large: bool = False) -> DataFrame:
     """For results that are to be collected: an error if rows times width is above `most`, a warning above `warn`."""
     size = (n := df.count()) * bytes_per_row

@@ -1,19 +1,19 @@
-"""Turn-text search: substring, regular expression, term counts, BM25 over postings, concordance, word positions."""
+"""Turn-text search: substring, regular expression, term counts, BM25, concordance, word positions."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..functions.stemmer import stem, with_stems
 from ..sources.session import ensure_checkpoints
+from .index import TextIndex, idf, query_terms, saturated, tokens
+from .trigrams import TrigramIndex
 
 MODES = ("fts", "exact", "regex")
-K1, B = 1.2, 0.75
 
 
 def scan(turns: DataFrame, query: str, mode: str = "fts", text: str = "turn_text") -> DataFrame:
@@ -39,31 +39,28 @@ def select_turns(turns: DataFrame, podcast_id=None, episode_id=None, role: str |
     return turns
 
 
-def search_turns(turns: DataFrame, query: str, mode: str = "fts", limit: int = 100, offset: int = 0, index: DataFrame | None = None, **where) -> DataFrame:
+def search_turns(turns: DataFrame, query: str, mode: str = "fts", limit: int = 100, offset: int = 0, index: TextIndex | None = None, trigrams: TrigramIndex | None = None, some_turns: bool = False, **where) -> DataFrame:
     """The best turns with their text, ranked before they are joined: only the page's keys meet the text.
 
-    With an index (postings of the turns, keyed by `key`), fts ranks by BM25; without one, by occurrences.
+    With an index of the turns (by episode_id, turn_count), fts ranks by BM25 over all that it holds, whatever the filters; without one, by
+    occurrences. some_turns: turns are not all that the index holds. With a trigram index, exact and regex verify only the turns
+    that it cannot rule out.
     """
-    some = select_turns(turns, **where)
+    keys, some = ["episode_id", "turn_count"], select_turns(turns, **where)
     if mode == "fts" and index is not None:
-        keys = some.select(turn_key().alias("key"), "episode_id", "turn_count")
-        if any(v is not None for v in where.values()):
-            index = index.join(keys.select("key"), "key", "left_semi")
-        ranked = bm25_over(index, query).join(keys, "key").drop("key")
+        among = some.select(*keys) if some_turns or any(v is not None for v in where.values()) else None
+        best = page(index.best(query, limit + offset, among), keys, limit, offset)
     else:
-        ranked = scan(some, query, mode).select("episode_id", "turn_count", "score")
-    best = page(ranked, ["episode_id", "turn_count"], limit, offset)
-    return some.join(F.broadcast(best), ["episode_id", "turn_count"])  # `limit` rows
+        met = trigrams.candidates(some, query, mode) if trigrams is not None and mode != "fts" else some
+        best = page(scan(met, query, mode).select(*keys, "score"), keys, limit, offset)
+    return some.join(F.broadcast(best), keys)  # `limit` rows
 
 
-def turn_key() -> Column:
-    return F.concat_ws(":", "episode_id", "turn_count")
-
-
-def episodes_by_text(turns: DataFrame, query: str, mode: str = "fts", limit: int | None = 100, index: DataFrame | None = None) -> DataFrame:
+def episodes_by_text(turns: DataFrame, query: str, mode: str = "fts", limit: int | None = 100, index: TextIndex | None = None, some_turns: bool = False) -> DataFrame:
     """Episodes with hits: how many, and the best score; best first (fts), or most hits first; all of them without a limit."""
     if mode == "fts" and index is not None:
-        hits = bm25_over(index, query).withColumn("episode_id", F.substring_index("key", ":", 1))
+        hits = index.scores(query)
+        hits = hits.join(turns.select("episode_id", "turn_count"), ["episode_id", "turn_count"], "left_semi") if some_turns else hits
     else:
         hits = scan(turns, query, mode)
     first, second = ("best_score", "n_hits") if mode == "fts" else ("n_hits", "best_score")
@@ -97,68 +94,18 @@ def episode_hits(hits: DataFrame, key: str = "episode_id") -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf, dl: to be written clustered by term for repeated searches. Terms are lower-case runs of letters and numbers, not stemmed."""
-    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-    rows = docs.select(key, terms.alias("terms")).withColumn("dl", F.size("terms"))
+    """term, key, tf, dl. Terms are lower-case runs of letters and numbers, not stemmed."""
+    rows = docs.select(key, tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
     return rows.select(key, "dl", F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").cast("bigint").alias("dl"))
 
 
-def stemmed_postings(docs: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """term (a stem), key, tf, dl without stop words. Stems are taken of distinct terms only, which then meet the postings."""
-    posts = postings(docs, key, text).drop("dl")
-    if stop_words:
-        posts = posts.where(~F.col("term").isin(*stop_words))
-    terms = with_stems(posts.select("term").distinct())
-    met = posts.join(terms, "term").groupBy(F.col("stem").alias("term"), key).agg(F.sum("tf").alias("tf"))
-    return met.withColumn("dl", F.sum("tf").over(W.partitionBy(key)))
-
-
-def write_index(docs: DataFrame, key: str, text: str, path: str, stemmed: bool = False, stop_words: tuple[str, ...] = (), parts: int = 64) -> None:
-    """Postings clustered by term, so that a search reads the row groups of its terms only, and one row of statistics."""
-    posts = stemmed_postings(docs, key, text, stop_words) if stemmed or stop_words else postings(docs, key, text)
-    posts.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    written = docs.sparkSession.read.parquet(f"{path}/postings")
-    stats = written.agg(F.sum("tf").cast("double").alias("words"), F.count_distinct(key).alias("with_terms"))
-    all_docs = docs.agg(F.count("*")).scalar()
-    stats.select((F.col("words") / F.col("with_terms")).alias("avgdl"), all_docs.alias("n_docs")).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def search_index(spark: SparkSession, path: str, query: str, key: str, stemmed: bool = False, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """key, score by BM25 over a written index."""
-    return bm25_over(spark.read.parquet(f"{path}/postings"), query, key, stemmed, stop_words, spark.read.parquet(f"{path}/stats"))
-
-
-def bm25_over(index: DataFrame, query: str, key: str = "key", stemmed: bool = False, stop_words: tuple[str, ...] = (), stats: DataFrame | None = None) -> DataFrame:
-    """key, score by BM25 over postings; the filter on `term` reaches a scan. stats: avgdl, n_docs; without it, of the documents with postings."""
-    terms = sorted({stem(t) if stemmed else t for t in re.findall(r"[^\W]+", query.lower()) if t not in stop_words})
-    if stats is None:
-        stats = index.groupBy(key).agg(F.max("dl").alias("dl")).agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs"))
-    some = index.where(F.col("term").isin(terms))
-    df = some.groupBy("term").agg(F.count("*").alias("df"))
-    rows = some.join(F.broadcast(df), "term").withColumn("__s", stats.select(F.struct("avgdl", "n_docs")).scalar())  # df: a row per query term
-    rows = rows.withColumn("avgdl", F.col("__s.avgdl")).withColumn("n_docs", F.col("__s.n_docs"))
-    return rows.groupBy(key).agg(F.round(F.sum(_idf(F.col("df")) * _saturated(F.col("tf"))), 6).alias("score"))
-
-
-def _idf(df: Column) -> Column:
-    return F.ln((F.col("n_docs") - df + 0.5) / (df + 0.5) + 1)
-
-
-def _saturated(tf: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
-
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """key, score of the documents with any term, without an index; the mean length is over documents with terms.
 
     Documents are scanned once for their length and counts of the query's terms, which are written as narrow rows; statistics are
     one row. For repeated searches write an index.
     """
-    return _scan_bm25(docs, key, text, sorted(set(query.lower().split())))
-
-
-def _scan_bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    terms = [t for t in terms if not re.search(r"[^\w]", t)]  # what splits words is in no term
+    terms = query_terms(query)
     ensure_checkpoints(docs.sparkSession)
     within = r"[\p{L}\p{N}_]"
     low = docs.select(key, F.lower(text).alias("low"))
@@ -168,7 +115,7 @@ def _scan_bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFr
     stats = rows.agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), *used)
     score, any_term = F.lit(0.0), F.lit(False)
     for i in range(len(terms)):
-        score = score + _idf(F.col(f"df{i}")) * _saturated(F.col(f"tf{i}"))
+        score = score + idf(F.col("n_docs"), F.col(f"df{i}")) * saturated(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl"))
         any_term = any_term | (F.col(f"tf{i}") > 0)
     return rows.where(any_term).crossJoin(F.broadcast(stats)).select(key, F.round(score, 6).alias("score"))  # stats: one row
 

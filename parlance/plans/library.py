@@ -579,4 +579,4 @@ def q_search_bm25_stems(s, d):
     from pyspark.ml.feature import StopWordsRemover
 
     stop = tuple(StopWordsRemover.loadDefaultStopWords("english"))
-    return search.search_index(s, text_index(s, d, stemmed=True, stop_words=stop), "the und tionly", "doc_id", True, stop)
+    return text_index(s, d, True, stop).scores("the und tionly")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import taxonomy
 from ..operators import catalog, frames, metrics, names, network, search, segments, stats, topics, windows
+from ..operators.index import TextIndex
+from ..operators.trigrams import TrigramIndex
 from ..sources.readers import row_map, table
 from ..sources.session import ensure_checkpoints
 from ..streaming import turns as stream
@@ -240,16 +242,27 @@ def q_search_hits(s, d):
 _INDEXES: dict[tuple, str] = {}
 
 
-def text_index(s, d, **options) -> str:
-    """Folder of an index of the documents, written once a session to the folder that all executors share."""
-    at = (s.sparkContext.applicationId, d, *sorted(options))
+def _written(s, kind, d, write, *options) -> str:
+    """Folder of an index, written once a session to the folder that all executors share; known by the values of its options."""
+    at = (s.sparkContext.applicationId, kind, d, *options)
     if at not in _INDEXES:
         ensure_checkpoints(s)
-        _INDEXES[at] = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/text-index-{len(_INDEXES)}"
-        search.write_index(table(s, d, "documents"), "doc_id", "text", _INDEXES[at], **options)
+        path = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{len(_INDEXES)}"
+        write(path)
+        _INDEXES[at] = path
     return _INDEXES[at]
 
 
+def text_index(s, d, stemmed=False, stop_words=()) -> TextIndex:
+    """Of the documents."""
+    return TextIndex.open(s, _written(s, "text-index", d, lambda path: TextIndex.write(table(s, d, "documents"), ["doc_id"], "text", path, stemmed, stop_words), stemmed, stop_words))
+
+
+def trigram_index(s, d) -> TrigramIndex:
+    """Of the documents."""
+    return TrigramIndex.open(s, _written(s, "trigrams", d, lambda path: TrigramIndex.write(table(s, d, "documents"), ["doc_id"], "text", path)))
+
+
 POSTINGS = r"""terms AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS ts FROM documents),
 posts AS (SELECT term, doc_id, count(*) AS tf, first(dl) AS dl FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM terms) GROUP BY term, doc_id)"""
 
@@ -261,7 +274,32 @@ FROM posts JOIN (SELECT term, count(*) AS df FROM posts WHERE term IN ('the', 'u
 @query(_BM25, POSTINGS)
 def q_search_bm25(s, d):
     """Over a written index; its first use in a session writes it."""
-    return search.search_index(s, text_index(s, d), "the und", "doc_id")
+    return text_index(s, d).scores("the und")
+
+
+@query(_BM25 + " ORDER BY score DESC, doc_id LIMIT 25", POSTINGS)
+def q_search_bm25_best(s, d):
+    """The best over a written index: blocks that cannot reach them are not read."""
+    return text_index(s, d).best("the und", 25)
+
+
+@query(_BM25.replace(" GROUP BY doc_id", " WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de') GROUP BY doc_id") + " ORDER BY score DESC, doc_id LIMIT 25", POSTINGS)
+def q_search_bm25_filtered(s, d):
+    """The best of some documents, scored by the statistics of all."""
+    return text_index(s, d).best("the und", 25, table(s, d, "documents").where("lang = 'de'"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'stinst in')")
+def q_search_exact_indexed(s, d):
+    """A substring by the trigram index, then verified."""
+    return search.scan(trigram_index(s, d).candidates(table(s, d, "documents"), "Stinst in", "exact"), "Stinst in", "exact", "text").select("doc_id")
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(thingre|onen[a-z]and)\b.{0,40}(stin|heat)+')")
+def q_search_regex_indexed(s, d):
+    """An expression by the trigram index, then verified."""
+    pattern = r"(thingre|onen[a-z]and)\b.{0,40}(stin|heat)+"
+    return search.scan(trigram_index(s, d).candidates(table(s, d, "documents"), pattern, "regex"), pattern, "regex", "text").select("doc_id")
 
 
 @query(_BM25, POSTINGS)

@@ -98,15 +98,17 @@ def test_stems():
     assert [stem(w) for w in words[::2]] == words[1::2] and stem("éa") == "éa"
 
 
-def test_stemmed_index(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "running dogs run"), ("b", "the dog"), ("c", "cats"), ("d", "")], "key string, text string")
-    search.write_index(docs, "key", "text", str(tmp_path), True, ("the",), 2)
-    got = {r.key: r.score for r in search.search_index(spark, str(tmp_path), "The Dogs running", "key", True, ("the",)).collect()}
-    assert set(got) == {"a", "b"} and got["a"] > got["b"] > 0
-    import math
-
-    avg, idf = (3 + 1 + 1) / 3, math.log((4 - 2 + 0.5) / 2.5 + 1)
-    assert got["b"] == round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 / avg)), 6)
+def test_parts_keep_filters_and_renames(spark, tmp_path):
+    spark.range(200).selectExpr("id AS old", "id % 4 AS podcast_id").repartition(4).write.parquet(str(tmp_path / "t"))
+    derived = spark.read.parquet(str(tmp_path / "t")).withColumnRenamed("old", "id").where("id < 10").withColumn("twice", F.col("id") * 2)
+    c = Corpus(spark, {"turns": derived})
+    files = c.files("turns")
+    assert [r.id * 2 == r.twice for r in c.table("turns", parts=[f.rsplit("/", 1)[-1] for f in files]).collect()] == [True] * 10
+    each = [sorted(r.id for r in p.collect()) for p in c.chunks("text")]
+    assert len(each) == len(files) and sorted(sum(each, [])) == list(range(10))
+    assert c.table("turns", parts=["nowhere"]).isEmpty() and c.table("turns", parts=[]).isEmpty()
+    one = c.table("turns", ["id"], parts=[files[0].rsplit("/", 1)[-1]])
+    assert sorted(r.id for r in one.collect()) == each[0] and one.columns == ["id"]
 
 
 def test_readers(spark, tmp_path):
