@@ -12,7 +12,7 @@ from .functions import taxonomy
 from .operators import catalog, frames, names, search, windows
 from .operators.index import TextIndex
 from .operators.trigrams import TrigramIndex
-from .sources import schema
+from .sources import footers, schema
 
 ORDER = ("episode_id", "start_time", "turn_count")
 
@@ -20,11 +20,13 @@ ORDER = ("episode_id", "start_time", "turn_count")
 class Corpus:
     """Tables by their names in the registry (see sources.schema). Everything is lazy; nothing is kept on the driver.
 
-    A restricted corpus sees some shows only, in every table but catalog(): those of its `shows` (podcast_id).
+    A restricted corpus sees some shows only, in every table but catalog(): those of its `shows` (podcast_id). index and trigrams
+    are of its turns; groups are row groups by podcast_id (sources.footers) of tables.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], shows: DataFrame | None = None, index: TextIndex | None = None, trigrams: TrigramIndex | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], shows: DataFrame | None = None, index: TextIndex | None = None, trigrams: TrigramIndex | None = None, groups: dict[str, DataFrame] | None = None):
         self.spark, self.shows, self.index, self.trigrams = spark, shows, index, trigrams
+        self._groups = {schema.resolve_table(k): v for k, v in (groups or {}).items()}
         self._tables = {schema.resolve_table(k): v for k, v in tables.items()}
 
     @classmethod
@@ -54,14 +56,17 @@ class Corpus:
         return whole.select(*wanted)
 
     def of_show(self, name: str, podcast_id, columns: list[str] | None = None) -> DataFrame:
-        """A show's rows of a table; on files in show order, the row groups of other shows are skipped."""
+        """A show's rows of a table; files that cannot hold them are not opened where row groups are known, and row groups of other shows are skipped."""
         whole = self.table(name)
         wanted = frames.checked_columns(whole, columns)
+        groups = self._groups.get(schema.resolve_table(name))
+        if groups is not None:
+            whole = frames.of_files(whole, footers.files_with(groups, podcast_id, whole.schema["podcast_id"].dataType.simpleString()))
         return whole.where(F.col("podcast_id") == podcast_id).select(*wanted)
 
     def restrict(self, ids: list | DataFrame) -> Corpus:
         """The corpus of some shows; ids that it has not go."""
-        return Corpus(self.spark, self._tables, self.resolve(ids).select("podcast_id"), self.index, self.trigrams)
+        return Corpus(self.spark, self._tables, self.resolve(ids).select("podcast_id"), self.index, self.trigrams, self._groups)
 
     def resolve(self, ids: list | DataFrame) -> DataFrame:
         """(podcast_id, position): the ids that are in view, each once, in the given order."""
@@ -87,6 +92,11 @@ class Corpus:
             part = Corpus(self.spark, {**self._tables, schema.resolve_table(name): frames.of_files(whole, [path])}, self.shows)
             yield part.table(name, wanted)
 
+    def n_rows(self, name: str) -> int:
+        """Rows of a whole table, by its row groups where they are known."""
+        groups = self._groups.get(schema.resolve_table(name))
+        return self.catalog(name).count() if groups is None else footers.total(groups)
+
     def parts_for(self, shows: list | DataFrame, trees: tuple[str, ...] = ()) -> DataFrame:
         """tree, part, n_shows: the files that hold some shows, by the shard map; what a download of these shows needs."""
         out = frames.pin(self.catalog("shard_map"), self.resolve(shows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import warnings
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,7 +31,7 @@ def of_files(df: DataFrame, files: list[str]) -> DataFrame:
 
     Spark prunes the files before it reads. A frame whose rows are not rows of files (sums, joins) has no such parts and is an error.
     """
-    wanted = sorted({y for f in files for x in (f, unquote(f)) for y in (x, x.replace(":///", ":/"))})  # a path as Spark may spell it
+    wanted = sorted({y for f in files for x in (f, unquote(f), quote(unquote(f), safe=":/=+")) for y in (x, x.replace(":///", ":/"))})  # a path as Spark may spell it
     at = "_metadata.file_path" if any("/" in f for f in files) else "_metadata.file_name"
     return df.where(F.col(at).isin(*wanted)) if wanted else df.limit(0)
 

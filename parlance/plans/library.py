@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..corpus import Corpus
 from ..functions import exprs as X
 from ..operators import audit, build, catalog, frames, metrics, names, search, segments, stats, windows
-from ..sources import schema
+from ..sources import footers, schema, snapshots
 from ..sources.readers import shard_map, subset_of, table
 from . import stand_ins as S
-from .registry import MEASURED, QUERIES, SQL, _windows, measured, query, text_index
+from .registry import MEASURED, QUERIES, SQL, _windows, _written, measured, query, text_index
 
 __all__ = ["QUERIES", "SQL", "corpus"]
 
@@ -580,3 +580,45 @@ def q_search_bm25_stems(s, d):
 
     stop = tuple(StopWordsRemover.loadDefaultStopWords("english"))
     return text_index(s, d, True, stop).scores("the und tionly")
+
+
+# storage
+
+
+def _groups(s, d, name, column):
+    t = table(s, d, name)
+    return footers.row_groups(s, t.inputFiles(), column), t
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'conversations', count(*) FROM conversations")
+def q_footer_counts(s, d):
+    """Rows of tables by their footers."""
+    parts = [_groups(s, d, n, c)[0].agg(F.lit(n).alias("name"), F.sum("n_rows").alias("n")) for n, c in (("documents", "doc_id"), ("lineitem", "l_orderkey"), ("conversations", "conv_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7")
+def q_footer_lookup(s, d):
+    """Rows of a key from the files whose footers may hold it."""
+    groups, t = _groups(s, d, "lineitem", "l_orderkey")
+    return footers.lookup(s, groups, "l_orderkey", 7, t.schema).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT source, 'documents.parquet' AS part, count(*) AS num_rows FROM documents GROUP BY 1")
+def q_footer_shard_map(s, d):
+    """Rows of each show in each file; files with one show in each row group are not read."""
+    groups, t = _groups(s, d, "documents", "source")
+    return footers.counts(s, groups, "source", t.schema).select("source", "part", "num_rows")
+
+
+@query("SELECT 0 AS version, lang, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 2 UNION ALL SELECT 1, lang, count(*) FROM documents WHERE lang IN ('de', 'fr') GROUP BY 2")
+def q_table_versions(s, d):
+    """A table in two versions, the second of which adds rows."""
+
+    def write(path):
+        snapshots.commit(table(s, d, "documents").where("lang = 'de'"), path)
+        snapshots.commit(table(s, d, "documents").where("lang = 'fr'"), path, append=True)
+
+    path = _written(s, "versions", d, write)
+    each = [snapshots.read(s, path, v).groupBy(F.lit(v).alias("version"), "lang").agg(F.count("*").alias("n")) for v in (0, 1)]
+    return each[0].unionByName(each[1])

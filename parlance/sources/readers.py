@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import footers, snapshots
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -36,16 +38,19 @@ def read_words(spark: SparkSession, path: str, features: tuple[str, ...] = ()) -
 
 
 def read_paths(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """A listing of paths to key (file name without suffix) and path; of equal keys the one listed first stands."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "path")).select("line", F.trim("path").alias("path"))
-    rows = rows.where(F.col("path").endswith(suffix))
+    """A listing of paths to key (file name without suffix) and path; of equal keys the one listed first stands.
+
+    Lines are read in splits; a line's place is its file, its split's start, and its number in the task that reads the split.
+    """
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = spark.read.text(path).select(at.alias("line"), F.trim("value").alias("path")).where(F.col("path").endswith(suffix))
     key = F.regexp_replace(F.substring_index("path", "/", -1), suffix.replace(".", r"\.") + "$", "")
     return rows.groupBy(key.alias("key")).agg(F.min_by("path", "line").alias("path"))
 
 
 def rename_columns(spark: SparkSession, source: str, target: str, names: dict[str, str]) -> None:
-    """A written tree again under other column names; the rows of a file stay together, in order."""
-    spark.read.parquet(source).withColumnsRenamed(names).write.mode("overwrite").parquet(target)
+    """A written tree again under other column names; files, their row groups and compression stay as they are."""
+    footers.rename_columns(spark, spark.read.parquet(source).inputFiles(), target, names, source).count()
 
 
 def compact(spark: SparkSession, source: str, target: str, files: int) -> None:
@@ -63,16 +68,13 @@ def write_row_map(trees: dict[str, DataFrame], path: str) -> None:
     row_map(trees).repartition("tree").sortWithinPartitions("podcast_id").write.mode("overwrite").partitionBy("tree").parquet(path)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """To a new folder first, which takes the old one's place only when it is whole."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
-    fs = old.getFileSystem(conf)
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{path}.new cannot take the place of {path}")
+def write_table(df: DataFrame, path: str) -> int:
+    """The rows as the table's next version; readers see the old one whole until the new one is."""
+    return snapshots.commit(df, path)
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return snapshots.read(spark, path, version)
 
 
 def write_tree(df: DataFrame, path: str, keys: list[str], parts: int, rows_per_file: int = 2_000_000) -> None:

@@ -121,10 +121,10 @@ def test_readers(spark, tmp_path):
     assert readers.subset_of(str(tmp_path / "s.json")) == ([], [], ["x"])
     assert readers.subset_of(str(tmp_path / "s.txt")) == (["0123456789ab"], ["0123456789abcdef"], ["A title"])
     df = spark.range(10).withColumn("podcast_id", F.col("id") % 2)
-    for _ in range(2):
-        readers.write_table(df, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 10
-    readers.rename_columns(spark, str(tmp_path / "t"), str(tmp_path / "u"), {"id": "n"})
+    assert [readers.write_table(df, str(tmp_path / "t")) for _ in range(2)] == [0, 1]
+    assert readers.read_table(spark, str(tmp_path / "t")).count() == 10
+    df.write.partitionBy("podcast_id").parquet(str(tmp_path / "p"))
+    readers.rename_columns(spark, str(tmp_path / "p"), str(tmp_path / "u"), {"id": "n"})
     readers.compact(spark, str(tmp_path / "u"), str(tmp_path / "v"), 1)
     assert len(spark.read.parquet(str(tmp_path / "v")).inputFiles()) == 1 and spark.read.parquet(str(tmp_path / "v")).columns == ["n", "podcast_id"]
     readers.write_shows(df, str(tmp_path / "s"))
