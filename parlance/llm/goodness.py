@@ -25,8 +25,6 @@ from .store import in_batches, materialize, reserve, table
 SAMPLE, CALIBRATED, DICTIONARY = 512, 2048, 131_072
 #: Of a sampled document at most this many characters, from its middle, go to the dictionary.
 EXCERPT = 4096
-#: Parts of a class that are sampled by themselves first, so that no task reads candidates from all others.
-SALTS = 64
 LEVEL, BLOCK = 9, 32_768
 
 
@@ -75,33 +73,38 @@ def probability(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def sampled(labelled: DataFrame) -> DataFrame:
-    """(s_id, s_digest, good, r, n): of each class the rows with the least hash, numbered from 1, and how many rows the class has."""
-    ids = labelled.select("doc_id", F.xxhash64("text").alias("digest"), "good").distinct()  # repeated rows are combined before the shuffle
-    ids = ids.withColumn("h", F.xxhash64("doc_id", "digest"))
-    order, most = ["h", "doc_id", "digest"], SAMPLE + CALIBRATED
-    few = ids.withColumn("salt", F.pmod(F.xxhash64("digest", "doc_id"), F.lit(SALTS))).withColumn("r", F.row_number().over(W.partitionBy("good", "salt").orderBy(*order))).where(F.col("r") <= most)
-    few = few.withColumn("r", F.row_number().over(W.partitionBy("good").orderBy(*order))).where(F.col("r") <= most)  # of SALTS * most rows at most
+def sampled(ids: DataFrame) -> DataFrame:
+    """(s_id, s_digest, good, r, n): of each class the rows (doc_id, digest, good) with the least hash, numbered from 1, and how many
+    rows the class has.
+
+    Only hashes below a cut that twice as many rows as are wanted should meet go to the task that numbers a class.
+    """
     n = ids.groupBy(F.col("good").alias("n_good")).agg(F.count("*").alias("n"))
-    return few.join(F.broadcast(n), F.col("good") == F.col("n_good")).select(F.col("doc_id").alias("s_id"), F.col("digest").alias("s_digest"), "good", "r", "n")  # n: two rows
+    h, most = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 32)), SAMPLE + CALIBRATED
+    few = ids.join(F.broadcast(n), F.col("good") == F.col("n_good")).withColumn("h", h).where(F.col("h") * F.col("n") < F.lit(2.0 * most * (1 << 32)))  # n: two rows
+    few = few.withColumn("r", F.row_number().over(W.partitionBy("good").orderBy("h", "doc_id", "digest"))).where(F.col("r") <= most)
+    return few.select(F.col("doc_id").alias("s_id"), F.col("digest").alias("s_digest"), "good", "r", "n")
 
 
-def train(labelled: DataFrame) -> Model:
-    """A model from (doc_id, text, good); good is boolean.
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from documents (doc_id, text) and labels (l_id, a document's id; good, boolean).
 
-    Rows with a null good, a null or an empty text teach nothing. Repeated rows count once; a document labelled both ways counts in
-    both classes. Ties go by id, then text. Only the excerpts for the dictionaries and the features of the calibration sample reach
+    Labels that are null or of no document, and null or empty texts, teach nothing. Repeated rows count once; a document labelled both
+    ways counts in both classes. Ties go by id, then text. Labels meet digests of texts, and texts only the bounded sample, so no
+    text is shuffled but the sample's. Only the excerpts for the dictionaries and the features of the calibration sample reach
     the driver, both of the size that the constants above bound.
     """
-    rows = labelled.select("doc_id", "text", "good").where("good is not null and doc_id is not null and length(text) > 0")
-    picked = materialize(sampled(rows), "quality-sample")
+    rows = docs.select("doc_id", "text").where("doc_id is not null and length(text) > 0")
+    known = labels.select("l_id", "good").where("good is not null").distinct()
+    ids = rows.select("doc_id", F.xxhash64("text").alias("digest")).join(known, F.col("doc_id") == F.col("l_id")).select("doc_id", "digest", "good").distinct()
+    picked = materialize(sampled(materialize(ids, "quality-ids")), "quality-sample")
     counts = {r.good: r.n for r in picked.select("good", "n").distinct().collect()}
     if len(counts) < 2:
         return Model(None, float(next(iter(counts))) if counts else 0.5)
     prior = counts[True] / (counts[True] + counts[False])
     in_dictionary = F.col("r") <= F.least(F.lit(SAMPLE), F.greatest(F.lit(1), F.floor(F.col("n") / 2)))
     same = (F.col("doc_id") == F.col("s_id")) & (F.xxhash64("text") == F.col("s_digest"))
-    texts = rows.select("doc_id", "text").join(F.broadcast(picked), same).drop("doc_id", "s_digest").dropDuplicates(["s_id", "good", "r"])  # 2 * (SAMPLE + CALIBRATED) rows
+    texts = rows.join(F.broadcast(picked), same).drop("doc_id", "s_digest").dropDuplicates(["s_id", "good", "r"])  # 2 * (SAMPLE + CALIBRATED) rows
     texts = materialize(texts.withColumn("in_dictionary", in_dictionary), "quality-texts")
     middle = F.substr("text", F.greatest(F.lit(1), F.floor((F.length("text") - EXCERPT) / 2) + 1).cast("int"), F.lit(EXCERPT))
     by: dict[bool, list[bytes]] = {True: [], False: []}
@@ -158,6 +161,5 @@ def op12_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality; learnt from labels.quality outside the held-out fold. A label other than 0 or 1 teaches nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out()).where("quality in (0, 1)").select(F.col("doc_id").alias("l_id"), (F.col("quality") == 1).alias("good"))
-    model = train(docs.join(labels, F.col("doc_id") == F.col("l_id")).drop("l_id"))
-    found = score(docs, model)
+    found = score(docs, train(docs, labels))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
