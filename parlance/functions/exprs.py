@@ -189,11 +189,3 @@ def overlap_grade(share: Column) -> Column:
 
 def is_high_quality(overlap_time: Column, overlap_turns: Column) -> Column:
     return (overlap_time < 0.1) & (overlap_turns < 0.2)
-
-
-def ngram_hashes(text: Column, n: int) -> Column:
-    """Two 64-bit hashes (g, h) of every n-gram of [a-z']+ words, repeats included, from hashes of the words; null below n words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
-    one = lambda w, i, *seed: F.xxhash64(*seed, *[F.get(w, i + k) for k in range(n)])
-    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(one(w, i).alias("g"), one(w, i, F.lit(1)).alias("h")))
-    return F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), lambda w: F.when(F.size(w) >= n, grams(w)))[0]

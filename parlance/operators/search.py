@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.phrases import phrase_hashes
 from ..sources.session import ensure_checkpoints
 from .index import TextIndex, idf, query_terms, saturated, tokens
 from .trigrams import TrigramIndex
@@ -151,39 +152,97 @@ def tone(contexts_: DataFrame, lexicon: DataFrame, keys: list[str], text: str =
 
 
 def word_positions(turns: DataFrame, word: str, group: str = "episode_id", text: str = "turn_text") -> DataFrame:
-    """Each occurrence (they may overlap) with its number in the episode and a time by linear interpolation in its turn."""
-    low, n = F.lower(text), len(word)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substr(low, i, F.lit(n)) == word.lower())
-    rows = turns.select(group, "turn_count", "start_time", "end_time", F.length(text).alias("len"), F.explode(places).alias("at"))
+    """Each occurrence (they may overlap) with its number in the episode and a time by linear interpolation in its turn.
+
+    A turn is cut at the word's places found by a look-ahead, so the work is in proportion to its length.
+    """
+    if not word:
+        raise ValueError("the word is empty")
+    low, w = F.lower(text), word.lower()
+    hits = turns.where(F.contains(low, F.lit(w))).select(group, "turn_count", "start_time", "end_time", F.length(text).alias("len"), low.startswith(w).alias("__first"), F.posexplode(F.split(low, f"(?={_quoted(w)})")).alias("__i", "__piece"))
+    before = W.partitionBy(group, "turn_count", "start_time").orderBy("__i").rowsBetween(W.unboundedPreceding, -1)
+    rows = hits.repartition(group).withColumn("at", 1 + F.coalesce(F.sum(F.length("__piece")).over(before), F.lit(0))).where("__i > 0 or __first")  # each cut but the text's start is a place
     order = W.partitionBy(group).orderBy("start_time", "turn_count", "at")
     d = F.col("end_time") - F.col("start_time")
     return rows.select(group, "turn_count", F.row_number().over(order).cast("bigint").alias("occurrence"), F.when(d > 0, F.round(F.col("start_time") + d * (F.col("at") - 1) / F.col("len"), 4)).alias("estimate"), F.when(d > 0, F.round(F.least(F.lit(1.0), 10 / F.greatest(d, F.lit(1.0))), 4)).alias("confidence"))
 
 
-def phrase_reuse(docs: DataFrame, grams: Column, owner: str, group: str) -> DataFrame:
-    """Pairs of groups (a < b) of one owner that share phrases, and how many. grams: an array of 128-bit digests (g, h), as of ngram_hashes.
+def _quoted(word: str) -> str:
+    """A pattern that matches the word itself."""
+    return "".join(c if c.isalnum() or c.isspace() or not c.isascii() else "\\" + c for c in word)
+
+
+#: Groups of a phrase that pair in one row; those of a phrase with more are dealt to blocks of about so many.
+GROUPS = 256
+
+
+def phrase_reuse(docs: DataFrame, text: str, n: int, owner: str, group: str) -> DataFrame:
+    """Pairs of groups (a < b) of one owner that share phrases of n words, and how many. owner and group may have any names.
 
     A first pass keeps the phrases that two groups have, by the least and largest hash of their groups: numbers only, which Spark
-    combines before it shuffles. A second reads the groups of these few phrases, and pairs them in one aggregation: no self-join.
+    combines before it shuffles. A second reads the groups of these few phrases. A phrase's groups pair within its row; those of a
+    phrase that more than GROUPS rows have are dealt to blocks, which meet block by block, so a phrase of everyone is the work of
+    many tasks.
     """
-    rows = docs.select(owner, group, F.explode(grams).alias("x")).select(owner, group, F.xxhash64(owner, "x.g").alias("g"), F.xxhash64(owner, "x.h").alias("h"))
-    who = F.xxhash64(group)
-    shared = rows.groupBy("g", "h").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least <> most").select("g", "h")
-    held = rows.join(shared, ["g", "h"]).groupBy(owner, "g", "h").agg(F.sort_array(F.collect_set(group)).alias("all"))
-    later = lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))
-    return held.select(owner, F.explode(F.flatten(F.transform("all", later))).alias("p")).groupBy(owner, "p.a", "p.b").agg(F.count("*").alias("n_grams"))
+    ensure_checkpoints(docs.sparkSession)
+    named = docs.select(F.col(owner).alias("__o"), F.col(group).alias("__g"), F.col(text).alias("__text"))
+    named = named.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # texts are a small part of what their phrases shuffle, and a file may be one row group
+    rows = phrase_hashes(named, "__text", n).select("__o", "__g", F.xxhash64("__o", "g").alias("__p"), F.xxhash64("__o", "h").alias("__q"))
+    who = F.xxhash64("__g")
+    met = rows.groupBy("__p", "__q").agg(F.min(who).alias("__least"), F.max(who).alias("__most"), F.count("*").alias("__n")).where("__least <> __most")
+    shared = met.select("__p", "__q", F.ceil(F.col("__n") / GROUPS).cast("int").alias("__k")).checkpoint()
+    few = rows.join(shared.where("__k = 1").select("__p", "__q"), ["__p", "__q"]).groupBy("__o", "__p", "__q").agg(F.sort_array(F.collect_set("__g")).alias("__all"))
+    pairs = _inside(few)
+    if not (hot := shared.where("__k > 1")).isEmpty():
+        dealt = rows.join(hot, ["__p", "__q"]).withColumn("__b", F.pmod(who, F.col("__k")).cast("int"))
+        blocks = dealt.groupBy("__o", "__p", "__q", "__k", "__b").agg(F.sort_array(F.collect_set("__g")).alias("__all")).checkpoint()
+        left = blocks.select("__o", "__p", "__q", F.col("__b").alias("__i"), "__all", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__j")).where("__i < __j")
+        right = blocks.select("__p", "__q", F.col("__b").alias("__j"), F.col("__all").alias("__others"))
+        each = lambda x: F.transform("__others", lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+        across = left.join(right, ["__p", "__q", "__j"]).select("__o", F.explode(F.flatten(F.transform("__all", each))).alias("__z"))
+        pairs = pairs.unionByName(_inside(blocks)).unionByName(across)
+    return pairs.groupBy("__o", "__z.a", "__z.b").agg(F.count("*").alias("n_grams")).withColumnRenamed("__o", owner)
+
+
+def _inside(sets: DataFrame) -> DataFrame:
+    """Pairs within each row's sorted groups."""
+    later = lambda x, i: F.transform(F.slice("__all", i + 2, F.size("__all")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    return sets.select("__o", F.explode(F.flatten(F.transform("__all", later))).alias("__z"))
 
 
 def cosine_pairs(weights: DataFrame, key: str, group: str) -> DataFrame:
     """Cosine similarity of documents of a group (a < b) that share a term; weights: key, group, term, weight of unit length.
 
     Pairs arise per shared term within a group, as products do in a sparse matrix; a group is a guest's documents, say, not a corpus.
+    For a corpus see similar_pairs.
     """
     a = weights.select(group, "term", F.col(key).alias("a"), F.col("weight").alias("x"))
     b = weights.select(group, "term", F.col(key).alias("b"), F.col("weight").alias("y"))
     return a.join(b, [group, "term"]).where("a < b").groupBy(group, "a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("cosine"))
 
 
+def similar_pairs(weights: DataFrame, key: str, least: float) -> DataFrame:
+    """a < b, cosine of all pairs of documents whose cosine is at least `least` (above 0). weights: key, term, weight (not negative) of unit length.
+
+    Terms are put in order of rarity. What of a document lies behind a term has a length; where that falls below `least`, the rest
+    alone cannot reach it, so two documents of a pair share a term of both their prefixes, which the frequent terms are not in. The
+    first term that they share bounds their product by the lengths from there on; what passes is verified by the whole vectors.
+    """
+    if not least > 0:
+        raise ValueError("least must be above 0")
+    rows = weights.where(F.col("weight") > 0).select(F.col(key).alias("__k"), F.col("term").alias("__t"), F.col("weight").alias("__w"))
+    df = rows.groupBy("__t").agg(F.count("*").alias("__df")).where("__df > 1")  # a term of one document is in no pair, but counts in its length
+    order = W.partitionBy("__k").orderBy(F.coalesce("__df", F.lit(1)), "__t").rowsBetween(0, W.unboundedFollowing)
+    placed = rows.join(df, "__t", "left").withColumn("__rest", F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(order)))
+    prefix = placed.where((F.col("__rest") >= least - 1e-9) & F.col("__df").isNotNull()).select("__k", "__t", "__rest")
+    a, b = prefix.toDF("a", "__t", "__ra"), prefix.toDF("b", "__t", "__rb")
+    met = a.join(b, "__t").where((F.col("a") < F.col("b")) & (F.col("__ra") * F.col("__rb") >= least - 1e-9)).select("a", "b").distinct()
+    vector = rows.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("__t", "__w"))).alias("__v"))  # a document's own terms
+    whole = met.join(vector.toDF("a", "__x"), "a").join(vector.toDF("b", "__y"), "b")
+    dot = F.aggregate(F.map_entries("__x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("__y", e["key"]), F.lit(0.0)))
+    return whole.withColumn("__c", dot).where(F.col("__c") >= least).select("a", "b", F.round("__c", 6).alias("cosine"))
+
+
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
     """key, term, weight with 1 + ln tf, smooth idf and unit length."""
     posts = postings(docs, key, text)

@@ -85,6 +85,26 @@ def within_and_between(weights: DataFrame, key: str, group: str) -> DataFrame:
     return pairs.groupBy("within").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
 
 
+def mean_cosines(weights: DataFrame, key: str, group: str) -> DataFrame:
+    """group (null: between groups), n_pairs, mean_cosine over all pairs of documents, those that share no term included.
+
+    From sums of vectors, so no pair is made: |sum of a group|^2 is its squared lengths and twice its pairs' products; what the whole sum
+    has beyond the groups' is between them. weights: key, group (one for each document), term, weight of any length. A group
+    of one document has no pairs and no row.
+    """
+    docs = weights.groupBy(F.col(group).alias("__g"), F.col(key).alias("__k")).agg(F.sum(F.col("weight") * F.col("weight")).alias("__own"))
+    sizes = docs.groupBy("__g").agg(F.count("*").alias("__n"), F.sum("__own").alias("__own"))
+    sums = weights.groupBy(F.col(group).alias("__g"), "term").agg(F.sum("weight").alias("__s"))
+    square = sums.groupBy("__g").agg(F.sum(F.col("__s") * F.col("__s")).alias("__square"))
+    each = square.withColumnRenamed("__g", "__h").join(sizes, F.col("__g").eqNullSafe(F.col("__h"))).drop("__h")
+    n = F.col("__n")
+    within = each.where(n > 1).select(F.col("__g").cast("string").alias("group"), (n * (n - 1) / 2).cast("bigint").alias("n_pairs"), ((F.col("__square") - F.col("__own")) / (n * (n - 1))).alias("__m"))
+    whole = sums.groupBy("term").agg(F.sum("__s").alias("__s")).agg(F.sum(F.col("__s") * F.col("__s")).alias("__all")).crossJoin(each.agg(F.sum("__square").alias("__in"), F.sum(n).alias("__total"), F.sum(n * n).alias("__nn")))  # a row each
+    pairs = (F.col("__total") * F.col("__total") - F.col("__nn")) / 2
+    between = whole.where(pairs > 0).select(F.lit(None).cast("string").alias("group"), pairs.cast("bigint").alias("n_pairs"), ((F.col("__all") - F.col("__in")) / (2 * pairs)).alias("__m"))
+    return within.unionByName(between).select("group", "n_pairs", F.round("__m", 6).alias("mean_cosine"))
+
+
 def topic_share(rows: DataFrame, by: str, topic: str, weight: str) -> DataFrame:
     """by, topic, share (mean weight) and relative (to the topic's mean over all groups)."""
     per = rows.groupBy(by, topic).agg(F.avg(weight).alias("m"))

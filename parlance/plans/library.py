@@ -292,6 +292,22 @@ def q_within_between(s, d):
     return stats.within_and_between(_weights(s, d), "item_id", "g")
 
 
+@query("SELECT a.item_id AS a, b.item_id AS b, round(sum(a.w * b.w), 6) AS cosine FROM weights a JOIN weights b ON a.t = b.t AND a.item_id < b.item_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.3", _WEIGHTS)
+def q_similar_pairs(s, d):
+    """All pairs above a cosine, by the rare terms of both."""
+    return search.similar_pairs(_weights(s, d), "item_id", 0.3)
+
+
+_ALL_PAIRS = """doc AS (SELECT DISTINCT item_id, g FROM weights), pair AS (SELECT a.item_id AS a, b.item_id AS b, a.g AS ga, b.g AS gb FROM doc a JOIN doc b ON a.item_id < b.item_id),
+cosines AS (SELECT p.*, coalesce((SELECT sum(x.w * y.w) FROM weights x JOIN weights y USING (t) WHERE x.item_id = p.a AND y.item_id = p.b), 0) AS c FROM pair p)"""
+
+
+@query("SELECT CASE WHEN ga = gb THEN ga::VARCHAR END AS \"group\", count(*) AS n_pairs, round(avg(c), 6) AS mean_cosine FROM cosines GROUP BY 1", _WEIGHTS, _ALL_PAIRS)
+def q_mean_cosines(s, d):
+    """Mean cosine within and between groups, from sums of vectors."""
+    return stats.mean_cosines(_weights(s, d), "item_id", "g")
+
+
 @query("SELECT episode_id, window_index, start_index + 1 AS start_index, end_index + 1 AS end_index, n_turns, count(*) OVER (PARTITION BY episode_id) AS total_windows, 1::INT AS overlap_size FROM (SELECT episode_id, window_index, count(*) AS n_turns, min(pos) AS start_index, max(pos) + 1 AS end_index FROM (SELECT s.*, w.window_index FROM (SELECT *, CASE WHEN n <= 2 THEN 1 ELSE (n - 2) // 1 + 1 END AS k FROM (SELECT *, count(*) OVER (PARTITION BY episode_id) AS n, p - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY start_time, turn_count) - 1 AS p FROM turns) WHERE p >= 1 AND p < 6)) s, (SELECT unnest(generate_series(0, 9)) AS window_index) w WHERE window_index < k AND pos >= window_index AND pos < window_index + 2) GROUP BY ALL)", S.TURNS)
 def q_episode_windows(s, d):
     out = windows.episode_windows(S.turns(s, d), 2, 1, 1, 6)
