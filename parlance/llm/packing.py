@@ -49,7 +49,7 @@ class Encoder:
     """Ids of the byte-level BPE vocabulary, a chunk of texts at once.
 
     Words are cut as the vocabulary's pre-tokenizer cuts them, with array operations. Each word is looked up by a 64-bit hash in
-    a table of fixed size; words that are not there are encoded by tiktoken from the same vocabulary (tests hold the ids against
+    a table of fixed size and compared with the word that it holds, as hashes can be made to collide; words that are not there are encoded by tiktoken from the same vocabulary (tests hold the ids against
     tokenizers). Texts above CHUNK characters are cut at a space between words, where cutting changes nothing.
     """
 
@@ -70,6 +70,17 @@ class Encoder:
     def forget(self) -> None:
         self.keys, self.at, self.size = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS, np.int64)
         self.store, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.word, self.long_ = np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS, np.int64)
+        self.letters, self.written = np.zeros(1 << 20, np.uint32), 0
+
+    def put(self, name: str, used: str, values: np.ndarray) -> int:
+        """Appends to one of the two stores, which grow; where the values start."""
+        start = getattr(self, used)
+        while start + len(values) > len(getattr(self, name)):
+            setattr(self, name, np.concatenate([getattr(self, name), np.zeros(len(getattr(self, name)), np.uint32)]))
+        getattr(self, name)[start : start + len(values)] = values
+        setattr(self, used, start + len(values))
+        return start
 
     def starts(self, code: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where tokens of the pre-tokenizer start. ends: places of the marks after each text; they are tokens of their own."""
@@ -112,24 +123,32 @@ class Encoder:
         slot = (key >> np.uint64(64 - SLOTS)).astype(np.int64)
         at, size = self.at[slot], self.size[slot]
         size[mark] = 0
-        lost = np.flatnonzero((self.keys[slot] != key) & ~mark)
+        length = last - first
+        hit = (self.keys[slot] == key) & (self.long_[slot] == length) & ~mark
+        held = np.flatnonzero(hit)
+        hit[held] = same(self.letters, self.word[slot[held]], code, first[held], length[held])
+        lost = np.flatnonzero(~hit & ~mark)
         if len(lost):
             new, where, back = np.unique(key[lost], return_index=True, return_inverse=True)
-            if self.used + len(new) * 8 > MEMORY:
+            chosen = lost[where]
+            if (self.used + len(new)) * 8 > MEMORY or (self.written + int(length[chosen].sum())) * 4 > 4 * MEMORY:
                 self.forget()
-                return self.ids(texts) if len(new) * 8 < MEMORY else [np.array(self.encode(t), np.uint32) for t in texts]
-            a, b = first[lost[where]].tolist(), last[lost[where]].tolist()
+                return self.ids(texts) if len(new) * 8 < MEMORY and int(length[chosen].sum()) < MEMORY else [np.array(self.encode(t), np.uint32) for t in texts]
+            a, b = first[chosen].tolist(), last[chosen].tolist()
             found = [self.encode(whole[i:j]) for i, j in zip(a, b, strict=True)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.store):
-                self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint32)])
-            self.store[self.used : self.used + len(flat)] = flat
-            places = self.used + np.cumsum(sizes) - sizes
-            self.used += len(flat)
+            places = self.put("store", "used", np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))) + np.cumsum(sizes) - sizes
+            spans = length[chosen]
+            words = self.put("letters", "written", code[np.repeat(first[chosen] - np.cumsum(spans) + spans, spans) + np.arange(int(spans.sum()))]) + np.cumsum(spans) - spans
             slots = (new >> np.uint64(64 - SLOTS)).astype(np.int64)
-            self.keys[slots], self.at[slots], self.size[slots] = new, places, sizes  # of two new words for one slot, the last stays
+            self.keys[slots], self.at[slots], self.size[slots], self.word[slots], self.long_[slots] = new, places, sizes, words, spans  # of two new words for one slot, the last stays
             at[lost], size[lost] = places[back], sizes[back]
+            other = np.flatnonzero(length[lost] != spans[back])
+            alike = np.flatnonzero(length[lost] == spans[back])
+            other = np.concatenate([other, alike[~same(code, first[chosen][back[alike]], code, first[lost[alike]], length[lost[alike]])]])
+            for k in lost[other].tolist():  # another word of the same hash
+                ids = np.array(self.encode(whole[first[k] : last[k]]), np.uint32)
+                at[k], size[k] = self.put("store", "used", ids), len(ids)
         done = np.cumsum(size)
         out = self.store[np.repeat(at - done + size, size) + np.arange(int(done[-1]))]
         return np.split(out, done[mark])[:-1]
@@ -145,6 +164,15 @@ class Encoder:
         return np.concatenate([self.ids([p])[0] if len(p) <= 2 * CHUNK else np.array(self.encode(p), np.uint32) for p in parts])
 
 
+def same(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether runs of a and b, each of a length of one or more, are equal."""
+    if not len(length):
+        return np.zeros(0, bool)
+    before = np.cumsum(length) - length
+    step = np.arange(int(before[-1] + length[-1])) - np.repeat(before, length)
+    return np.add.reduceat(a[np.repeat(a_start, length) + step] != b[np.repeat(b_start, length) + step], before) == 0
+
+
 def with_added(encoder: Encoder, texts: list[str]) -> list[np.ndarray]:
     """Ids of the texts, each ADDED in them as ADDED_ID."""
     cut = [t.split(ADDED) for t in texts]

@@ -3,7 +3,7 @@
 Found values are validated (Luhn for cards, mod 97 for IBANs, octet and calendar ranges, SSN areas) and then mapped by a
 keyed Feistel network that permutes the set of values of their format. Equal values get equal pseudonyms in every
 document; different values never collide within a format; a number that fails its validation is left as it is. Where not all
-strings of a format are valid and no check digit mends them (SSN, North American phone numbers), the network is walked again until
+strings of a format are valid and no check digit mends them (SSN, North American phone numbers, dates), the network is walked again until
 its value is valid as the first one was, which keeps it a permutation.
 
 The key comes from the setting KEY_SETTING (whose name Spark redacts in logs and pages) and reaches the expressions as a scalar
@@ -20,6 +20,8 @@ from .store import reserve, table
 ROUNDS = 8
 #: Walks of a cycle at most; a value that is still invalid then, one in 10 ** 12 at the worst format, stays so.
 WALKS = 64
+#: The same for dates, of which the rarest shape (day and month of one digit) is two in nine.
+DATE_WALKS = 256
 KEY_SETTING, DEMO_KEY = "spark.parlance.pii.secret", "demonstration only"
 _SSN, _NANP = "^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$", "^[2-9][0-9]{2}[2-9][0-9]{6}$"
 
@@ -126,12 +128,23 @@ def _ip(key: str) -> str:
 
 
 def _date(key: str) -> str:
-    """ISO; day.month.year; month/day/year, or day/month/year where the first number is above 12."""
-    at = "transform(array(named_struct('a', cast(split(x, '[-/.]')[0] as int), 'b', cast(split(x, '[-/.]')[1] as int), 'c', cast(split(x, '[-/.]')[2] as int))), t -> "
-    day = "case when x like '%-%' then try_to_date(concat_ws('-', t.a, t.b, t.c), 'y-M-d') when x like '%.%' or t.a > 12 then try_to_date(concat_ws('-', t.c, t.b, t.a), 'y-M-d') else try_to_date(concat_ws('-', t.c, t.a, t.b), 'y-M-d') end"
-    moved = f"date_add(date'{DAY_0}', cast({_pair(f"datediff(e, date'{DAY_0}')", DAY_A, DAY_B, key, 'date')} as int))"
-    form = "case when x like '%-%' then date_format(w, 'yyyy-MM-dd') when x like '%.%' then date_format(w, 'dd.MM.yyyy') when t.a > 12 then date_format(w, 'dd/MM/yyyy') else date_format(w, 'MM/dd/yyyy') end"
-    return f"{at} transform(array({day}), e -> if(e is null, x, transform(array({moved}), w -> {form})[0]))[0])[0]"
+    """ISO; day.month.year; month/day/year, or day/month/year where the first number is above 12.
+
+    Days and months keep their number of digits, and day-first strings stay day-first (a day above 12): the network over all days is
+    walked until its day can be written so. Strings of one shape are permuted among themselves, so different ones never meet.
+    """
+    at = (
+        "transform(array(transform(array(split(x, '[-/.]')), f -> named_struct('a', cast(f[0] as int), 'b', cast(f[1] as int), 'c', cast(f[2] as int), 'la', length(f[0]), 'lb', length(f[1]), "
+        "'form', case when x like '%-%' then 'iso' when x like '%.%' then 'dot' when cast(f[0] as int) > 12 then 'day' else 'month' end))[0]), t -> "
+    )
+    day = "case t.form when 'iso' then try_to_date(concat_ws('-', t.a, t.b, t.c), 'y-M-d') when 'month' then try_to_date(concat_ws('-', t.c, t.a, t.b), 'y-M-d') else try_to_date(concat_ws('-', t.c, t.b, t.a), 'y-M-d') end"
+    date = lambda n: f"date_add(date'{DAY_0}', cast({n} as int))"
+    day_first = "(t.la = 2 or day(v) < 10) and (t.lb = 2 or month(v) < 10) and (t.form = 'dot' or day(v) > 12)"
+    fits = f"transform(array({date('p')}), v -> case t.form when 'iso' then true when 'month' then (t.la = 2 or month(v) < 10) and (t.lb = 2 or day(v) < 10) else {day_first} end)[0]"
+    walked = f"aggregate(sequence(1, {DATE_WALKS}), {_pair(f"datediff(e, date'{DAY_0}')", DAY_A, DAY_B, key, 'date')}, (p, k0) -> if({fits}, p, {_pair('p', DAY_A, DAY_B, key, 'date')}))"
+    two = lambda first, second, sep: f"concat(lpad(cast({first}(w) as string), t.la, '0'), '{sep}', lpad(cast({second}(w) as string), t.lb, '0'), '{sep}', year(w))"
+    form = f"case t.form when 'iso' then date_format(w, 'yyyy-MM-dd') when 'dot' then {two('day', 'month', '.')} when 'day' then {two('day', 'month', '/')} else {two('month', 'day', '/')} end"
+    return f"{at} transform(array({day}), e -> if(e is null, x, transform(array({date(walked)}), w -> {form})[0]))[0])[0]"
 
 
 def pseudonym(key: str) -> str:

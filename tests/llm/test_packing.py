@@ -37,6 +37,18 @@ def test_long_texts_and_a_full_table(model, monkeypatch):
     assert [x.tolist() for x in e.ids(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_one_hash(model):
+    """Thue and Morse's words: polynomial hashes modulo 2^64 of these two are equal whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    want = [x.ids for x in model.encode_batch([one, two, f"x {two} {one} y"], add_special_tokens=False)]
+    for order in ([0, 1, 2], [2, 1, 0]):
+        e = P.Encoder(*P.vocabulary())
+        texts = [one, two, f"x {two} {one} y"]
+        assert [x.tolist() for x in e.ids([texts[i] for i in order])] == [want[i] for i in order]
+        assert [e.ids([texts[i]])[0].tolist() for i in order for _ in range(2)] == [want[i] for i in order for _ in range(2)]
+
+
 def test_plans():
     for seed in range(150):
         r = random.Random(seed)

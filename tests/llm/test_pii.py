@@ -103,3 +103,24 @@ def test_key_from_configuration(spark):
         assert '"one"' not in out._jdf.queryExecution().toString() and "'one'" not in out._jdf.queryExecution().toString()
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_dates_of_every_shape_keep_it_and_never_meet(spark):
+    days = [date(1996, 1, 1) + timedelta(i) for i in range(0, 1461)]
+    shapes = {f"{d.day:0{a}}.{d.month:0{b}}.{d.year}" for d in days[::3] for a in (1, 2) for b in (1, 2)}
+    shapes |= {f"{d.month:0{a}}/{d.day:0{b}}/{d.year}" for d in days[::3] for a in (1, 2) for b in (1, 2)}
+    shapes |= {f"{d.day}/{d.month:0{b}}/{d.year}" for d in days for b in (1, 2) if d.day > 12} | {d.isoformat() for d in days}
+    texts = sorted(shapes) + ["20/03/1990", "11/02/1995"]
+    got = run(spark, *texts)
+    new = dict(zip(texts, got, strict=True))
+    assert len(set(new.values())) == len(new)
+    for old, made in new.items():
+        assert re.sub(r"\d", "9", old) == re.sub(r"\d", "9", made)  # widths and separators
+        first, second, *_ = map(int, re.split(r"[-/.]", made))
+        was = int(re.split(r"[-/.]", old)[0])
+        if "/" in old:
+            assert (first > 12) == (was > 12)
+        d, m, y = (second, first, 0) if "/" in made and first <= 12 else (first, second, 0)
+        y = int(re.split(r"[-/.]", made)[2 if "-" not in made else 0])
+        assert ("-" in made and date.fromisoformat(made)) or date(y, m, d)
+    assert new["1996-02-29"] == "-".join(reversed(new["29.02.1996"].split("."))) if "29.02.1996" in new else True
