@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import RANGE, in_ranges, running
+
 
 def interval_join(words: DataFrame, segments: DataFrame, group: str, bucket: float) -> DataFrame:
     """Pairs of one group with w_start < s_end and s_start < w_end.
@@ -20,8 +22,16 @@ def interval_join(words: DataFrame, segments: DataFrame, group: str, bucket: flo
     return met.where(F.floor(F.greatest("w_start", "s_start") / bucket) == F.col("bucket")).drop("bucket")
 
 
-def islands(rows: DataFrame, group: str, order: list, key: str) -> DataFrame:
-    """Adds run (0-based): rows of equal key one after another. A null key joins the run in progress, a leading one the first keyed run."""
+def islands(rows: DataFrame, group: str, order: list, key: str, hot: bool = False) -> DataFrame:
+    """Adds run (0-based): rows of equal key one after another. A null key joins the run in progress, a leading one the first keyed run.
+
+    hot: a group may be too large for one task; rows then go by ranges of (group, order), with what a range needs of those before.
+    """
+    if hot:
+        placed = in_ranges(rows, [group], order)
+        known = running(placed, [group], order, lasts={"__before": F.col(key)}, firsts={"__first": F.col(key)})
+        known = known.withColumn("__k", F.coalesce(key, "__before", "__first")).withColumn("__c", F.coalesce((F.col("__k") != F.coalesce("__before", "__first")).cast("int"), F.lit(0)))
+        return running(known, [group], order, sums={"run": F.col("__c")}).withColumn(key, F.col("__k")).drop("__k", "__c", "__before", "__first", RANGE)
     w = W.partitionBy(group).orderBy(*order)
     carried = F.coalesce(F.last(key, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(key, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
     out = rows.withColumn("__k", carried)

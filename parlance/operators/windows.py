@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import RANGE, in_ranges, running
+
 
 def _check(size: float, overlap: float) -> None:
     if size <= 0:
@@ -14,12 +16,19 @@ def _check(size: float, overlap: float) -> None:
         raise ValueError("overlap must be at least 0 and below the window size")
 
 
-def assign_windows(turns: DataFrame, size: int, overlap: int = 0, group: str = "episode_id", partial: bool = False) -> DataFrame:
-    """A row per (turn, window it is in): adds pos (0-based place in the group), n_windows, window_index, is_overlap."""
+def assign_windows(turns: DataFrame, size: int, overlap: int = 0, group: str = "episode_id", partial: bool = False, hot: bool = False) -> DataFrame:
+    """A row per (turn, window it is in): adds pos (0-based place in the group), n_windows, window_index, is_overlap.
+
+    hot: a group may be too large for one task; its turns are then numbered range by range.
+    """
     _check(size, overlap)
     step = size - overlap
-    order = W.partitionBy(group).orderBy("start_time", "turn_count")
-    t = turns.withColumn("n", F.count("*").over(W.partitionBy(group))).withColumn("pos", F.row_number().over(order) - 1)
+    if hot:
+        by = ["start_time", "turn_count"]
+        t = running(in_ranges(turns, [group], by), [group], by, sums={"pos": F.lit(1)}, totals={"n": F.lit(1)}).withColumn("pos", F.col("pos") - 1).drop(RANGE)
+    else:
+        order = W.partitionBy(group).orderBy("start_time", "turn_count")
+        t = turns.withColumn("n", F.count("*").over(W.partitionBy(group))).withColumn("pos", F.row_number().over(order) - 1)
     more = F.ceil((F.col("n") - size) / step) if partial else F.expr(f"(n - {size}) div {step}")
     t = t.withColumn("n_windows", F.when(F.col("n") <= size, F.lit(1)).otherwise(more + 1).cast("bigint"))
     t = t.withColumn("lo", F.greatest(F.lit(0), F.ceil((F.col("pos") - size + 1) / step)).cast("bigint")).withColumn("hi", F.least(F.expr(f"pos div {step}"), F.col("n_windows") - 1))
@@ -27,9 +36,9 @@ def assign_windows(turns: DataFrame, size: int, overlap: int = 0, group: str = "
     return t.withColumn("is_overlap", (F.col("window_index") > 0) & (F.col("pos") < F.col("window_index") * step + overlap)).drop("n", "lo", "hi")
 
 
-def window_frame(turns: DataFrame, size: int = 12, overlap: int = 0, group: str = "episode_id", partial: bool = False, separator: str = " ", means: tuple[str, ...] = ()) -> DataFrame:
+def window_frame(turns: DataFrame, size: int = 12, overlap: int = 0, group: str = "episode_id", partial: bool = False, separator: str = " ", means: tuple[str, ...] = (), hot: bool = False) -> DataFrame:
     """One row per window: turns, places [start_index, end_index), span, speakers, host and guest turns, ordered text, means of columns."""
-    rows = assign_windows(turns, size, overlap, group, partial)
+    rows = assign_windows(turns, size, overlap, group, partial, hot)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("turn_text", F.lit("")).alias("t")))), lambda x: x["t"]), separator)
     out = rows.groupBy(group, "window_index").agg(
         F.count("*").alias("n_turns"),

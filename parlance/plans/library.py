@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..corpus import Corpus
 from ..functions import exprs as X
-from ..operators import audit, build, catalog, frames, metrics, names, search, segments, stats, windows
+from ..operators import audit, build, catalog, entities, frames, metrics, names, search, segments, stats, tone, windows
 from ..sources import footers, schema, snapshots
 from ..sources.readers import shard_map, subset_of, table
 from . import stand_ins as S
@@ -638,3 +638,40 @@ def q_table_versions(s, d):
     path = _written(s, "versions", d, write)
     each = [snapshots.read(s, path, v).groupBy(F.lit(v).alias("version"), "lang").agg(F.count("*").alias("n")) for v in (0, 1)]
     return each[0].unionByName(each[1])
+
+
+# language
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') AS x FROM conversations),
+k AS (SELECT conv_id, turn, list_transform(x, lambda v: CASE WHEN regexp_full_match(v, '[\\p{L}\\p{N}_]+') THEN v WHEN regexp_full_match(v, '\\s+') THEN ' ' ELSE '.' END) AS x FROM w),
+o AS (SELECT conv_id, turn, unnest(generate_series(1, len(x))) AS i, x FROM k),
+h AS (SELECT conv_id, turn, CASE WHEN x[i] = 'of' AND x[i + 1] = ' ' AND x[i + 2] = 'the' THEN 'of the' WHEN x[i] = 'ou' AND x[i + 1] = ' ' AND x[i + 2] = 'la' THEN 'ou la' WHEN x[i] = 'the' AND i > 2 AND x[i - 1] = ' ' AND x[i - 2] = 'of' THEN NULL
+  WHEN x[i] IN ('the', 'is', 'der', 'an', 'and') THEN x[i] END AS entity FROM o)
+SELECT conv_id, turn, entity, count(*) AS n FROM h WHERE entity IS NOT NULL GROUP BY ALL"""
+)
+def q_gazetteer(s, d):
+    """Names of a list in all turns, the longest of those that overlap."""
+    names_ = s.createDataFrame([(n,) for n in ("The", "of  the", "OU LA", "is", "der", "an", "and", "")], "name string")
+    docs = table(s, d, "conversations").select("conv_id", "turn", "text")
+    return entities.mentions(docs, names_, "text").groupBy("conv_id", "turn", "entity").agg(F.count("*").alias("n"))
+
+
+_SHIFT = """words AS (SELECT episode_id, turn_count, word, i FROM (SELECT episode_id, turn_count, unnest(x) AS word, generate_subscripts(x, 1) - 1 AS i FROM (SELECT episode_id, turn_count, regexp_split_to_array(lower(turn_text), '[^\\p{L}\\p{N}_'']+') AS x FROM turns)) WHERE word <> ''),
+met AS (SELECT w.*, l.weight, word IN ('of', 'ne') AS neg, CASE word WHEN 'and' THEN 0.3::DOUBLE WHEN 'in' THEN -0.4::DOUBLE ELSE 0 END AS boost, max(CASE WHEN word IN ('is', 'est') THEN i END) OVER (PARTITION BY episode_id, turn_count) AS but
+  FROM words w LEFT JOIN (VALUES ('the', 1.5::DOUBLE), ('der', -0.5), ('le', 0.25), ('to', -2.0)) AS l(word, weight) USING (word)),
+near AS (SELECT *, coalesce(lag(neg, 1) OVER o, false) OR coalesce(lag(neg, 2) OVER o, false) OR coalesce(lag(neg, 3) OVER o, false) AS negated,
+  coalesce(lag(boost, 1) OVER o, 0) + coalesce(lag(boost, 2) OVER o, 0) * 0.95::DOUBLE + coalesce(lag(boost, 3) OVER o, 0) * 0.9::DOUBLE AS added FROM met WINDOW o AS (PARTITION BY episode_id, turn_count ORDER BY i))"""
+
+
+@query(
+    """SELECT episode_id, turn_count, count(weight) AS n_words, round(coalesce(avg(weight * greatest(1 + added, 0) * CASE WHEN negated THEN -0.74::DOUBLE ELSE 1 END * CASE WHEN i < but THEN 0.5::DOUBLE WHEN i > but THEN 1.5::DOUBLE ELSE 1 END), 0), 6) AS tone FROM near GROUP BY ALL""",
+    S.TURNS,
+    _SHIFT,
+)
+def q_shifted_tone(s, d):
+    """Tone with negations, intensifiers and contrast."""
+    lexicon = s.createDataFrame([("the", 1.5), ("der", -0.5), ("le", 0.25), ("to", -2.0)], "word string, weight double")
+    shifters = s.createDataFrame([("of", "negation", None), ("ne", "negation", None), ("and", "intensifier", 0.3), ("in", "intensifier", -0.4), ("is", "contrast", None), ("est", "contrast", None)], "word string, kind string, strength double")
+    return tone.shifted_tone(S.turns(s, d), lexicon, shifters, ["episode_id", "turn_count"], "turn_text")

@@ -64,6 +64,12 @@ def q_window_count(s, d):
     return windows.window_frame(S.turns(s, d), 4, 2)
 
 
+@query(_WINDOW, S.TURNS, _windows(4, 2))
+def q_window_count_ranged(s, d):
+    """The same for episodes that may be too large for one task."""
+    return windows.window_frame(S.turns(s, d), 4, 2, hot=True)
+
+
 @query(_WINDOW, S.TURNS, _windows(3, 1, True))
 def q_window_partial(s, d):
     return windows.window_frame(S.turns(s, d), 3, 1, partial=True)
@@ -289,10 +295,10 @@ def q_search_bm25_filtered(s, d):
     return text_index(s, d).best("the und", 25, table(s, d, "documents").where("lang = 'de'"))
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'stinst in')")
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'heat in')")
 def q_search_exact_indexed(s, d):
     """A substring by the trigram index, then verified."""
-    return search.scan(trigram_index(s, d).candidates(table(s, d, "documents"), "Stinst in", "exact"), "Stinst in", "exact", "text").select("doc_id")
+    return search.scan(trigram_index(s, d).candidates(table(s, d, "documents"), "Heat in", "exact"), "Heat in", "exact", "text").select("doc_id")
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(thingre|onen[a-z]and)\b.{0,40}(stin|heat)+')")
@@ -460,6 +466,12 @@ def q_islands(s, d):
     return segments.islands(_keyed(s, d), "user_id", ["event_id"], "key").select("user_id", "event_id", "key", "run")
 
 
+@query("SELECT user_id, event_id, c AS key, run FROM runs", _KEYED, _ISLANDS)
+def q_islands_ranged(s, d):
+    """The same for groups that may be too large for one task."""
+    return segments.islands(_keyed(s, d), "user_id", ["event_id"], "key", hot=True).select("user_id", "event_id", "key", "run")
+
+
 @query("SELECT user_id, run AS turn_count, c AS key, count(*) AS n_words, floor(min(t)) AS start_time, floor(max(t)) + 1 AS end_time, string_agg(event_id::VARCHAR, ' ' ORDER BY event_id) AS turn_text, round(avg(value), 8) AS value_mean, round(stddev_pop(value), 8) AS value_stdev FROM runs GROUP BY ALL", _KEYED, _ISLANDS)
 def q_turn_build(s, d):
     rows = _keyed(s, d).withColumn("end", F.col("start") + 1).withColumn("word", F.col("event_id").cast("string"))
