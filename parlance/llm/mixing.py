@@ -20,6 +20,8 @@ from .store import WORD, let, materialize, table
 
 #: Documents in a block and draws in a shard, on average at most; permutations are ranked in so many parts; orders that an edge is tried in.
 BLOCK, SHARD, PARTS_LOG2, TRIALS = 256, 32, 10, 64
+#: Sources of a node's row; more are split by groups first.
+WIDE = 256
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -82,28 +84,51 @@ def hypergeometric(good: Column, total: Column, need: Column, u: Column) -> Colu
 
 
 def split_tree(quotas: DataFrame, shards_log2: int, seed: int) -> DataFrame:
-    """(source, quota) to (shard, source, n, before): each source's draws in 2 ** shards_log2 shards of near-equal size.
+    """(source, quota) to (shard, source, n, before): each source's draws in 2 ** shards_log2 shards of near-equal size; n above 0.
 
-    A node is one row with its sources' counts, so the tables have a row per node; left counts are drawn without
-    replacement from the node's urn, source after source, which is what makes them multivariate hypergeometric.
+    A node is a row with the counts of at most about WIDE sources. Of more, groups of sources are split first as if they were
+    sources, which gives each group's draws at each node; the group's own sources then share these. Both ways the left counts are
+    drawn without replacement from the node's urn, source after source, which is what makes them multivariate hypergeometric. A
+    source without draws left in a node leaves it, so all nodes of a depth hold no more entries than there are draws.
     """
-    node = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "quota"))).alias("urn")).withColumn("shard", F.lit(0).cast("bigint"))
-    zero = F.lit(0).cast("bigint")
+    items = quotas.where("quota > 0").select(F.struct(F.col("source").isNull().alias("last"), "source").alias("item"), "quota")
+    leaves, _ = _split(items, items.count(), shards_log2, seed)
+    flat = materialize(leaves.select("shard", "item.source", "n"), "mix-plan")
+    return flat.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint")))
+
+
+def _split(items: DataFrame, n_items: int, shards_log2: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """(item, quota) to the leaves (shard, item, n), and what went left: (depth, shard, item, left) of every node that is no leaf."""
+    wide, n_groups, zero = n_items > WIDE, math.ceil(n_items / WIDE), F.lit(0).cast("bigint")
+    group = F.pmod(F.xxhash64(F.lit(seed), "item"), F.lit(n_groups)).cast("bigint")
+    rows = materialize(items.withColumn("grp", group), "mix-items") if wide else items.withColumn("grp", zero)
+    needs = None
+    if wide:
+        above = rows.groupBy("grp").agg(F.sum("quota").alias("quota")).select(F.struct(F.lit(False).alias("last"), F.col("grp").cast("string").alias("source")).alias("item"), "quota")
+        needs = _split(above, n_groups, shards_log2, seed + 1000)[1]
+    node = rows.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("item", "quota"))).alias("urn")).withColumn("shard", zero)
+    lefts = None
     for depth in range(shards_log2):
-        total = F.aggregate("urn", zero, lambda a, x: a + x["quota"])
+        node = node.withColumn("total", F.aggregate("urn", zero, lambda a, x: a + x["quota"]))
+        if wide:
+            mine = needs.where(F.col("depth") == depth).select(F.col("shard").alias("m_shard"), F.col("item.source").cast("bigint").alias("m_grp"), F.col("left").alias("to_left"))
+            node = node.join(mine, (F.col("shard") == F.col("m_shard")) & (F.col("grp") == F.col("m_grp"))).drop("m_shard", "m_grp")
+        else:
+            node = node.withColumn("to_left", F.ceil(F.col("total") / 2).cast("bigint"))
 
         def deal(a: Column, x: Column) -> Column:
-            u = _uniform(seed, F.lit(depth), F.col("shard"), F.size(a["out"]))
+            u = _uniform(seed, F.lit(depth), F.col("shard"), F.col("grp"), F.size(a["out"]))
             left = hypergeometric(x["quota"], a["rest"], a["need"], u)
             return let(left, lambda n: F.struct((a["need"] - n).alias("need"), (a["rest"] - x["quota"]).alias("rest"), F.concat(a["out"], F.array(n)).alias("out")))
 
-        start = F.struct(F.ceil(F.col("total") / 2).cast("bigint").alias("need"), F.col("total").alias("rest"), F.array().cast("array<bigint>").alias("out"))
-        cut = materialize(node.withColumn("total", total).withColumn("left", F.aggregate("urn", start, deal, lambda a: a["out"])), "mix-node")
-        side = lambda left: F.zip_with("urn", "left", lambda x, n: F.struct(x["last"].alias("last"), x["source"].alias("source"), (n if left else x["quota"] - n).alias("quota")))
-        halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), side(True).alias("urn")), F.struct((F.col("shard") * 2 + 1).alias("shard"), side(False).alias("urn")))
-        node = cut.select(F.explode(halves).alias("h")).select("h.*")
-    flat = materialize(node.select("shard", F.explode("urn").alias("u")).select("shard", "u.source", F.col("u.quota").alias("n")), "mix-plan")
-    return flat.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), zero))
+        start = F.struct(F.col("to_left").alias("need"), F.col("total").alias("rest"), F.array().cast("array<bigint>").alias("out"))
+        cut = materialize(node.withColumn("left", F.aggregate("urn", start, deal, lambda a: a["out"])), "mix-node")
+        told = cut.select(F.lit(depth).alias("depth"), "shard", F.explode(F.arrays_zip("urn", "left")).alias("z")).select("depth", "shard", F.col("z.urn.item").alias("item"), F.col("z.left").alias("left"))
+        lefts = told if lefts is None else lefts.unionByName(told)
+        some = lambda left: F.filter(F.zip_with("urn", "left", lambda x, n: F.struct(x["item"].alias("item"), (n if left else x["quota"] - n).alias("quota"))), lambda x: x["quota"] > 0)
+        halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), some(True).alias("urn")), F.struct((F.col("shard") * 2 + 1).alias("shard"), some(False).alias("urn")))
+        node = cut.select("grp", F.explode(halves).alias("h")).select("grp", "h.*").where(F.size("urn") > 0)
+    return node.select("shard", F.explode("urn").alias("u")).select("shard", "u.item", F.col("u.quota").alias("n")), lefts
 
 
 def ranked_blocks(dealt: DataFrame, seed: int) -> DataFrame:

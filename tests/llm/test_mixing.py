@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from parlance.llm import mixing
 
 
@@ -109,3 +111,25 @@ def test_reruns_agree(spark, tmp_path):
         spark.createDataFrame(docs, "doc_id long, text string, source string, size int").repartition(parts).write.parquet(str(folder / "documents.parquet"))
         seen.append(sorted(map(str, mixing.op3_mixing(spark, str(folder)).collect())))
     assert seen[0] == seen[1] and len(seen[0]) == 1500
+
+
+def test_many_sources_in_groups(spark):
+    quotas = spark.range(20_000).select(F.when(F.col("id") > 0, F.concat(F.lit("s"), F.col("id"))).alias("source"), F.when(F.col("id") == 5, F.lit(50_000)).otherwise(F.col("id") % 3).cast("bigint").alias("quota"))
+    plan = mixing.split_tree(quotas, 3, 9).cache()
+    assert plan.where("n <= 0").isEmpty() and [r.n for r in plan.groupBy("shard").agg(F.sum("n").alias("n")).select((F.col("n") - (50_000 + 20_000 - 3) / 8).alias("n")).collect() if abs(r.n) > 8] == []
+    got = plan.groupBy("source").agg(F.sum("n").alias("n"), F.max("before").alias("before"))
+    assert got.join(quotas, got["source"].eqNullSafe(quotas["source"]), "full").where("not coalesce(n, 0) <=> quota").isEmpty()
+    hot = [r.n for r in plan.where("source = 's5'").collect()]
+    assert len(hot) == 8 and all(abs(n - 50_000 / 8) < 250 for n in hot)
+
+
+def test_groups_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "WIDE", 3)
+    quotas = spark.range(40).select(F.col("id").cast("string").alias("source"), (F.col("id") % 5).alias("quota"))
+    plan = mixing.split_tree(quotas, 3, 1).collect()
+    per: dict = {}
+    for r in plan:
+        per[r.source] = per.get(r.source, 0) + r.n
+    assert per == {str(i): i % 5 for i in range(40) if i % 5}
+    sizes = [sum(r.n for r in plan if r.shard == k) for k in range(8)]
+    assert sum(sizes) == 80 and max(sizes) - min(sizes) <= 2
