@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.session import ensure_checkpoints
 from . import catalog, frames, metrics, names, segments
 
 CATEGORIES = [f"category{i}" for i in range(1, 11)]
@@ -220,20 +221,48 @@ def guest_shows(index: DataFrame, not_guests: tuple[str, ...] = ()) -> DataFrame
     return rows.groupBy("name_normalized").agg(F.array_sort(F.collect_set("podcast_id")).alias("shows"))
 
 
-def best_parts(index: DataFrame, part_of: DataFrame, k: int, pool: int = 9) -> list[str]:
-    """The k parts (podcast_id, part) that together hold the most guests with two shows.
+def best_parts(index: DataFrame, part_of: DataFrame, k: int, compared: int = 9) -> list[str]:
+    """The k parts (podcast_id, part) that together hold the most guests with two shows; ties to the parts first by name.
 
-    Guests are counted by the set of parts of the richest `pool` parts that they touch, in Spark; the driver compares combinations of
-    those few parts only.
+    Up to `compared` parts every combination is compared, by the sets of parts that guests touch. Of more, the pair of parts that
+    holds most guests comes first, then always the part that adds most: all parts are weighed in Spark each time, though the choice need
+    not be the best of all. Only what is chosen reaches the driver.
     """
     own = index.select("name_normalized", "podcast_id").distinct().join(part_of, "podcast_id")
-    per = own.groupBy("name_normalized", "part").agg(F.count_distinct("podcast_id").alias("n"))
-    rich = [r["part"] for r in per.where("n > 1").groupBy("part").agg(F.count("*").alias("g")).orderBy(F.desc("g"), "part").limit(pool).collect()]
-    rich += [r["part"] for r in part_of.select("part").distinct().where(~F.col("part").isin(*rich)).orderBy("part").limit(pool - len(rich)).collect()]
-    sets = per.where(F.col("part").isin(*rich)).groupBy("name_normalized").agg(F.array_sort(F.collect_list(F.struct("part", F.least("n", F.lit(2)).alias("n")))).alias("held"))
-    counts = [([(h["part"], h["n"]) for h in r["held"]], r["g"]) for r in sets.groupBy("held").agg(F.count("*").alias("g")).collect()]
-    gain = lambda combo: sum(g for held, g in counts if sum(n for p, n in held if p in combo) >= 2)
-    return list(max(itertools.combinations(sorted(rich), min(k, len(rich))), key=gain, default=()))
+    per = own.groupBy("name_normalized", "part").agg(F.least(F.count_distinct("podcast_id"), F.lit(2)).alias("n"))
+    parts = part_of.select("part").where("part is not null").distinct()
+    few = [r["part"] for r in parts.orderBy("part").limit(compared + 1).collect()]
+    if len(few) <= compared:
+        sets = per.groupBy("name_normalized").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("held"))  # at most `compared` parts
+        counts = [([(h["part"], h["n"]) for h in r["held"]], r["g"]) for r in sets.groupBy("held").agg(F.count("*").alias("g")).collect()]
+        gain = lambda combo: sum(g for held, g in counts if sum(n for p, n in held if p in combo) >= 2)
+        return list(max(itertools.combinations(few, min(k, len(few))), key=gain, default=()))
+    ensure_checkpoints(index.sparkSession)
+    per = per.checkpoint()
+    single = per.where("n > 1").groupBy("part").agg(F.count("*").alias("g"))
+    if k > 1:
+        a, b = (per.where("n = 1").select("name_normalized", F.col("part").alias(x)) for x in "ab")  # guests of one show in each of two parts
+        met = a.join(b, "name_normalized").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+        alone = lambda x: single.select(F.col("part").alias(x), F.col("g").alias(f"g{x}"))
+        twice = per.where("n > 1")
+        shared = twice.select("name_normalized", F.col("part").alias("a")).join(twice.select("name_normalized", F.col("part").alias("b")), "name_normalized").where("a < b").groupBy("a", "b").agg(F.count("*").alias("same"))
+        rank = met.join(alone("a"), "a", "left").join(alone("b"), "b", "left").join(shared, ["a", "b"], "left")
+        rank = rank.withColumn("g", F.col("both") + F.coalesce("ga", F.lit(0)) + F.coalesce("gb", F.lit(0)) - F.coalesce("same", F.lit(0)))
+        top = [r["part"] for r in single.orderBy(F.desc("g"), "part").limit(2).collect()]
+        pair = rank.orderBy(F.desc("g"), "a", "b").limit(1).collect()
+        found = single.where(F.col("part").isin(*top)).agg(F.sum("g")).first()[0] or 0
+        chosen = [pair[0]["a"], pair[0]["b"]] if pair and pair[0]["g"] >= found else top
+    else:
+        chosen = []
+    while len(chosen) < k:
+        held = per.where(F.col("part").isin(*chosen)).groupBy("name_normalized").agg(F.sum("n").alias("have"))
+        rest = per.where(~F.col("part").isin(*chosen)).join(held, "name_normalized", "left")
+        adds = F.count_if((F.coalesce("have", F.lit(0)) < 2) & (F.coalesce("have", F.lit(0)) + F.col("n") >= 2))
+        best = parts.where(~F.col("part").isin(*chosen)).join(rest.groupBy("part").agg(adds.alias("g")), "part", "left").orderBy(F.desc(F.coalesce("g", F.lit(0))), "part").limit(1).collect()
+        if not best:
+            break
+        chosen.append(best[0]["part"])
+    return sorted(chosen)
 
 
 def tutorial_shows(guests: DataFrame, episodes: DataFrame, sample: int, low: int = 3, high: int = 40, seed: int = 0) -> DataFrame:

@@ -56,6 +56,13 @@ def q_episode_metrics_lookup(s, d):
     return corpus(s, d, episode_metrics=side).metrics_of(3)
 
 
+@query("SELECT doc_id AS episode_id, quality::INT AS quality, toxic::INT AS toxic FROM labels WHERE doc_id = (SELECT max(doc_id) FROM labels)")
+def q_episode_metrics_of_last(s, d):
+    """Metrics of an episode that has some."""
+    side = table(s, d, "labels").withColumnRenamed("doc_id", "episode_id")
+    return corpus(s, d, episode_metrics=side).metrics_of(side.agg(F.max("episode_id")).first()[0]).select("episode_id", "quality", "toxic")
+
+
 @query("SELECT turn_count, word_count, gap_from_prev FROM measured WHERE episode_id = 5", S.TURNS, MEASURED)
 def q_turn_metrics_lookup(s, d):
     side = measured(s, d).select("episode_id", "turn_count", "word_count", "gap_from_prev")

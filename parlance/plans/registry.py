@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import taxonomy
-from ..operators import catalog, frames, metrics, names, network, search, segments, stats, topics, windows
+from ..operators import catalog, frames, graphs, metrics, names, network, search, segments, stats, topics, windows
 from ..operators.index import TextIndex
 from ..operators.trigrams import TrigramIndex
 from ..sources.readers import row_map, table
@@ -607,6 +607,18 @@ def q_communities(s, d):
     return network.communities(_core(s, d))
 
 
+@query(None)
+def q_betweenness_sampled(s, d):
+    """Of the whole network of shows, from 64 pivots."""
+    return graphs.sampled_betweenness(network.shared_pairs(S.appearances(s, d), "guest", "podcast_id"), 64)
+
+
+@query(None)
+def q_communities_local(s, d):
+    """Of the whole network of shows, by local moves."""
+    return graphs.local_communities(network.shared_pairs(S.appearances(s, d), "guest", "podcast_id"))
+
+
 @query(None)
 def q_topics(s, d):
     rows = topics.window_terms(S.turns(s, d), 4, 1, 20, 10)

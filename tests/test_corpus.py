@@ -141,6 +141,14 @@ def test_best_parts(spark):
     assert len(build.best_parts(index, part, 3)) == 3 and set(build.best_parts(index, part, 3)) == {"A", "B", "C"}
 
 
+def test_best_of_many_parts(spark):
+    shows = [(f"p{i}", f"part{i:02d}") for i in range(40)]
+    index = [(f"g{i}", "p30") for i in range(9)] + [(f"g{i}", "p35") for i in range(9)] + [(f"h{i}", f"p{i}") for i in range(40)] + [(f"x{i}", p) for i in range(3) for p in ("p35", "p2")]
+    args = (spark.createDataFrame(index, "name_normalized string, podcast_id string"), spark.createDataFrame(shows, "podcast_id string, part string"))
+    assert build.best_parts(*args, 2) == ["part30", "part35"] and build.best_parts(*args, 3) == ["part02", "part30", "part35"]  # beyond the first nine
+    assert len(build.best_parts(*args, 1)) == 1 and len(build.best_parts(*args, 50)) == 40
+
+
 def test_blocks_of_a_hot_member(spark, monkeypatch):
     rows = [("hot", i) for i in range(30)] + [("a", 1), ("a", 2), ("a", 2), ("b", 5)]
     df = spark.createDataFrame(rows, "m string, g int")
