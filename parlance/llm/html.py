@@ -8,7 +8,8 @@ on a page, that holds MOST of the free text (outside links, menus and the like)
 texts is valid, and so part of the template, if TEXT_SHARE of the host's pages hold it and it leaves enough of the slot to others: copies of
 one article share all their texts, which makes these no template.
 
-A page gives the text of that slot without the template's texts; text outside of it goes, but for a heading h1. Elements
+A page gives the text of that slot without the template's texts; text outside of it goes, but for a heading h1,
+which stays on hosts without a template too. Elements
 that HTML itself sets apart (nav, aside, footer, form and others) are never text. Class names decide last: inside the slot, or
 where a page has no template, regions named as advert, comments, sidebar and so on go.
 
@@ -254,12 +255,12 @@ def templates(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def slot_text() -> Column:
-    """The blocks of the page's slot and an h1 outside of it, less the template's texts; without a slot, those of article or main, or else all."""
+    """The blocks of the page's slot, or without one those of article or main, or else all; a heading h1 wherever it stands; less the template's texts."""
     inside = F.exists("blocks", lambda x: x["inside"] & ~x["named"])
 
     def kept(x: Column, i: Column) -> Column:
-        in_slot = F.when(F.col("low").isNotNull(), ((i >= F.col("low")) & (i < F.col("past"))) | x["h1"]).otherwise(x["inside"] | ~inside)
-        return in_slot & ~x["named"] & ~F.when(F.size("fixed") > 0, F.array_contains("fixed", text_token(x))).otherwise(F.lit(False))
+        in_slot = F.when(F.col("low").isNotNull(), (i >= F.col("low")) & (i < F.col("past"))).otherwise(x["inside"] | ~inside)
+        return (in_slot | x["h1"]) & ~x["named"] & ~F.when(F.size("fixed") > 0, F.array_contains("fixed", text_token(x))).otherwise(F.lit(False))
 
     return F.filter("blocks", kept)
 

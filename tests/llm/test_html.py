@@ -101,3 +101,10 @@ def test_heading_outside_the_slot(spark):
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(12)]
     got = {r.page_id: r.text for r in html.extract(frame(spark, rows)).collect()}
     assert all(got[i] == f"Title number {i} A story of {i} things that goes on for a good while, {i * 7} words or so." for i in range(12))
+
+
+def test_a_heading_outside_main_stays_whatever_the_hosts_size(spark):
+    page = lambda i: f"<body><nav>menu</nav><div class=top><h1>Title {i}</h1></div><main><p>Text {'of the article ' * 5}{i}.</p></main><div>{i} more things</div></body>"
+    rows = [(h * 100 + i, f"https://h{h}.example/{i}", page(i)) for h, n in ((1, 1), (2, 2), (4, 4)) for i in range(n)]
+    out = html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {p: f"Title {p % 100} Text {'of the article ' * 5}{p % 100}." for p, _, _ in rows}
