@@ -421,13 +421,13 @@ def q_rows_of_parts(s, d):
 
 
 def _records(s, d):
-    """Raw episode records as the documents would be, some of them twice."""
-    t = table(s, d, "documents").where("doc_id % 10 <> 9")
+    """Raw episode records as the documents would be, some of them twice; some have an audio address that no turn has."""
+    t = table(s, d, "documents")
     twice = t.select("*", F.lit(0).alias("again")).unionByName(t.where("doc_id % 4 = 0").select("*", F.lit(1).alias("again")))
     i = F.col("doc_id")
     return twice.select(
         (F.col("again") * 10_000_000 + i).alias("line"),
-        F.concat(F.lit("https://cdn.example/"), i).alias("mp3url"),
+        F.concat(F.when(i % 10 == 9, "https://mirror.example/").otherwise("https://cdn.example/"), i).alias("mp3url"),
         F.concat(F.lit("https://feed.example/"), "source").alias("rssUrl"),
         F.concat(F.lit("Title "), i, F.lit("-"), F.col("again")).alias("epTitle"),
         F.concat(F.lit("Show "), "source", F.lit(" "), i).alias("podTitle"),
@@ -439,9 +439,9 @@ def _records(s, d):
     )
 
 
-_INGESTED = """ingested AS (SELECT doc_id AS line, substr(md5('https://cdn.example/' || doc_id), 1, 16) AS episode_id, substr(md5('https://feed.example/' || source), 1, 12) AS podcast_id, 'Title ' || doc_id || '-0' AS ep_title,
+_INGESTED = """ingested AS (SELECT doc_id AS line, url, substr(md5(url), 1, 16) AS episode_id, substr(md5('https://feed.example/' || source), 1, 12) AS podcast_id, 'Title ' || doc_id || '-0' AS ep_title,
   'Show ' || source || ' ' || doc_id AS pod_title, CASE WHEN doc_id % 6 = 0 THEN 0.0 ELSE n_chars::DOUBLE END AS duration_seconds, CASE WHEN doc_id % 3 = 0 THEN [lang, 'Comedy'] ELSE [lang] END AS categories,
-  CASE doc_id % 5 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['Ann', 'Bo'] ELSE ['Cy'] END AS hosts FROM documents WHERE doc_id % 10 <> 9)"""
+  CASE doc_id % 5 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['Ann', 'Bo'] ELSE ['Cy'] END AS hosts FROM (SELECT *, CASE WHEN doc_id % 10 = 9 THEN 'https://mirror.example/' ELSE 'https://cdn.example/' END || doc_id AS url FROM documents))"""
 
 
 @query("SELECT episode_id, podcast_id, ep_title, duration_seconds, array_to_string(categories, ',') AS categories, array_to_string(hosts, ',') AS hosts FROM ingested", _INGESTED)
@@ -461,14 +461,14 @@ def _turn_records(s, d):
     return t.select(F.concat(F.lit("https://cdn.example/"), "episode_id").alias("mp3url"), "speaker", F.col("turn_text").alias("turnText"), F.col("start_time").cast("string").alias("startTime"), F.col("end_time").alias("endTime"), F.col("turn_count").alias("turnCount"), F.col("word_count").alias("mfcc1_sma3Mean"))
 
 
-@query("SELECT i.episode_id, i.podcast_id, t.turn_count::INT AS turn_count, t.start_time, len(t.speaker)::INT AS n_speakers, t.word_count::DOUBLE AS mfcc1 FROM turns t JOIN ingested i ON i.line = t.episode_id", S.TURNS, _INGESTED)
+@query("SELECT i.episode_id, i.podcast_id, t.turn_count::INT AS turn_count, t.start_time, len(t.speaker)::INT AS n_speakers, t.word_count::DOUBLE AS mfcc1 FROM turns t JOIN ingested i ON i.url = 'https://cdn.example/' || t.episode_id", S.TURNS, _INGESTED)
 def q_ingest_turns(s, d):
     text, sound = build.ingest_turns(_turn_records(s, d), build.ingest_episodes(_records(s, d), "line"))
     both = text.join(sound.drop("podcast_id"), ["episode_id", "turn_count"])
     return both.select("episode_id", "podcast_id", "turn_count", "start_time", F.size("speaker").alias("n_speakers"), F.col("mfcc1_sma3_mean").alias("mfcc1"))
 
 
-@query("SELECT count(*) FILTER (WHERE line IS NOT NULL) AS matched, count(*) FILTER (WHERE line IS NULL) AS unmatched FROM turns LEFT JOIN ingested ON line = turns.episode_id", S.TURNS, _INGESTED)
+@query("SELECT count(*) FILTER (WHERE line IS NOT NULL) AS matched, count(*) FILTER (WHERE line IS NULL) AS unmatched FROM turns LEFT JOIN ingested ON url = 'https://cdn.example/' || turns.episode_id", S.TURNS, _INGESTED)
 def q_unmatched(s, d):
     return build.unmatched(_turn_records(s, d), build.ingest_episodes(_records(s, d), "line"))
 
