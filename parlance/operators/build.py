@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources import snapshots
 from ..sources.session import ensure_checkpoints
 from . import catalog, frames, metrics, names, segments
 
@@ -278,3 +279,17 @@ def claimed_and_heard(episodes: DataFrame) -> DataFrame:
     heard = F.transform(F.coalesce(F.map_keys(X.json_map(F.col("guest_speaker_labels"))), F.array().cast("array<string>")), lambda k: F.lower(F.trim(k)))
     each = episodes.select("episode_id", heard.alias("heard"), F.explode("guest_predicted_names").alias("n")).withColumn("name", X.normalized_name(F.col("n")))
     return each.where("name <> ''").groupBy("episode_id", "name").agg(F.max(F.array_contains("heard", F.col("name"))).alias("heard"))
+
+
+def write_banded(df: DataFrame, shows: DataFrame, path: str, order: tuple[str, ...], n: int = 64, rows_per_file: int = 2_000_000) -> int:
+    """Rows of shows as a table's next version: a folder per band, its files in the order of show and `order`. Returns the version.
+
+    Bands weigh what the rows of their shows are; rows of a show that the catalog has not are in none and stay out. Rows are
+    ranged by band, show and order, so a show larger than a task's share is written by several, and readers of a show skip the other
+    bands by folder and the other row groups by their ranges.
+    """
+    weights = df.groupBy("podcast_id").agg(F.count("*").alias("weight"))
+    placed = df.join(bands(shows, weights, n), "podcast_id")
+    keys = ["band", "podcast_id", *order]
+    ranged = placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return snapshots.commit(ranged, path, ("band",), options={"maxRecordsPerFile": rows_per_file})

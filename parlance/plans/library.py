@@ -523,6 +523,16 @@ def q_bands(s, d):
     return build.bands(S.library_shows(s, d), weights, 8)
 
 
+_BANDED = """banded AS (SELECT podcast_id, least(7, floor(8 * coalesce(sum(w) OVER (ORDER BY primary_category, podcast_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER ()))::INT AS band FROM shows JOIN (SELECT podcast_id, count(*) AS w FROM library GROUP BY 1) USING (podcast_id))"""
+
+
+@query("SELECT band, podcast_id, count(*) AS n, sum(duration_seconds) AS seconds FROM library JOIN banded USING (podcast_id) GROUP BY ALL", S.LIBRARY, S.LIBRARY_SHOWS, _BANDED)
+def q_write_banded(s, d):
+    """Episodes written in bands of their shows, and read back."""
+    path = _written(s, "banded", d, lambda path: build.write_banded(S.library_episodes(s, d), S.library_shows(s, d), path, ("episode_id",), 8))
+    return snapshots.read(s, path).groupBy("band", "podcast_id").agg(F.count("*").alias("n"), F.sum("duration_seconds").alias("seconds"))
+
+
 @query("SELECT name_normalized, array_to_string(list_sort(list(DISTINCT podcast_id)), ',') AS shows FROM (SELECT podcast_id, lower(trim(unnest(guest_predicted_names))) AS name_normalized FROM library) WHERE name_normalized <> 'guest 2' GROUP BY 1", S.LIBRARY)
 def q_guest_shows(s, d):
     return build.guest_shows(corpus(s, d).catalog("guest_index"), ("guest 2",)).withColumn("shows", F.array_join("shows", ","))

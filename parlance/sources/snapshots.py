@@ -75,10 +75,10 @@ def manifest(spark: SparkSession, path: str, version: int) -> dict:
     return json.loads(_Files(spark, path).read(f"{path}/_versions/v{version:010d}.json"))
 
 
-def write_data(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
+def write_data(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), options: dict | None = None) -> str:
     """First step of a commit: the rows, in a folder that no version names yet."""
     name = f"data-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(f"{path}/{name}")
+    df.write.partitionBy(*partition_by).options(**{"compression": "zstd"} | (options or {})).parquet(f"{path}/{name}")
     return name
 
 
@@ -93,13 +93,13 @@ def publish(spark: SparkSession, path: str, folders: list[str], version: int, sc
     return version
 
 
-def commit(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), append: bool = False) -> int:
-    """The rows as the table's next version, or added to what its last one holds. Returns the version's number.
+def commit(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), append: bool = False, options: dict | None = None) -> int:
+    """The rows as the table's next version, or added to what its last one holds. Returns the version's number. options are the writer's.
 
     Of two commits at a time the later one gets a Conflict, and its rows are deleted: neither is lost without notice.
     """
     spark, before = df.sparkSession, versions(df.sparkSession, path)
-    name = write_data(df, path, partition_by)
+    name = write_data(df, path, partition_by, options)
     kept = manifest(spark, path, before[-1])["folders"] if append and before else []
     try:
         return publish(spark, path, [*kept, name], before[-1] + 1 if before else 0, df.schema.json())

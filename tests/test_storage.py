@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.corpus import Corpus
+from parlance.operators import build
 from parlance.sources import footers, snapshots
 
 
@@ -104,3 +105,16 @@ def test_renamed_files_keep_their_row_groups(spark, files, tmp_path):
         assert now.row_group(0).column(0).compression == meta.row_group(0).column(0).compression
     out = spark.read.parquet(target)
     assert out.columns == ["show", "number", "ab"] and sorted(map(tuple, out.collect())) == sorted(map(tuple, files.collect()))
+
+
+def test_banded_trees(spark, tmp_path):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id") % 40)).alias("podcast_id"), F.col("id").alias("turn"))
+    shows = spark.createDataFrame([(f"p{i}", f"c{i % 3}") for i in range(39)] + [("hot", "c1"), ("silent", "c0")], "podcast_id string, primary_category string")
+    assert build.write_banded(rows, shows, str(tmp_path / "t"), ("turn",), 6) == 0
+    out = snapshots.read(spark, str(tmp_path / "t"))
+    want = rows.where("podcast_id <> 'p39'").join(build.bands(shows, rows.groupBy("podcast_id").agg(F.count("*").alias("weight")), 6), "podcast_id")
+    assert sorted(map(tuple, out.select("podcast_id", "turn", "band").collect())) == sorted(map(tuple, want.select("podcast_id", "turn", "band").collect()))
+    files = out.where("podcast_id = 'hot'").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 1  # no task wrote all of the largest show
+    for r in out.groupBy(F.input_file_name().alias("f")).agg(F.collect_list("turn").alias("t"), F.collect_list("podcast_id").alias("p")).collect():
+        assert list(zip(r.p, r.t)) == sorted(zip(r.p, r.t))
