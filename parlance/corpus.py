@@ -80,6 +80,10 @@ class Corpus:
     def describe(self, table: str | None = None, grep: str | None = None) -> DataFrame:
         return schema.describe(self.spark, table, grep)
 
+    def measured(self, name: str) -> DataFrame:
+        """Columns of a table in view by the registry, beside their types, nulls and mean widths in the data."""
+        return schema.measured(self.table(name), name)
+
     def files(self, name: str) -> list[str]:
         """Files behind a table."""
         return self.catalog(name).inputFiles()

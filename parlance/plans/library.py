@@ -104,9 +104,15 @@ def q_sql_views(s, d):
 _REGISTRY = ", ".join(f"('{t}', '{c}', '{x.kind}', {x.width})" for t, cols in schema.TABLES.items() for c, x in cols.items())
 
 
-@query(f"SELECT v.t AS \"table\", v.c AS \"column\", v.k AS type, v.w::INT AS width FROM (VALUES {_REGISTRY}) AS v(t, c, k, w) WHERE contains(v.c, 'title')")
+_WIDTHS = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n_rows, count(*) - count({c}) AS n_null, round(avg(strlen({c})), 6) AS mean_width FROM {v}" for t, c, v in (("episodes", "ep_title", "library"), ("podcasts", "pod_title", "shows")))
+
+
+@query(f"SELECT v.t AS \"table\", v.c AS \"column\", v.k AS type, v.w::INT AS width, n_rows, n_null, mean_width FROM (VALUES {_REGISTRY}) AS v(t, c, k, w) LEFT JOIN ({_WIDTHS}) m ON m.t = v.t AND m.c = v.c WHERE contains(v.c, 'title')", S.LIBRARY, S.LIBRARY_SHOWS)
 def q_schema(s, d):
-    return schema.describe(s, grep="title").select("table", "column", "type", "width").where("contains(column, 'title')")
+    """Title columns of the registry, with their rows, nulls and mean widths in the tables at hand."""
+    c = corpus(s, d)
+    met = c.measured("episodes").unionByName(c.measured("podcasts")).select("table", "column", "n_rows", "n_null", "mean_width")
+    return c.describe(grep="title").where("contains(column, 'title')").select("table", "column", "type", "width").join(met, ["table", "column"], "left")
 
 
 # searches

@@ -6,6 +6,7 @@ import difflib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -156,6 +157,31 @@ def describe(spark: SparkSession, table: str | None = None, grep: str | None = N
     return spark.createDataFrame(rows, "table string, column string, type string, width int, about string")
 
 
+#: Bytes of a value of the types whose values are all of one size.
+SIZES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def measured(df: DataFrame, table: str) -> DataFrame:
+    """table, column, type, width, about of the registry beside what a frame has: found (type), n_rows, n_null, mean_width (bytes of a value).
+
+    One scan with partial sums, whose result is a row. Columns that the registry does not know have a null type; those that the frame
+    lacks, a null found and null figures. A column without values has a null mean_width; what is nested is measured as JSON.
+    A frame's columns of one name are rows of their own.
+    """
+    name, kinds = resolve_table(table), [f.dataType.simpleString() for f in df.schema.fields]
+    rows = df.toDF(*[f"c{i}" for i in range(len(kinds))])
+    sums = []
+    for i, kind in enumerate(kinds):
+        c = F.col(f"c{i}")
+        nested = kind.startswith(("array", "map", "struct"))
+        size = F.lit(SIZES[kind]) if kind in SIZES else F.octet_length(c if kind == "binary" else F.to_json(c) if nested else c.cast("string"))
+        sums.append(F.struct(F.lit(df.columns[i]).alias("column"), F.lit(kind).alias("found"), F.count("*").alias("n_rows"), (F.count("*") - F.count(c)).alias("n_null"), F.round(F.avg(F.when(c.isNotNull(), size)), 6).alias("mean_width")))
+    held = "column string, found string, n_rows bigint, n_null bigint, mean_width double"
+    found = rows.agg(F.array(*sums).alias("z")).select(F.inline("z")) if sums else df.sparkSession.createDataFrame([], held)
+    known = describe(df.sparkSession, name).drop("table")
+    return known.join(found, "column", "full").select(F.lit(name).alias("table"), "column", "type", "width", "about", "found", "n_rows", "n_null", "mean_width")
+
+
 def row_bytes(table: str | None, columns: list[str]) -> int:
     """Bytes that a row of these columns takes on the driver."""
     known = TABLES.get(table or "", {})

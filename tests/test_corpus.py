@@ -86,6 +86,12 @@ def test_schema(spark):
         schema.resolve_table("episods")
     assert {r.column for r in schema.describe(spark, grep="title").collect()} >= {"ep_title", "pod_title"}
     assert schema.describe(spark, "turn").count() == 12 and schema.row_bytes("turns", ["turn_text", "new"]) == 365
+    df = spark.createDataFrame([("é", 1, None, [1]), (None, 2, None, None)], "turn_text string, turn_count int, odd string, `a.b` array<int>")
+    met = {r.column: (r.type is None, r.found, r.n_rows, r.n_null, r.mean_width) for r in schema.measured(df, "turn").collect()}
+    assert met["turn_text"] == (False, "string", 2, 1, 2.0) and met["turn_count"] == (False, "int", 2, 0, 4.0) and met["episode_id"] == (False, None, None, None, None)
+    assert met["odd"] == (True, "string", 2, 2, None) and met["a.b"] == (True, "array<int>", 2, 1, 3.0) and len(met) == 14
+    assert {r.n_rows for r in schema.measured(df.limit(0), "turn").collect()} == {0, None}
+    assert {r.n_rows for r in schema.measured(df.select(), "turn").collect()} == {None}
     assert [schema.human_bytes(n) for n in (12, 1536, 3 << 30)] == ["12 B", "1.5 KB", "3.0 GB"]
     with pytest.raises(FileNotFoundError):
         schema.metadata_path(spark, "/nowhere", "episodes")
