@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
@@ -423,6 +426,36 @@ def q_rows_of_parts(s, d):
     return c.table("episodes", ["doc_id"], parts=["documents.parquet", "nowhere.parquet"])
 
 
+def _renamed(s, d) -> Corpus:
+    return Corpus(s, {"episodes": table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("episode_id"), F.col("source").alias("podcast_id"), "n_chars")})
+
+
+_ENGLISH = "SELECT doc_id AS episode_id, source AS podcast_id, n_chars FROM documents WHERE lang = 'en'"
+
+
+@query(_ENGLISH)
+def q_rows_of_parts_renamed(s, d):
+    """Parts of a table that is filtered and renamed: both hold."""
+    c = _renamed(s, d)
+    return c.table("episodes", parts=[*c.files("episodes"), "nowhere.parquet"])
+
+
+@query(f"SELECT podcast_id, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM ({_ENGLISH}) GROUP BY 1")
+def q_chunks(s, d):
+    """A sum file by file, merged: what work in chunks gives."""
+    each = [part.groupBy("podcast_id").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")) for part in _renamed(s, d).chunks("episodes")]
+    return reduce(DataFrame.unionByName, each).groupBy("podcast_id").agg(F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query(f"SELECT episode_id, n_chars FROM ({_ENGLISH}) WHERE podcast_id IN (SELECT source FROM documents GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 2)")
+def q_restricted_parts(s, d):
+    """Parts of a corpus restricted to the two sources with the most documents."""
+    most = table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(2)
+    c = _renamed(s, d)
+    c = Corpus(s, {"episodes": c.catalog("episodes"), "podcasts": c.catalog("episodes").select("podcast_id").distinct()}).restrict(most.select(F.col("source").alias("podcast_id")))
+    return c.table("episodes", ["episode_id", "n_chars"], parts=c.files("episodes"))
+
+
 # build
 
 
