@@ -29,11 +29,18 @@ def checked_columns(df: DataFrame, columns: list[str] | None) -> list[str]:
 def of_files(df: DataFrame, files: list[str]) -> DataFrame:
     """Rows that come from some of the files behind df, by name or path, through whatever filters and renames df holds.
 
+    A folder stands for the files below it: by its path, or by a name that ends in .parquet, as Spark writes a table.
     Spark prunes the files before it reads. A frame whose rows are not rows of files (sums, joins) has no such parts and is an error.
     """
     wanted = sorted({y for f in files for x in (f, unquote(f), quote(unquote(f), safe=":/=+")) for y in (x, x.replace(":///", ":/"))})  # a path as Spark may spell it
-    at = "_metadata.file_path" if any("/" in f for f in files) else "_metadata.file_name"
-    return df.where(F.col(at).isin(*wanted)) if wanted else df.limit(0)
+    if not wanted:
+        return df.limit(0)
+    path = F.col("_metadata.file_path")
+    met = path.isin(*wanted) if any("/" in f for f in files) else F.col("_metadata.file_name").isin(*wanted)
+    for w in wanted:
+        if "/" in w or w.endswith(".parquet"):
+            met = met | (path.startswith(w.rstrip("/") + "/") if "/" in w else path.contains(f"/{w}/"))
+    return df.where(met)
 
 
 def guard(df: DataFrame, bytes_per_row: int, most: int = 8 << 30, warn: int = 2 << 30, allow_large: bool = False) -> DataFrame:

@@ -118,3 +118,15 @@ def test_banded_trees(spark, tmp_path):
     assert files > 1  # no task wrote all of the largest show
     for r in out.groupBy(F.input_file_name().alias("f")).agg(F.collect_list("turn").alias("t"), F.collect_list("podcast_id").alias("p")).collect():
         assert list(zip(r.p, r.t)) == sorted(zip(r.p, r.t))
+
+
+def test_tables_in_folders_are_one_part(spark, tmp_path):
+    from parlance.plans import library
+
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: sorted(map(tuple, library.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert run("q_rows_of_parts") == [(i,) for i in range(60)]
+    c = Corpus(spark, {"turns": spark.read.parquet(str(tmp_path / "documents.parquet"))})
+    one = c.table("turns", parts=c.files("turns")[:1])  # a file of the folder is still a part
+    assert 0 < one.count() < 60 and c.table("turns", parts=[f"file://{tmp_path}/documents.parquet"]).count() == 60
