@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Files whose footers a task reads.
@@ -103,6 +103,12 @@ def _plain(uri):
     return F.coalesce(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), uri)
 
 
+def part_name(path: Column) -> Column:
+    """The part that a file is of: the first folder on its path that is named *.parquet, as Spark writes a table; else the file itself."""
+    folder = F.regexp_extract(path, r"/([^/]+\.parquet)/", 1)
+    return F.when(folder != "", folder).otherwise(F.substring_index(path, "/", -1))
+
+
 def coverage(groups: DataFrame, parts: list[str]) -> DataFrame:
     """part, n_rows, n_groups, bytes, there: what the named files hold; files that are missing have zeros."""
     wanted = groups.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(parts)], "w_part string")
