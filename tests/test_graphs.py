@@ -2,7 +2,9 @@
 
 import random
 
-from parlance.operators import graphs
+from pyspark.sql import functions as F
+
+from parlance.operators import graphs, network
 from test_analyses import brute_betweenness, graph
 from test_analyses import modularity as exact_modularity
 
@@ -35,3 +37,59 @@ def test_local_communities(spark):
     planted = {i: i // 15 for i in range(45)}
     assert exact_modularity(edges, of) >= exact_modularity(edges, planted) - 0.02
     assert graphs.local_communities(spark.createDataFrame([], "a int, b int, weight int")).isEmpty()
+
+
+def test_pairs_are_shuffled_as_lists(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(m, f"g{rng.randrange(1 + m) % 40:02d}") for m in range(60) for _ in range(12)] + [(None, "g01"), (None, "g02"), (3, None)]
+    df = spark.createDataFrame(rows, "m int, g string")
+    own: dict = {}
+    for m, g in rows:
+        if m is not None and g is not None:
+            own.setdefault(m, set()).add(g)
+    want: dict = {}
+    for gs in own.values():
+        for a in gs:
+            for b in gs:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert network.meetings(df, "m", "g").count() == sum(len(gs) - 1 for gs in own.values()) < sum(want.values())
+    for block, hot in ((256, 100_000), (4, 100_000), (256, 5), (3, 2)):
+        monkeypatch.setattr(network, "BLOCK", block)
+        monkeypatch.setattr(network, "HOT", hot)
+        assert {(r.a, r.b): r.weight for r in network.shared_pairs(df, "m", "g").collect()} == want
+
+
+def test_settled_frames_tell_their_size(spark):
+    from parlance.sources.session import settled
+
+    big = settled(spark.range(200).select(F.col("id").alias("node"), (F.col("id") % 7).alias("c")))
+    joined = spark.range(10).withColumnRenamed("id", "node").join(big, "node")
+    assert big.count() == 200 and joined.count() == 10 and "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+
+
+def test_core_measures_in_a_new_session():
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+from parlance.plans import registry
+print(registry.QUERIES["q_betweenness"](s, "/root/testdata/sf0.001").count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and int(done.stdout) > 0, done.stderr[-2000:]
+
+
+def test_core_measures_beyond_the_limit(spark, monkeypatch):
+    from parlance.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    exact = {r.node: r.betweenness for r in registry.QUERIES["q_betweenness"](spark, d).collect()}
+    monkeypatch.setattr(network, "MAX_EDGES", 2)
+    got = {r.node: r.betweenness for r in registry.QUERIES["q_betweenness"](spark, d).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[x] - exact[x]) < 1e-8 for x in exact)
+    of = {r.node: r.community for r in registry.QUERIES["q_communities"](spark, d).collect()}
+    sizes = [list(of.values()).count(i) for i in range(max(of.values()) + 1)]
+    assert of.keys() == exact.keys() and sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
