@@ -8,8 +8,10 @@ trigrams that every match must hold; what the plan leaves is then verified by th
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +116,32 @@ def _bits(plan: Plan, of: dict[str, Column]) -> Column | None:
     return out
 
 
+def _grams_of_blocks(placed: DataFrame) -> DataFrame:
+    """(block, at, t) to gram, block, bits: each text is read once, from its first character to its last, and a row is a gram of all
+    documents of a block that come in turn; a block that two tasks read has rows of both.
+    """
+
+    def put(block: int, bits: dict[str, int]) -> pa.RecordBatch:
+        signed = [v - (1 << 64) if v >> 63 else v for v in bits.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(bits), pa.string()), pa.array([block] * len(signed), pa.int64()), pa.array(signed, pa.int64())], names=["gram", "block", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, {}
+        for b in batches:
+            for block, at, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if block != now:
+                    if bits:
+                        yield put(now, bits)
+                    now, bits = block, {}
+                t, bit = t.as_py(), 1 << at
+                for gram in map("".join, set(zip(t, t[1:], t[2:]))):
+                    bits[gram] = bits.get(gram, 0) | bit
+        if bits:
+            yield put(now, bits)
+
+    return placed.select("block", "at", F.make_valid_utf8("t").alias("t")).mapInArrow(run, "gram string, block long, bits long")
+
+
 @dataclass(frozen=True)
 class TrigramIndex:
     """grams: gram, block, bits; members: block, keys (up to 64, in the order of their bits)."""
@@ -137,10 +165,8 @@ class TrigramIndex:
         placed.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/numbered")
         placed = spark.read.parquet(f"{path}/numbered")
         placed.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("keys")).write.mode("overwrite").parquet(f"{path}/members")
-        starts = F.sequence(F.lit(1), F.length("t") - 2)
-        grams = F.array_distinct(F.transform(starts, lambda i: F.substr("t", i, F.lit(3))))
-        rows = placed.where(F.length("t") >= 3).select("block", "at", F.explode(grams).alias("gram"))
-        bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at"))).alias("bits")
+        bits = F.bit_or("bits").alias("bits")
+        rows = _grams_of_blocks(placed.where(F.length("t") >= 3))
         rows.groupBy("gram", "block").agg(bits).repartitionByRange(parts, "gram", "block").sortWithinPartitions("gram", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/grams")
         return cls.open(spark, path)
 

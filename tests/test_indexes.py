@@ -128,3 +128,28 @@ def test_plans():
     assert trigrams.pattern_plan("(abcd|efg)x?yz1") == ("and", (("or", (("and", ("abc", "bcd")), "efg")), "yz1"))
     assert trigrams.pattern_plan("abc|x") is None and trigrams.pattern_plan("[a-z&&[^b]]abc") is None and trigrams.pattern_plan("(abc)*") is None
     assert trigrams.pattern_plan("a$bc") is None and trigrams.pattern_plan(r"\Qa.c\E") is None and trigrams.pattern_plan("(") is None
+
+
+def test_trigrams_of_a_long_text(spark, tmp_path):
+    """Quadratic in the text's length, this would take minutes."""
+    import time
+
+    docs = spark.createDataFrame([(0, "abc " * 250_000 + "tail end"), (1, "abc")], "id int, t string")
+    began = time.time()
+    made = TrigramIndex.write(docs, ["id"], "t", str(tmp_path), parts=2)
+    assert [r.id for r in made.candidates(docs, "ail end", "exact").collect()] == [0] and time.time() - began < 60
+
+
+def test_blocks_over_many_batches(spark, tmp_path, monkeypatch):
+    """A block that comes in several batches is one row a term, with its postings in the order of the keys."""
+    monkeypatch.setattr(I, "BLOCK", 16)
+    docs = spark.range(100).select(F.col("id").alias("k"), F.concat(F.lit("sea sea w"), F.col("id") % 3, F.lit(" running runs")).alias("t"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        made = TextIndex.write(docs, ["k"], "t", str(tmp_path), stemmed=True, parts=2)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    rows = made.blocks.where("term = 'run'").orderBy("block").collect()
+    assert len({r.block for r in rows}) == len(rows) and [p.key.k for r in rows for p in r.postings] == list(range(100))
+    assert all(r.n == len(r.postings) <= 16 and {(p.tf, p.dl) for p in r.postings} == {(2, 5)} for r in rows)
