@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..functions.phrases import phrase_hashes
-from ..sources.session import ensure_checkpoints
+from ..functions.phrases import shared_phrases
+from ..sources.session import ensure_checkpoints, settled
 from .index import TextIndex, idf, query_terms, saturated, tokens
 from .trigrams import TrigramIndex
 
@@ -179,35 +179,32 @@ GROUPS = 256
 def phrase_reuse(docs: DataFrame, text: str, n: int, owner: str, group: str) -> DataFrame:
     """Pairs of groups (a < b) of one owner that share phrases of n words, and how many. owner and group may have any names.
 
-    A first pass keeps the phrases that two groups have, by the least and largest hash of their groups: numbers only, which Spark
-    combines before it shuffles. A second reads the groups of these few phrases. A phrase's groups pair within its row; those of a
-    phrase that more than GROUPS rows have are dealt to blocks, which meet block by block, so a phrase of everyone is the work of
-    many tasks.
+    Phrases are shuffled once, as packed digests in buckets; a bucket gives the sets of groups that share phrases, and how many they share.
+    Groups pair within their set; those of a phrase that more than GROUPS have are dealt to blocks, which meet block by block, so a
+    phrase of everyone is the work of many tasks. Groups are numbers until their pairs are counted.
     """
-    ensure_checkpoints(docs.sparkSession)
-    named = docs.select(F.col(owner).alias("__o"), F.col(group).alias("__g"), F.col(text).alias("__text"))
-    named = named.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # texts are a small part of what their phrases shuffle, and a file may be one row group
-    rows = phrase_hashes(named, "__text", n).select("__o", "__g", F.xxhash64("__o", "g").alias("__p"), F.xxhash64("__o", "h").alias("__q"))
-    who = F.xxhash64("__g")
-    met = rows.groupBy("__p", "__q").agg(F.min(who).alias("__least"), F.max(who).alias("__most"), F.count("*").alias("__n")).where("__least <> __most")
-    shared = met.select("__p", "__q", F.ceil(F.col("__n") / GROUPS).cast("int").alias("__k")).checkpoint()
-    few = rows.join(shared.where("__k = 1").select("__p", "__q"), ["__p", "__q"]).groupBy("__o", "__p", "__q").agg(F.sort_array(F.collect_set("__g")).alias("__all"))
-    pairs = _inside(few)
-    if not (hot := shared.where("__k > 1")).isEmpty():
-        dealt = rows.join(hot, ["__p", "__q"]).withColumn("__b", F.pmod(who, F.col("__k")).cast("int"))
-        blocks = dealt.groupBy("__o", "__p", "__q", "__k", "__b").agg(F.sort_array(F.collect_set("__g")).alias("__all")).checkpoint()
-        left = blocks.select("__o", "__p", "__q", F.col("__b").alias("__i"), "__all", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__j")).where("__i < __j")
-        right = blocks.select("__p", "__q", F.col("__b").alias("__j"), F.col("__all").alias("__others"))
+    named = docs.select(F.col(owner).alias("__o"), F.col(group).alias("__g"), F.col(text).alias("__text")).where("__g is not null")
+    who = F.xxhash64(F.col("__o").isNull(), "__o", "__g").alias("__id")
+    texts = named.select("__text", who, F.xxhash64("__o").alias("__s1"), F.xxhash64(F.lit(7), "__o").alias("__s2"))
+    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a file may be one row group
+    sets = settled(shared_phrases(texts, n, GROUPS))
+    pairs = _inside(sets.groupBy("members").agg(F.sum("n").alias("n")))
+    if not (hot := sets.where("k > 1")).isEmpty():
+        left = hot.select("g", "h", F.col("b").alias("__i"), "members", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("__j")).where("__i < __j")
+        right = hot.select("g", "h", F.col("b").alias("__j"), F.col("members").alias("__others"))
         each = lambda x: F.transform("__others", lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
-        across = left.join(right, ["__p", "__q", "__j"]).select("__o", F.explode(F.flatten(F.transform("__all", each))).alias("__z"))
-        pairs = pairs.unionByName(_inside(blocks)).unionByName(across)
-    return pairs.groupBy("__o", "__z.a", "__z.b").agg(F.count("*").alias("n_grams")).withColumnRenamed("__o", owner)
+        across = left.join(right, ["g", "h", "__j"]).select(F.lit(1).cast("bigint").alias("n"), F.explode(F.flatten(F.transform("members", each))).alias("__z"))
+        pairs = pairs.unionByName(across)
+    counted = pairs.groupBy("__z.a", "__z.b").agg(F.sum("n").alias("n_grams"))
+    names = named.select("__o", "__g", who).distinct()
+    met = counted.join(names.toDF("__o", "__x", "a"), "a").join(names.toDF("__p", "__y", "b"), "b")
+    return met.select(F.col("__o").alias(owner), F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"), "n_grams")
 
 
 def _inside(sets: DataFrame) -> DataFrame:
-    """Pairs within each row's sorted groups."""
-    later = lambda x, i: F.transform(F.slice("__all", i + 2, F.size("__all")), lambda y: F.struct(x.alias("a"), y.alias("b")))
-    return sets.select("__o", F.explode(F.flatten(F.transform("__all", later))).alias("__z"))
+    """Pairs within each row's sorted members."""
+    later = lambda x, i: F.transform(F.slice("members", i + 2, F.size("members")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    return sets.select("n", F.explode(F.flatten(F.transform("members", later))).alias("__z"))
 
 
 def cosine_pairs(weights: DataFrame, key: str, group: str) -> DataFrame:
