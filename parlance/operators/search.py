@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.phrases import shared_phrases
 from ..sources.session import ensure_checkpoints, settled
-from .index import TextIndex, idf, query_terms, saturated, tokens
+from .index import TextIndex, idf, query_terms, saturated, term_list
 from .trigrams import TrigramIndex
+from .weights import term_weights
 
 MODES = ("fts", "exact", "regex")
 
@@ -94,12 +95,6 @@ def episode_hits(hits: DataFrame, key: str = "episode_id") -> DataFrame:
     return hits.groupBy(key).agg(F.count("*").alias("n_hits"), F.max("score").alias("best_score"))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf, dl. Terms are lower-case runs of letters and numbers, not stemmed."""
-    rows = docs.select(key, tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
-    return rows.select(key, "dl", F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").cast("bigint").alias("dl"))
-
-
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """key, score of the documents with any term, without an index; the mean length is over documents with terms.
 
@@ -241,9 +236,5 @@ def similar_pairs(weights: DataFrame, key: str, least: float) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
-    """key, term, weight with 1 + ln tf, smooth idf and unit length."""
-    posts = postings(docs, key, text)
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    n = docs.agg(F.count("*").alias("n_docs"))
-    raw = posts.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
-    return raw.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).alias("weight"))
+    """key, term, weight with 1 + ln tf, smooth idf and unit length. Terms are lower-case runs of letters and numbers, not stemmed."""
+    return term_weights(docs.select(key, text), key, term_list(F.make_valid_utf8(F.col(text))), min_df)  # as Arrow asks for
