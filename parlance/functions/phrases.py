@@ -22,6 +22,8 @@ BITS, PACKED, HELD = 12, 1 << 21, 1 << 22
 _TEXTS = 18
 
 _U = np.uint64
+#: What is shuffled of a digest besides its bucket: 72 bits, as digests do not compress.
+_SHORT = np.dtype([("a", "<u8"), ("b", "u1")])
 PACKS = "bucket int, digests binary, ids array<long>, counts array<int>"
 SETS = "n long, k int, g long, h long, b int, members array<long>"
 
@@ -63,23 +65,36 @@ def _packed(digests: np.ndarray, ids: np.ndarray, per_text: np.ndarray) -> pa.Re
     order = np.argsort(key)
     digests, key = digests[order], key[order]
     new = np.append(True, (digests[1:] != digests[:-1]).any(axis=1) | (key[1:] != key[:-1]))
-    digests, key = np.ascontiguousarray(digests[new]), key[new]
+    digests, key = _short(digests[new]), key[new]
     runs = np.flatnonzero(np.append(True, np.diff(key >> _U(low)) != 0))
     buckets = (key[runs] >> _U(64 - BITS)).astype(np.int32)
     rows = np.flatnonzero(np.append(True, np.diff(buckets) != 0))
     ends = np.append(rows, len(runs)).astype(np.int32)
-    places = pa.py_buffer((np.append(runs[rows], len(key)) * 16).astype(np.int32))
+    places = pa.py_buffer((np.append(runs[rows], len(key)) * _SHORT.itemsize).astype(np.int32))
     of_run = ids[((key[runs] >> _U(low)) & _U((1 << _TEXTS) - 1)).astype(np.int64)]
     counts = np.diff(np.append(runs, len(key))).astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (of_run, counts)]
     return pa.RecordBatch.from_arrays([pa.array(buckets[rows]), pa.Array.from_buffers(pa.binary(), len(rows), [None, places, pa.py_buffer(digests)]), *lists], names=["bucket", "digests", "ids", "counts"])
 
 
+def _short(digests: np.ndarray) -> np.ndarray:
+    out = np.empty(len(digests), _SHORT)
+    out["a"] = (digests[:, 0] << _U(BITS)) | (digests[:, 1] & _U((1 << BITS) - 1))
+    out["b"] = (digests[:, 1] >> _U(BITS)) & _U(255)
+    return out
+
+
+def _read(raw: pa.Buffer, bucket: int) -> np.ndarray:
+    """The digests of a row of PACKS, as far as they were shuffled."""
+    a, b = (np.frombuffer(raw, _SHORT)[c].astype(_U) for c in "ab")
+    return np.stack([(_U(bucket) << _U(64 - BITS)) | (a >> _U(BITS)), (a & _U((1 << BITS) - 1)) | (b << _U(BITS))], axis=1)
+
+
 def packed_phrases(texts: DataFrame, n: int) -> DataFrame:
     """(text, id, s1, s2) to PACKS: the phrases of n words of [a-z']+ in the lower-case texts, with the ids that have them.
 
     A text of fewer words, or null, has no phrases. A digest comes from the words' 64-bit hashes and the salts s1 and s2, so equal
-    phrases of equal salts are equal on every machine; others are with a chance of 2^-128.
+    phrases of equal salts are equal on every machine; others are with a chance of 2^-84.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +189,7 @@ def shared_phrases(texts: DataFrame, n: int, most: int) -> DataFrame:
                     yield _sets(np.concatenate(digests), np.concatenate(ids), most)
                     digests, ids, held, limit = [], [], 0, HELD
                 now = bucket
-                digests.append(np.frombuffer(raw.as_buffer(), _U).reshape(-1, 2))
+                digests.append(_read(raw.as_buffer(), bucket))
                 ids.append(np.repeat(each[i].values.to_numpy(), counts[i].values.to_numpy()))
                 held += len(ids[-1])
                 if held > limit:

@@ -62,3 +62,15 @@ def test_no_language_is_no_owner(spark, tmp_path):
     rows = [(i, "one two three four five six seven", lang, f"s{i}") for i, lang in enumerate([None, None, "en", "en"])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in registry.q_ngram_reuse(spark, str(tmp_path)).collect()] == [("en", "s2", "s3", 1)]
+
+
+def test_short_digests():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    digests = rng.integers(0, 1 << 64, (500, 2), np.uint64)
+    ids = np.sort(rng.integers(-3, 3, 50))
+    batch = phrases._packed(digests, ids, np.full(50, 10))
+    assert sum(len(r) for r in batch.column(1).to_pylist()) == 9 * 500  # 16 before
+    got = sorted((*d, i) for r in batch.to_pylist() for d, i in zip(phrases._read(r["digests"], r["bucket"]).tolist(), np.repeat(r["ids"], r["counts"]).tolist(), strict=True))
+    assert got == sorted((a, b & (1 << 20) - 1, i) for (a, b), i in zip(digests.tolist(), np.repeat(ids, 10).tolist(), strict=True))
