@@ -88,3 +88,21 @@ def test_transform():
 
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_different_runs_are_not_taken_for_equal(spark):
+    """Two words whose digests differ by a multiple of 2^36, in the Thue-Morse order and its reverse, had one digest as polynomials modulo 2^64."""
+    words = "baccmdcl", "mpexpkbv"
+    one, two = ("".join(words[(bin(i).count("1") + first) % 2] for i in range(16)) for first in (0, 1))
+    end = (
+        "jexpbtgalpmaqcvcvxvmalbdtaiuwjxheysjgdnowkmfknuvneoweqkegfolzmnzpmxhzgogswbmbhucflbxuvfhtjtcwqyjylnobuwqvurxnsopiwpgkibbbflajuaecznvhtm"
+        "rhogktdtczkkrokiaqbglcgqlg givxxjjqmiplwhbjrcaopxobznpoodcchd yengotc nry mbfhphe ilkndrjtrzgwjyoqtoruiihadtzwdfxnhgjxvaxrqnbdmuidxslhvww"
+    )
+    docs = spark.createDataFrame([(1, one + end), (2, two + end)], "doc_id long, text string")
+    assert len(one + end) == 400
+    assert [r.spans for r in repeats.remove_repeats(docs).collect()] == [[], []]
+
+
+def test_columns_of_the_contract_come_first(spark):
+    out = repeats.op4_repeats(spark, "/root/testdata/sf0.001")
+    assert out.dtypes[:5] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
