@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from parlance.llm import repeats
@@ -57,6 +58,50 @@ def test_halves_keep_every_window():
         assert seen == list(range(len(raw) - n + 1))
 
 
+def test_only_windows_that_can_meet_are_sorted():
+    """Runs that share their anchor and less than half of what windows hold besides, of one key, do not reach the transform."""
+    r = random.Random(5)
+    noise = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    x, n = noise(100), 400
+    one, two, both = noise(200) + x + noise(200), noise(200) + x + noise(200), noise(160)
+    three, four = noise(40) + both + x + noise(200), noise(40) + both + x + noise(200)  # 160 bytes more to the left
+    raws = [one, two, three, four]
+    xs = [200] * 4
+    kept = repeats.meeting([1] * 4, raws, xs, [300] * 4)
+    assert [i for i, _, _ in kept] == [2, 3] and all(0 < past - first < len(three) - n + 1 for _, first, past in kept)
+    assert repeats.meeting([1, 1, 2, 3], raws, xs, [300] * 4) == []
+
+
+def test_windows_that_meet_stay():
+    r = random.Random(6)
+    n, gram = 20, 5
+    for _ in range(60):
+        base = bytes(r.choice(b"abc") for _ in range(120))
+        texts = [base[(a := r.randint(0, 60)) : a + r.randint(20, 60)] + bytes(r.choice(b"abc") for _ in range(r.randint(0, 20))) for _ in range(6)]
+        count = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+        keys, raws = [], []
+        for t in texts:
+            found = repeats.window_runs(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), n, gram)
+            for start, windows, anchor in zip(*(x.tolist() for x in found[1:4]), strict=True):
+                keys.append(anchor)
+                raws.append(t[start : start + windows + n - 1])
+        none = [None] * len(keys)
+        stay = {(i, w) for i, first, past in repeats.meeting(keys, raws, none, none, n, gram) for w in range(first, past)}
+        assert {(i, w) for i, raw in enumerate(raws) for w in range(len(raw) - n + 1) if count[raw[w : w + n]] > 1} <= stay
+
+
+@pytest.mark.parametrize("size", [1, 2, 50, 5000, 1 << 21])
+def test_suffixes_by_tripling_and_doubling(size):
+    symbols = np.random.default_rng(size).integers(1, 3, size)
+    depth = 24
+    padded = np.concatenate([symbols, np.zeros(depth, np.int64)])
+    key = np.zeros(size, np.int64)
+    for j in range(depth):
+        key = key * 3 + padded[j : j + size]
+    order = repeats.suffix_order(symbols, depth)
+    assert (np.sort(order) == np.arange(size)).all() and (np.diff(key[order]) >= 0).all()
+
+
 def test_query(spark):
     out = repeats.op4_repeats(spark, "/root/testdata/sf0.001")
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
@@ -68,8 +113,6 @@ def test_query(spark):
 
 def test_pieces_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1000)
-    import numpy as np
-
     data = ("".join(random.Random(2).choice("ab c") for _ in range(700)) * 3).encode()
     one = repeats.window_runs(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]), 40, 10)
     assert sum(one[2]) == len(data) - 39
