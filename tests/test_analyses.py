@@ -2,9 +2,11 @@
 
 import itertools
 import random
+import time
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.__main__ import parser, run
 from parlance.functions import taxonomy
@@ -51,6 +53,16 @@ def test_betweenness(spark):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-8 for x in want)
 
 
+def test_betweenness_of_a_dense_graph(spark):
+    h = 400  # two layers, every node of one joined to all of the other
+    df = spark.range(h).selectExpr("id AS a").crossJoin(spark.range(h).selectExpr("1000 + id AS b")).withColumn("weight", F.lit(1))
+    network.betweenness(df.limit(3)).count()  # starts workers
+    began = time.time()
+    got = {r.node: r.betweenness for r in network.betweenness(df).collect()}
+    assert time.time() - began < 12  # a dictionary look-up per source and edge takes longer
+    assert len(got) == 2 * h and all(abs(v - (h - 1) / ((2 * h - 1) * (2 * h - 2))) < 2e-9 for v in got.values())
+
+
 def test_betweenness_of_no_edges_and_too_many(spark, monkeypatch):
     empty = spark.createDataFrame([], "a int, b int, weight int")
     assert network.betweenness(empty).isEmpty() and network.communities(empty).isEmpty()
