@@ -93,3 +93,24 @@ def test_core_measures_beyond_the_limit(spark, monkeypatch):
     of = {r.node: r.community for r in registry.QUERIES["q_communities"](spark, d).collect()}
     sizes = [list(of.values()).count(i) for i in range(max(of.values()) + 1)]
     assert of.keys() == exact.keys() and sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+
+
+def test_pairs_are_counted_by_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(m, rng.randrange(30)) for m in range(80) for _ in range(9)]
+    df = spark.createDataFrame(rows, "m int, g bigint")
+    want = {(r.a, r.b): r.weight for r in network.shared_pairs(df, "m", "g").collect()}
+    own = {m: {g for x, g in rows if x == m} for m, _ in rows}
+    assert want == {(a, b): n for a in range(30) for b in range(a + 1, 30) if (n := sum(a in gs and b in gs for gs in own.values()))}
+    for pairs in (1, 7, 100):
+        monkeypatch.setattr(network, "PAIRS", pairs)
+        assert {(r.a, r.b): r.weight for r in network.shared_pairs(df, "m", "g").collect()} == want
+
+
+def test_settled_frames_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    from parlance.sources import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 100)
+    big = session.settled(spark.range(200).select(F.col("id").alias("node"), (F.col("id") % 7).alias("c")))
+    joined = spark.range(1000).withColumnRenamed("id", "node").join(big.select("node", "c"), "node").groupBy("c").count()
+    assert joined.count() == 7 and "BroadcastHashJoin" not in joined._jdf.queryExecution().toString()
