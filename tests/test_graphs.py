@@ -111,6 +111,7 @@ def test_settled_frames_of_many_rows_are_not_broadcast(spark, monkeypatch):
     from parlance.sources import session
 
     monkeypatch.setattr(session, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(session, "COUNTED", (0, 10 << 20))
     big = session.settled(spark.range(200).select(F.col("id").alias("node"), (F.col("id") % 7).alias("c")))
     joined = spark.range(1000).withColumnRenamed("id", "node").join(big.select("node", "c"), "node").groupBy("c").count()
     assert joined.count() == 7 and "BroadcastHashJoin" not in joined._jdf.queryExecution().toString()
